@@ -22,12 +22,12 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 5)
+        return round(v, 6)
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, (list, tuple)):
@@ -35,10 +35,22 @@ def _norm(v):
     return v
 
 
+def _sort_key(r):
+    return tuple((x is None, f"{x:.3f}" if isinstance(x, float) else str(x)) for x in r)
+
+
 def frame_rows(df: pd.DataFrame) -> list[tuple]:
     cols = sorted(df.columns)
-    rows = [tuple(_norm(v) for v in r) for r in df[cols].itertuples(index=False, name=None)]
-    return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
+    rows = [tuple(_norm(v) for v in r) for r in df[cols].astype(object).itertuples(index=False, name=None)]
+    return sorted(rows, key=_sort_key)
+
+
+def _same(x, y) -> bool:
+    if isinstance(x, float) and isinstance(y, (int, float)) and not isinstance(y, bool):
+        return abs(x - y) <= 1.5e-6 * max(1.0, abs(x))
+    if isinstance(x, tuple) and isinstance(y, tuple):
+        return len(x) == len(y) and all(_same(a, b) for a, b in zip(x, y))
+    return x == y
 
 
 def compare(spark_df: pd.DataFrame, oracle_df: pd.DataFrame) -> str | None:
@@ -48,7 +60,7 @@ def compare(spark_df: pd.DataFrame, oracle_df: pd.DataFrame) -> str | None:
         return f"row count {len(spark_df)} vs {len(oracle_df)}"
     a, b = frame_rows(spark_df), frame_rows(oracle_df)
     for i, (x, y) in enumerate(zip(a, b)):
-        if x != y:
+        if not all(_same(p, q) for p, q in zip(x, y)):
             return f"row {i} differs: {x} vs {y}"
     return None
 
@@ -67,7 +79,7 @@ def run(names: list[str] | None, sf_dir: str) -> int:
         try:
             got = qs[name](spark, sf_dir).toPandas()
         except Exception as e:  # noqa: BLE001
-            print(f"FAIL {name}: spark error {type(e).__name__}: {str(e)[:400]}")
+            print(f"FAIL {name}: spark error {type(e).__name__}: {str(e)[:3000]}")
             bad += 1
             continue
         ts = time.time() - t
