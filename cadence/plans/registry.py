@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("q_words", "q_text", "q_keys", "q_evaluate", "q_syntax", "q_models", "q_signal")
+FAMILIES = ("q_words", "q_text", "q_keys", "q_evaluate", "q_syntax", "q_models", "q_signal", "q_stream")
 
 
 def _load():
