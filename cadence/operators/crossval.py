@@ -38,7 +38,7 @@ class CrossValidation:
         self.train, self.key, self.layout, self.k, self.repeats, self.seed = train, key, layout, k, repeats, seed
         self.test = test
         self.folds = assign_folds(train, key, layout.label, k, repeats, seed).checkpoint(eager=True)
-        self.fit: FoldFit = fit_folds(train, self.folds, key, layout, k, repeats, n_components)
+        self.fit: FoldFit = fit_folds(train, self.folds, key, layout, k, repeats, n_components, test=test)
         self.w_train = train.select(key, F.col(layout.label).cast("double").alias("y"),
                                     design_vector(layout, self.fit.shifts).alias("w"))
         self.frame = self.w_train.join(self.folds.select(key, "repeat", "fold"), key)

@@ -60,21 +60,30 @@ class Layout:
 class Shifts:
     feature_means: dict[str, float]
     emb_mean: list[float] = field(default_factory=list)
+    has_missing: dict[str, bool] = field(default_factory=dict)
 
 
-def global_shifts(df: DataFrame, layout: Layout) -> Shifts:
-    """Global means used as a numerical shift before accumulating sums of products."""
+def global_shifts(df: DataFrame, layout: Layout, also: DataFrame | None = None) -> Shifts:
+    """Global means (a numerical shift before accumulating sums of products) and which features have any
+    NULL/NaN in ``df`` or ``also``; only those need fold medians. One aggregate per table."""
     means: dict[str, float] = {}
+    missing: dict[str, bool] = {}
     if layout.features:
-        row = df.agg(*[F.avg(F.when(~F.isnan(F.col(c)), F.col(c))).alias(c) for c in layout.features]).first()
+        bad = {c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in layout.features}
+        row = df.agg(*[F.avg(F.when(~bad[c], F.col(c))).alias(c) for c in layout.features],
+                     *[F.count_if(bad[c]).alias(f"_n_{i}") for i, c in enumerate(layout.features)]).first()
         means = {c: float(row[c]) if row[c] is not None else 0.0 for c in layout.features}
+        missing = {c: row[f"_n_{i}"] > 0 for i, c in enumerate(layout.features)}
+        if also is not None:
+            r2 = also.agg(*[F.count_if(bad[c]).alias(f"_n_{i}") for i, c in enumerate(layout.features)]).first()
+            missing = {c: missing[c] or r2[f"_n_{i}"] > 0 for i, c in enumerate(layout.features)}
     emb_mean: list[float] = []
     if layout.emb_col:
         pe = df.select(F.posexplode(layout.emb_col).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).collect()
         emb_mean = [0.0] * layout.emb_dim
         for r in pe:
             emb_mean[r["i"]] = float(r["m"])
-    return Shifts(means, emb_mean)
+    return Shifts(means, emb_mean, missing)
 
 
 def design_vector(layout: Layout, shifts: Shifts, with_label: bool = True) -> Column:
@@ -206,13 +215,18 @@ class FoldFit:
 
 
 def fit_folds(df: DataFrame, folds: DataFrame, key: str, layout: Layout, k: int, repeats: int,
-              n_components: int = PCA_COMPONENTS, standardize: bool = True, max_tasks: int | None = None) -> FoldFit:
-    """One Gram pass (per repeat and fold) + one median pass -> every fold's preprocessing."""
-    shifts = global_shifts(df, layout)
+              n_components: int = PCA_COMPONENTS, standardize: bool = True, max_tasks: int | None = None,
+              test: DataFrame | None = None) -> FoldFit:
+    """One Gram pass (per repeat and fold) + one median pass -> every fold's preprocessing.
+
+    Medians are computed only for features with a missing value in the training or test rows; for the
+    others imputation is the identity."""
+    shifts = global_shifts(df, layout, test)
     rows = df.select(key, design_vector(layout, shifts).alias("w"))
     frame = rows.join(folds.select(key, "repeat", "fold"), key)
     grams = grouped_gram(frame, ["repeat", "fold"], "w", layout.d, max_tasks=max_tasks)
-    med_rows = fold_medians(df, folds, key, layout.features, k).collect() if layout.features else []
+    need = [c for c in layout.features if shifts.has_missing.get(c)]
+    med_rows = fold_medians(df, folds, key, need, k).collect() if need else []
     meds: dict[tuple, dict[str, float]] = {}
     for r in med_rows:
         meds.setdefault((r["repeat"], r["fold"]), {})[r["feature"]] = r["median"]
