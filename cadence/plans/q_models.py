@@ -186,6 +186,26 @@ def i1_k1_tree_importance(spark, d):
     return I.top_features(df, 12)
 
 
+def _tree_phi(spark, d):
+    cv = _cv(spark, d, test=False)
+    _, _, full = cv.gbt("a", rounds=DRIVER_GBT_ROUNDS, include_full=True)
+    t = cv.fit.transforms[(FULL, FULL)]
+    feats = cv._features(cv.w_train, (FULL, FULL)).select("id", "features", "w")
+    from pyspark.ml.functions import vector_to_array
+    feats = feats.withColumn("x", vector_to_array("features"))
+    return I.tree_attributions(feats, "id", "x", full, t.names), full, feats
+
+
+def i2_tree_attributions(spark, d):
+    phi, _, _ = _tree_phi(spark, d)
+    return phi.select(big("id"), *[r6(c) for c in FEATURES], r6("base"))
+
+
+def i3_k2_tree_attribution_summary(spark, d):
+    phi, _, _ = _tree_phi(spark, d)
+    return I.top_attributions(I.attribution_summary(phi.drop("base"), "id"), 10).select("feature", r6("mean_abs_phi"))
+
+
 def cv_stack_metrics(spark, d):
     """The reference's main flow on F6: four base models out of fold, non-negative stack, metrics."""
     from cadence.operators.metrics import metrics_table
@@ -223,6 +243,8 @@ QUERIES = {
     "v16_ablation": v16_ablation,
     "i1_k1_tree_importance": i1_k1_tree_importance,
     "i2_linear_attributions": i2_linear_attributions,
+    "i2_tree_attributions": i2_tree_attributions,
+    "i3_k2_tree_attribution_summary": i3_k2_tree_attribution_summary,
     "i3_attribution_summary": i3_attribution_summary,
     "k2_top_attributions": k2_top_attributions,
     "cv_stack_metrics": cv_stack_metrics,

@@ -181,3 +181,24 @@ def test_signal_kernels_match_reference_math():
     start, end = S.np_trim_bounds(y, 30.0, 4, 2)
     assert start == 0 and end <= len(y)
     assert S.np_trim_bounds(np.zeros(12), 30.0, 4, 2) == (0, 12)  # equally quiet: nothing trimmed
+
+
+def test_tree_attributions_add_up_to_prediction(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+
+    from cadence.operators.explain import tree_attributions
+
+    rng = np.random.default_rng(3)
+    n = 300
+    X = rng.normal(size=(n, 4))
+    y = 2 * (X[:, 0] > 0) + X[:, 1] * X[:, 2] + 0.1 * rng.normal(size=n)
+    pdf = pd.DataFrame({"id": np.arange(n), "y": y})
+    pdf["x"] = list(X)
+    df = spark.createDataFrame(pdf, "id long, y double, x array<double>").withColumn("features", array_to_vector("x"))
+    model = GBTRegressor(maxIter=8, maxDepth=3, stepSize=0.1, seed=1).fit(df)
+    phi = tree_attributions(df, "id", "x", model, ["a", "b", "c", "d"]).toPandas().set_index("id").sort_index()
+    pred = model.transform(df).select("id", "prediction").toPandas().set_index("id").sort_index()["prediction"]
+    total = phi[["a", "b", "c", "d"]].sum(axis=1) + phi["base"]
+    assert np.allclose(total.to_numpy(), pred.to_numpy(), atol=1e-8)
+    assert phi["d"].abs().mean() < phi["a"].abs().mean()
