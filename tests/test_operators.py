@@ -196,7 +196,7 @@ def test_tree_attributions_add_up_to_prediction(spark):
     pdf = pd.DataFrame({"id": np.arange(n), "y": y})
     pdf["x"] = list(X)
     df = spark.createDataFrame(pdf, "id long, y double, x array<double>").withColumn("features", array_to_vector("x"))
-    model = GBTRegressor(maxIter=8, maxDepth=3, stepSize=0.1, seed=1).fit(df)
+    model = GBTRegressor(maxIter=8, maxDepth=3, stepSize=0.1, seed=1, labelCol="y").fit(df)
     phi = tree_attributions(df, "id", "x", model, ["a", "b", "c", "d"]).toPandas().set_index("id").sort_index()
     pred = model.transform(df).select("id", "prediction").toPandas().set_index("id").sort_index()["prediction"]
     total = phi[["a", "b", "c", "d"]].sum(axis=1) + phi["base"]
