@@ -218,6 +218,22 @@ class CrossValidation:
         return oof, test, params.get((FULL, FULL))
 
 
+def kernel_predict(df: DataFrame, key: str, params: list, w_col: str = "w") -> DataFrame:
+    """Score rows with one fitted kernel model (projection B, frequencies, phases, weights)."""
+    bc = df.sparkSession.sparkContext.broadcast(params)
+    ktype = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        B, om, ph, th = bc.value
+        for b in batches:
+            if b.empty:
+                continue
+            Z = _rff(np.stack(b[w_col].to_numpy()) @ B.T, om, ph)
+            yield pd.DataFrame({key: b[key].to_numpy(), "pred": Z @ th})
+
+    return df.select(key, w_col).mapInPandas(run, f"{key} {ktype}, pred double")
+
+
 def _rff(X: np.ndarray, omega: np.ndarray, phase: np.ndarray) -> np.ndarray:
     Z = np.sqrt(2.0 / omega.shape[0]) * np.cos(X @ omega.T + phase)
     return np.hstack([Z, np.ones((Z.shape[0], 1))])

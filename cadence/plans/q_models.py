@@ -352,3 +352,46 @@ ORACLES = {
     "k2_top_attributions": with_fixtures(_PHI + "SELECT feature, round(mean_abs_phi, 6) AS mean_abs_phi FROM sm ORDER BY mean_abs_phi DESC, feature LIMIT 10", "f6_reg"),
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v is not None}
+
+
+# ---- the end-to-end flow on documents as clips ------------------------------------------------------------
+
+def scoring_run_documents(spark, d):
+    """Main flow on F1: text + syntax + sentence-score views and a TF-IDF embedding (PCA 16 in-fold),
+    four base models out of fold, stack, metrics, refit, ablation, importances, checked predictions."""
+    from cadence.functions.text import text_features
+    from cadence.operators import scores as SC
+    from cadence.operators.syntax import syntax_features
+    from cadence.operators.assemble import assemble
+    from cadence.plans.scoring_run import run_scoring
+
+    f1 = fx.f1_transcripts(spark, d)
+    keys = ["split", "filename"]
+    spine = f1.select(*keys, "doc_id", "label")
+    tf = text_features(F.col("clean_transcript"))
+    text_view = f1.select(*keys, *[c.cast("double").alias(n) for n, c in tf.items()])
+    sents = fx.f3_sents(f1)
+    syn = syntax_features(fx.f3_tokens(sents), spine=f1.select("doc_id"))
+    scores = SC.score_stats(SC.eligible_sentences(fx.f4_scores(sents), SC.ACCEPTABILITY_FIRST_K,
+                                                  SC.ACCEPTABILITY_MIN_LEN), f1.select("doc_id"))
+    lm = SC.ngram_lm_fit(sents, ["doc_id", "sent_no"])
+    losses = SC.ngram_lm_score(SC.eligible_sentences(sents, SC.LOSS_FIRST_K, SC.LOSS_MIN_LEN), lm, ["doc_id", "sent_no"])
+    loss = SC.loss_stats(losses, f1.select("doc_id"))
+    per_doc = syn.join(scores, "doc_id").join(loss, "doc_id")
+    per_doc = f1.select(*keys, "doc_id").join(per_doc, "doc_id").drop("doc_id")
+    emb = SC.embed_text(f1, keys, "raw_transcript", dim=64)
+    table = assemble(spine, [text_view, per_doc, emb], keys).drop("doc_id").checkpoint(eager=True)
+    text_cols = [c for c in text_view.columns if c not in keys]
+    doc_cols = [c for c in per_doc.columns if c not in keys]
+    features = [c for c in text_cols + doc_cols if c not in ("spacy_sent_count",)] + ["spacy_sent_count"]
+    # file names are unique across splits here, so the name alone is the model key
+    res = run_scoring(table, "filename", "label", features, {"Text-Only": text_cols, "Syntax-Scores-Only": doc_cols},
+                      "embedding", 64, gbt_rounds={"a": DRIVER_GBT_ROUNDS, "b": DRIVER_GBT_ROUNDS}, svr_features=32,
+                      name_col="filename")
+    train_row = spark.createDataFrame([("train_refit_rmse", float(res.train_rmse))], "metric string, value double")
+    abl = res.ablation.select(F.concat(F.lit("ablation_rmse:"), "view").alias("metric"), F.col("rmse").alias("value"))
+    chk = res.checks.select(F.concat(F.lit("check:"), "check").alias("metric"), F.col("passed").cast("double").alias("value"))
+    return res.metrics.unionByName(train_row).unionByName(abl).unionByName(chk).select("metric", r6("value"))
+
+
+QUERIES["scoring_run_documents"] = scoring_run_documents
