@@ -16,8 +16,8 @@ def _tokens(spark, d):
     return fx.f3_tokens(fx.f3_sents(fx.f1_transcripts(spark, d)))
 
 
-def _syntax(spark, d):
-    return X.syntax_features(_tokens(spark, d))
+def _syntax(spark, d, depth=False, vocabulary=False):
+    return X.syntax_features(_tokens(spark, d), depth=depth, vocabulary=vocabulary)
 
 
 def x1_sentence_lengths(spark, d):
@@ -31,7 +31,7 @@ def x2_completeness(spark, d):
 
 
 def x3_tree_depth(spark, d):
-    return _syntax(spark, d).select("doc_id", r6("spacy_mean_dep_depth"), r6("spacy_max_dep_depth"))
+    return _syntax(spark, d, depth=True).select("doc_id", r6("spacy_mean_dep_depth"), r6("spacy_max_dep_depth"))
 
 
 def x3_token_depths(spark, d):
@@ -49,7 +49,7 @@ def x6_pos_ratios(spark, d):
 
 
 def x7_type_token_ratio(spark, d):
-    return _syntax(spark, d).select("doc_id", r6("spacy_ttr"))
+    return _syntax(spark, d, vocabulary=True).select("doc_id", r6("spacy_ttr"))
 
 
 def m1_eligible_sentences(spark, d):
