@@ -205,6 +205,10 @@ ORACLES = {
     "jn4_concat_features": """SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(len(embedding) + 2 AS BIGINT) AS n_features,
         round(CAST(label AS DOUBLE) + CAST(vec_id % 7 AS DOUBLE) + list_sum([CAST(x AS DOUBLE) for x in embedding]), 6) AS sum_features,
         round(CAST(embedding[1] AS DOUBLE), 6) AS first_embedding FROM embeddings""",
+    "s6_media_inventory": with_fixtures("""SELECT split, filename,
+        CAST(CASE WHEN split = 'train' THEN 1 ELSE 0 END AS BIGINT) AS n_files,
+        CAST(CASE WHEN split = 'train' THEN strlen(raw_transcript) + 1 ELSE 0 END AS BIGINT) AS bytes,
+        split <> 'train' AS missing FROM f1_transcripts""", _F1),
     "p6_feature_columns": with_fixtures("""SELECT CAST(id AS BIGINT) AS id, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x3, 6) AS x3,
         round(x4, 6) AS x4, round(x_const, 6) AS x_const FROM f6_reg""", "f6_reg"),
 }

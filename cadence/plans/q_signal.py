@@ -112,4 +112,16 @@ ORACLES = {
         FROM sig s JOIN loud l ON s.clip_id = l.clip_id""", "f8_signal"),
 }
 ORACLES["g7_g8_signal_summary"] = with_fixtures(_frames(_NORM).rstrip() + _SUMMARY, "f8_signal")
-ORACLES = {k: v for k, v in ORACLES.items() if v is not None}
+
+# notebook variant: frame features of the normalised signal after trimming (bounds as in G2)
+_NRMS = """SELECT fr.clip_id, fr.t, sqrt(coalesce(sum(p.v * p.v), 0.0) / 16) AS rr
+    FROM (SELECT clip_id, unnest(range(CAST(floor(len(y) / 8) + 1 AS BIGINT))) AS t FROM (""" + _NORM + """) a WHERE len(y) > 0) fr
+    LEFT JOIN (SELECT clip_id, unnest(y) AS v, unnest(range(len(y))) AS i FROM (""" + _NORM + """) b) p
+      ON p.clip_id = fr.clip_id AND p.i >= fr.t * 8 - 8 AND p.i < fr.t * 8 + 8
+    GROUP BY fr.clip_id, fr.t"""
+_TRIMMED = """SELECT s.clip_id, s.sr, s.y[l.t0 * 8 + 1 : least(len(s.y), (l.t1 + 1) * 8)] AS y
+    FROM (""" + _NORM + """) s JOIN (
+      SELECT clip_id, min(t) AS t0, max(t) AS t1 FROM (
+        SELECT clip_id, t, greatest(rr * rr, 1e-10) AS pw, max(greatest(rr * rr, 1e-10)) OVER (PARTITION BY clip_id) AS ref
+        FROM (""" + _NRMS + """) q0) q WHERE pw > ref * 0.001 GROUP BY clip_id) l ON s.clip_id = l.clip_id"""
+ORACLES["g2_notebook_trimmed_features"] = with_fixtures(_frames(_TRIMMED).rstrip() + _SUMMARY, "f8_signal")
