@@ -52,7 +52,8 @@ def hot_keys(big: DataFrame, keys: Sequence[str], rows: int | None = None,
     frac = min(1.0, sample_rows / total)
     sample = big.select(*keys) if frac >= 1.0 else big.select(*keys).sample(fraction=frac, seed=17)
     freq = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    return freq.where(F.col("_c") / F.lit(frac) > threshold).orderBy(F.desc("_c")).limit(4 * parts).collect()
+    hot = freq.where(F.col("_c") / F.lit(frac) > threshold).orderBy(F.desc("_c")).limit(4 * parts)
+    return hot.select(*keys).collect()
 
 
 def hot_split_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",

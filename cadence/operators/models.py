@@ -11,6 +11,7 @@ training Gram (= all rows minus the fold's own rows). A fitted ridge is then one
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -224,9 +225,12 @@ def fit_folds(df: DataFrame, folds: DataFrame, key: str, layout: Layout, k: int,
     shifts = global_shifts(df, layout, test)
     rows = df.select(key, design_vector(layout, shifts).alias("w"))
     frame = rows.join(folds.select(key, "repeat", "fold"), key)
-    grams = grouped_gram(frame, ["repeat", "fold"], "w", layout.d, max_tasks=max_tasks)
     need = [c for c in layout.features if shifts.has_missing.get(c)]
-    med_rows = fold_medians(df, folds, key, need, k).collect() if need else []
+    # the Gram pass and the median pass are independent jobs: submit both at once
+    with ThreadPoolExecutor(max_workers=2) as ex:
+        g_job = ex.submit(grouped_gram, frame, ["repeat", "fold"], "w", layout.d, max_tasks)
+        m_job = ex.submit(lambda: fold_medians(df, folds, key, need, k).collect() if need else [])
+        grams, med_rows = g_job.result(), m_job.result()
     meds: dict[tuple, dict[str, float]] = {}
     for r in med_rows:
         meds.setdefault((r["repeat"], r["fold"]), {})[r["feature"]] = r["median"]

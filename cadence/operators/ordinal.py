@@ -14,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.operators.joins import broadcast_if_small, null_safe_join
+from cadence.operators.joins import broadcast_if_small, null_safe_join, row_count_at_most
+from cadence.session import BROADCAST_ROW_LIMIT
 from cadence.session import ensure_checkpoint_dir, shuffle_partitions
 
 
@@ -53,8 +54,19 @@ def ordinal_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
 
 
 def average_rank(df: DataFrame, value_col: str, tiebreak_cols: Sequence[str], out: str) -> DataFrame:
-    """1-based rank of ``value_col`` over all rows, ties sharing their average rank (NULL values excluded)."""
+    """1-based rank of ``value_col`` over all rows, ties sharing their average rank (NULL values excluded).
+
+    Distinct values are counted first (a partial aggregate). When their measured number fits the
+    broadcast bound, their cumulative counts come from one bounded task and are broadcast back, so no
+    row is shuffled by value (a value holding a third of the rows stays spread). Otherwise the skew-safe
+    ordinal ranks rows and tie groups are resolved per (task, value).
+    """
     vals = df.where(F.col(value_col).isNotNull())
+    distinct = vals.groupBy(value_col).agg(F.count(F.lit(1)).alias("_c"))
+    if row_count_at_most(distinct, BROADCAST_ROW_LIMIT):
+        w = Window.orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranks = distinct.select(value_col, (F.sum("_c").over(w) - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out))
+        return vals.join(F.broadcast(ranks), value_col)
     ranked = ordinal_within(vals, [], [value_col, *tiebreak_cols], out="_ord", keep_pid=True)
     pieces = ranked.groupBy("_pid", value_col).agg(F.min("_ord").alias("_o0"), F.count(F.lit(1)).alias("_c"))
     per_value = pieces.groupBy(value_col).agg(F.min("_o0").alias("_first"), F.sum("_c").alias("_cnt"))

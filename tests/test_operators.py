@@ -202,3 +202,27 @@ def test_tree_attributions_add_up_to_prediction(spark):
     total = phi[["a", "b", "c", "d"]].sum(axis=1) + phi["base"]
     assert np.allclose(total.to_numpy(), pred.to_numpy(), atol=1e-8)
     assert phi["d"].abs().mean() < phi["a"].abs().mean()
+
+
+def test_average_rank_distributed_path_equals_fast_path(spark, monkeypatch):
+    import cadence.operators.ordinal as ordmod
+
+    rows = [(i, float(i % 7 if i % 3 else 3)) for i in range(300)]  # value 3.0 is hot
+    df = spark.createDataFrame(rows, "k long, v double")
+    fast = {r["k"]: r["r"] for r in average_rank(df, "v", ["k"], "r").collect()}
+    monkeypatch.setattr(ordmod, "BROADCAST_ROW_LIMIT", 2)
+    slow = {r["k"]: r["r"] for r in average_rank(df, "v", ["k"], "r").collect()}
+    assert fast == slow
+    s = pd.Series([v for _, v in rows])
+    assert fast == {i: float(x) for i, x in enumerate(s.rank(method="average"))}
+
+
+def test_hot_split_join_splits_hot_keys(spark, monkeypatch):
+    import cadence.operators.joins as jm
+
+    big = spark.range(4000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).alias("k"), "id")
+    small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    monkeypatch.setattr(jm, "BROADCAST_ROW_LIMIT", 10)
+    assert [r["k"] for r in jm.hot_keys(big, ["k"])] == [0]
+    out = jm.hot_split_join(big, small, ["k"], "left").toPandas()
+    assert len(out) == 4000 and (out["v"] == out["k"] * 10).all()
