@@ -37,9 +37,10 @@ def f2_words(spark: SparkSession, d: str) -> DataFrame:
     ev = read_table(spark, d, "events").select(
         F.col("user_id").alias("clip_id"), "event_id", "ts", F.col("event_type").alias("word"), "value", "props")
     # dropping whole clips first does not change any kept clip's positions
-    ev = ev.where(F.col("clip_id") % 10 != 1).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    ranked = ordinal_within(ev, ["clip_id"], ["ts", "event_id"], out="ord", carry_first=["_us"])
-    start = (F.col("_us") - F.col("first__us")) / F.lit(3e10)
+    ev = ev.where(F.col("clip_id") % 10 != 1)
+    ranked = ordinal_within(ev, ["clip_id"], ["ts", "event_id"], out="ord", carry_first=["ts"])
+    # offsets from the clip's first event, on the zone-free timestamps (independent of the session zone)
+    start = F.expr("timestampdiff(MICROSECOND, first_ts, ts)") / F.lit(3e10)
     out = ranked.select(
         "clip_id", "ord", "word",
         start.alias("start_s"),

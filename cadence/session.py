@@ -28,6 +28,7 @@ def build_session(master: str = "local[8]", partitions: int = 8, app: str = "cad
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
