@@ -44,6 +44,13 @@ def fold_sizes(folds: DataFrame, k: int) -> DataFrame:
     return own.join(tot, "repeat").select("repeat", "fold", "n_val", (F.col("_n") - F.col("n_val")).alias("n_train"))
 
 
+def fold_view(df: DataFrame, folds: DataFrame, key: str, repeat: int, fold: int) -> tuple[DataFrame, DataFrame]:
+    """V2: (training rows, validation rows) of one fold, as filters on the fold column (no copies)."""
+    f = folds.where(F.col("repeat") == repeat).select(key, "fold")
+    j = df.join(f, key)
+    return j.where(F.col("fold") != fold).drop("fold"), j.where(F.col("fold") == fold).drop("fold")
+
+
 def train_membership(folds: DataFrame, key: str, k: int, include_full: bool = True) -> DataFrame:
     """(key, repeat, fold) for every fold a row *trains*: the k-1 other folds of each repeat, plus FULL."""
     others = folds.select(key, "repeat", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)),

@@ -156,6 +156,14 @@ def v16_ablation(spark, d):
     return out.select("view", r6("rmse"))
 
 
+def v16_ablation_oof(spark, d):
+    """Fair ablation: each single-view ridge cross-validated (in-fold imputation and scaling)."""
+    f6 = fx.f6_reg(spark, d)
+    views = {"Text-Only": Layout(["x1"], label="y"), "Acoustic-Only": Layout(["x2"], label="y")}
+    out = ST.ablation(f6, views, mode="oof", key="id")
+    return out.select("view", r6("rmse"))
+
+
 def _full_two(spark, d):
     cv = _cv(spark, d, TWO, test=False)
     t = cv.fit.transforms[(FULL, FULL)]
@@ -241,6 +249,7 @@ QUERIES = {
     "v13_v14_four_model_stack": v13_v14_four_model_stack,
     "v15_full_refit": v15_full_refit,
     "v16_ablation": v16_ablation,
+    "v16_ablation_oof": v16_ablation_oof,
     "i1_k1_tree_importance": i1_k1_tree_importance,
     "i2_linear_attributions": i2_linear_attributions,
     "i2_tree_attributions": i2_tree_attributions,

@@ -44,6 +44,11 @@ def g5_g6_spectral(spark, d):
     return out.select(big("clip_id"), *[r6(c) for c in out.columns if c != "clip_id"])
 
 
+def g5_spectral_centroid(spark, d):
+    out = signal_features(fx.f8_signal(spark, d), ["clip_id"], frame=FRAME, hop=HOP, n_mels=N_MELS)
+    return out.select(big("clip_id"), r6("centroid_mean"), r6("centroid_std"))
+
+
 def g7_g8_signal_summary(spark, d):
     out = signal_features(fx.f8_signal(spark, d), ["clip_id"], frame=FRAME, hop=HOP, spectral=False)
     return out.select(big("clip_id"), r6("rms_mean"), r6("rms_std"), r6("zcr_mean"), r6("zcr_std"))
@@ -61,6 +66,7 @@ QUERIES = {
     "g3_frame_rms": g3_frame_rms,
     "g4_frame_zcr": g4_frame_zcr,
     "g5_g6_spectral": g5_g6_spectral,
+    "g5_spectral_centroid": g5_spectral_centroid,
     "g7_g8_signal_summary": g7_g8_signal_summary,
     "g2_notebook_trimmed_features": g2_notebook_trimmed_features,
 }
@@ -125,3 +131,17 @@ _TRIMMED = """SELECT s.clip_id, s.sr, s.y[l.t0 * 8 + 1 : least(len(s.y), (l.t1 +
         SELECT clip_id, t, greatest(rr * rr, 1e-10) AS pw, max(greatest(rr * rr, 1e-10)) OVER (PARTITION BY clip_id) AS ref
         FROM (""" + _NRMS + """) q0) q WHERE pw > ref * 0.001 GROUP BY clip_id) l ON s.clip_id = l.clip_id"""
 ORACLES["g2_notebook_trimmed_features"] = with_fixtures(_frames(_TRIMMED).rstrip() + _SUMMARY, "f8_signal")
+
+# G5 by a DFT join: 16-sample Hann-windowed frames (zero padding by 8), 9 frequency bins of 4 Hz at sr 64
+_DFT = """, win AS (SELECT n, 0.5 - 0.5 * cos(2 * pi() * n / 16) AS h FROM range(16) t(n)),
+bins AS (SELECT k FROM range(9) t(k)),
+fx AS (SELECT fr.clip_id, fr.t, w.n, coalesce(p.v, 0.0) * w.h AS xw
+       FROM fr CROSS JOIN win w LEFT JOIN pts p ON p.clip_id = fr.clip_id AND p.i = fr.t * 8 + w.n - 8),
+spec AS (SELECT fx.clip_id, fx.t, b.k, sqrt(power(sum(xw * cos(2 * pi() * b.k * fx.n / 16)), 2)
+                                           + power(sum(xw * sin(2 * pi() * b.k * fx.n / 16)), 2)) AS mag
+         FROM fx CROSS JOIN bins b GROUP BY fx.clip_id, fx.t, b.k),
+cen AS (SELECT clip_id, t, CASE WHEN sum(mag) > 0 THEN sum(k * 4.0 * mag) / sum(mag) ELSE 0.0 END AS c FROM spec GROUP BY clip_id, t),
+cs AS (SELECT clip_id, avg(c) AS cm, stddev_pop(c) AS cv FROM cen GROUP BY clip_id)
+SELECT CAST(f.clip_id AS BIGINT) AS clip_id, round(coalesce(cm, 0.0), 6) AS centroid_mean, round(coalesce(cv, 0.0), 6) AS centroid_std
+FROM f8_signal f LEFT JOIN cs ON f.clip_id = cs.clip_id"""
+ORACLES["g5_spectral_centroid"] = with_fixtures(_frames(_NORM).rstrip() + _DFT, "f8_signal")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.operators.keys import same_keys
-from cadence.schemas import KEY_COLUMNS
+from cadence.schemas import KEY_COLUMNS, missing_columns
 
 
 class FeatureStore:
@@ -33,9 +33,15 @@ class FeatureStore:
             w = w.partitionBy(partition_by)
         w.parquet(self.path(name))
 
-    def read(self, name: str) -> DataFrame:
-        """S3: read back (partition column ``split`` restored by discovery)."""
-        return self.spark.read.parquet(self.path(name))
+    def read(self, name: str, schema=None) -> DataFrame:
+        """S3: read back (partition column ``split`` restored by discovery); with ``schema`` (a StructType)
+        the stored columns are validated by name and type."""
+        df = self.spark.read.parquet(self.path(name))
+        if schema is not None:
+            bad = missing_columns(df.schema, schema)
+            if bad:
+                raise ValueError(f"stored table {name!r} lacks or mistypes columns {bad}")
+        return df
 
     def completeness(self, name: str, expected: DataFrame) -> DataFrame:
         """Stored table against expected keys: counts and key differences in one pass (not just a count)."""
