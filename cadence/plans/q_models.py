@@ -360,6 +360,23 @@ ORACLES = {
     "i3_attribution_summary": with_fixtures(_PHI + "SELECT feature, round(mean_abs_phi, 6) AS mean_abs_phi FROM sm", "f6_reg"),
     "k2_top_attributions": with_fixtures(_PHI + "SELECT feature, round(mean_abs_phi, 6) AS mean_abs_phi FROM sm ORDER BY mean_abs_phi DESC, feature LIMIT 10", "f6_reg"),
 }
+ORACLES["v16_ablation_oof"] = _mo(_LONG + """,
+    v AS (SELECT 'Text-Only' AS view, 'x1' AS feature UNION ALL SELECT 'Acoustic-Only', 'x2'),
+    z AS (SELECT v.view, tf.repeat, tf.fold, l.id, r.y, coalesce(l.v, m.m) AS z
+          FROM v JOIN long l ON l.feature = v.feature JOIN tf ON tf.id = l.id
+          JOIN med m ON m.repeat = tf.repeat AND m.fold = tf.fold AND m.feature = v.feature
+          JOIN f6_reg r ON r.id = l.id WHERE tf.repeat >= 0),
+    st AS (SELECT view, repeat, fold, avg(z) AS mu, CASE WHEN stddev_pop(z) < 1e-9 THEN 1.0 ELSE stddev_pop(z) END AS sd,
+                  avg(y) AS ybar FROM z GROUP BY ALL),
+    cf AS (SELECT z.view, z.repeat, z.fold, sum(((z.z - mu) / sd) * (y - ybar)) / (sum(((z.z - mu) / sd) * ((z.z - mu) / sd)) + 10) AS c
+           FROM z JOIN st USING (view, repeat, fold) GROUP BY ALL),
+    pr AS (SELECT v.view, f.id, f.repeat, st.ybar + cf.c * (coalesce(l.v, m.m) - st.mu) / st.sd AS p
+           FROM v JOIN long l ON l.feature = v.feature JOIN f ON f.id = l.id
+           JOIN st ON st.view = v.view AND st.repeat = f.repeat AND st.fold = f.fold
+           JOIN cf ON cf.view = v.view AND cf.repeat = f.repeat AND cf.fold = f.fold
+           JOIN med m ON m.repeat = f.repeat AND m.fold = f.fold AND m.feature = v.feature),
+    oof AS (SELECT view, id, avg(p) AS p FROM pr GROUP BY ALL)
+    SELECT view, round(sqrt(avg(power(least(greatest(p, 0.0), 5.0) - y, 2))), 6) AS rmse FROM oof JOIN f6_reg USING (id) GROUP BY view""")
 ORACLES = {k: v for k, v in ORACLES.items() if v is not None}
 
 
