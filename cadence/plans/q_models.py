@@ -377,7 +377,6 @@ ORACLES["v16_ablation_oof"] = _mo(_LONG + """,
            JOIN med m ON m.repeat = f.repeat AND m.fold = f.fold AND m.feature = v.feature),
     oof AS (SELECT view, id, avg(p) AS p FROM pr GROUP BY ALL)
     SELECT view, round(sqrt(avg(power(least(greatest(p, 0.0), 5.0) - y, 2))), 6) AS rmse FROM oof JOIN f6_reg USING (id) GROUP BY view""")
-ORACLES = {k: v for k, v in ORACLES.items() if v is not None}
 
 
 # ---- the end-to-end flow on documents as clips ------------------------------------------------------------

@@ -96,10 +96,6 @@ SELECT CAST(f.clip_id AS BIGINT) AS clip_id, round(coalesce(rm, 0.0), 6) AS rms_
        round(coalesce(zm, 0.0), 6) AS zcr_mean, round(coalesce(zs, 0.0), 6) AS zcr_std
 FROM f8_signal f LEFT JOIN agg ON f.clip_id = agg.clip_id LEFT JOIN zagg ON f.clip_id = zagg.clip_id"""
 
-_TRIM = """WITH nsig AS (""" + _NORM + """),
-rsig AS (SELECT n.clip_id, n.sr, n.y FROM nsig n),
-""".replace("WITH nsig", "nsig")
-
 ORACLES = {
     "g1_peak_normalize": with_fixtures("""SELECT CAST(clip_id AS BIGINT) AS clip_id, round(peak, 6) AS peak,
         round(list_sum(CASE WHEN peak > 0 THEN list_transform(samples, lambda x: x / peak) ELSE samples END), 6) AS sum_normalized,
@@ -107,8 +103,6 @@ ORACLES = {
         FROM (SELECT clip_id, samples, list_max(list_transform(samples, lambda x: abs(x))) AS peak FROM f8_signal WHERE samples IS NOT NULL) s""", "f8_signal"),
     "g3_frame_rms": with_fixtures(_frames(_NORM) + "SELECT CAST(clip_id AS BIGINT) AS clip_id, CAST(t AS BIGINT) AS t, round(r, 6) AS rms FROM rms", "f8_signal"),
     "g4_frame_zcr": with_fixtures(_frames(_NORM) + "SELECT CAST(clip_id AS BIGINT) AS clip_id, CAST(t AS BIGINT) AS t, round(z, 6) AS zcr FROM zcr", "f8_signal"),
-    "g7_g8_signal_summary": with_fixtures(_frames(_NORM) + _SUMMARY.lstrip(", ").replace("agg AS", "agg AS", 1).join(["", ""]) if False else
-                                          with_fixtures(_frames(_NORM).rstrip() + _SUMMARY, "f8_signal").split("\n", 0)[0], "f8_signal") if False else None,
     "g2_trim_silence": with_fixtures(_frames(_NORM).rstrip() + """,
         pw AS (SELECT clip_id, t, greatest(r * r, 1e-10) AS pw FROM rms),
         ref AS (SELECT clip_id, max(pw) AS ref FROM pw GROUP BY clip_id),
