@@ -75,7 +75,7 @@ def m3_loss_stats(spark, d):
 
 
 def m4_bigram_lm(spark, d):
-    sents = fx.f3_sents(fx.f1_transcripts(spark, d))
+    sents = fx.f3_sents(fx.f1_transcripts(spark, d)).persist()  # fitted on and scored from
     lm = S.ngram_lm_fit(sents, ["doc_id", "sent_no"])
     e = S.eligible_sentences(sents, S.LOSS_FIRST_K, S.LOSS_MIN_LEN)
     out = S.ngram_lm_score(e, lm, ["doc_id", "sent_no"])

@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Rows at or below this count may be broadcast (checked with a count, never assumed).
-BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_ROW_LIMIT = 500_000
 
 
 def build_session(master: str = "local[8]", partitions: int = 8, app: str = "cadence",
