@@ -35,6 +35,9 @@ class CrossValidation:
 
     def __init__(self, train: DataFrame, key: str, layout: Layout, k: int = 5, repeats: int = 2, seed: int = 42,
                  n_components: int = 16, test: DataFrame | None = None):
+        # the feature table is read by many small jobs (folds, shifts, Gram, medians, scoring): keep one copy
+        train = train.persist()
+        test = (train if test is train else test.persist()) if test is not None else None
         self.train, self.key, self.layout, self.k, self.repeats, self.seed = train, key, layout, k, repeats, seed
         self.test = test
         self.folds = assign_folds(train, key, layout.label, k, repeats, seed).checkpoint(eager=True)
