@@ -81,6 +81,30 @@ class CrossValidation:
                 for rf in self.fit.fold_keys(include_full=True)}
 
     # -- boosted trees (V8, V9) ----------------------------------------------------------------------------
+    def boost(self, profile: str = "a", rounds: int | None = None, include_full: bool = False, bins: int | None = None):
+        """Histogram boosting of every fold model at once (see :mod:`cadence.operators.boosting`);
+        returns (oof, test, full_model)."""
+        from dataclasses import replace
+
+        from cadence.operators.boosting import PROFILES, FoldBooster, score_models
+
+        params = PROFILES[profile]
+        if rounds is not None:
+            params = replace(params, rounds=rounds)
+        if bins is not None:
+            params = replace(params, bins=bins)
+        keys = self.fit.fold_keys(include_full=include_full)
+        models = FoldBooster(self, params, keys).fit()
+        name = "gbt_" + profile
+        cvm = {rf: m for rf, m in models.items() if rf[0] != FULL}
+        oof = score_models(self.frame.select(self.key, "repeat", "fold", "w"), self.key, cvm, self.fit.transforms, True) \
+            .groupBy(self.key).agg(F.avg("pred").alias("pred")).withColumn("model", F.lit(name))
+        test = None
+        if self.w_test is not None:
+            test = score_models(self.w_test, self.key, cvm, self.fit.transforms, False) \
+                .groupBy(self.key).agg(F.avg("pred").alias("pred")).withColumn("model", F.lit(name))
+        return oof, test, models.get((FULL, FULL))
+
     def _features(self, df: DataFrame, rf: tuple) -> DataFrame:
         from pyspark.ml.functions import array_to_vector
 

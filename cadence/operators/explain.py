@@ -15,7 +15,11 @@ _SPLIT = re.compile(r"feature (\d+) ")
 
 def tree_importance(model, names: Sequence[str], kind: str = "split", keep: int | None = None) -> list[tuple[str, float]]:
     """Per-feature importance of a tree ensemble. ``split`` counts splits per feature (the reference's
-    library default); ``gain`` is Spark's normalised impurity gain. ``keep`` cuts trailing columns (PCA)."""
+    library default); ``gain`` sums split gains. ``keep`` cuts trailing columns (PCA components)."""
+    if hasattr(model, "split_counts"):
+        vals = model.split_counts() if kind == "split" else model.gain_importance()
+        n = keep if keep is not None else len(names)
+        return [(names[i], float(vals[i])) for i in range(n)]
     if kind == "gain":
         vals = model.featureImportances.toArray()
     else:
@@ -127,7 +131,9 @@ def tree_attributions(df: DataFrame, key: str, features_col: str, model, names:
     broadcast once. Attributions plus ``base`` add up to the model's prediction."""
     import pandas as pd
 
-    tables = tree_tables(model)
+    # our histogram boosters carry their node tables and a base score; Spark ML ensembles are read via py4j
+    tables = model.node_tables() if hasattr(model, "node_tables") else tree_tables(model)
+    offset = float(getattr(model, "base", 0.0)) if hasattr(model, "node_tables") else 0.0
     bc = df.sparkSession.sparkContext.broadcast(tables)
     names = list(names)
     ktype = dict(df.dtypes)[key]
@@ -142,7 +148,7 @@ def tree_attributions(df: DataFrame, key: str, features_col: str, model, names:
             phi, base = shapley_trees(tb, X, len(names))
             out = pd.DataFrame(phi, columns=names)
             out.insert(0, key, b[key].to_numpy())
-            out["base"] = base
+            out["base"] = base + offset
             yield out
 
     return df.select(key, features_col).mapInPandas(run, schema)

@@ -104,13 +104,20 @@ def v12_ridge_test_average(spark, d):
 
 def v8_gbt_profile_a(spark, d):
     cv = _cv(spark, d)
-    oof, _, _ = cv.gbt("a", rounds=DRIVER_GBT_ROUNDS)
+    oof, _, _ = cv.boost("a", rounds=DRIVER_GBT_ROUNDS)
     return oof.select(big("id"), r6("pred"))
 
 
 def v9_gbt_profile_b(spark, d):
     cv = _cv(spark, d)
-    oof, _, _ = cv.gbt("b", rounds=DRIVER_GBT_ROUNDS)
+    oof, _, _ = cv.boost("b", rounds=DRIVER_GBT_ROUNDS)
+    return oof.select(big("id"), r6("pred"))
+
+
+def v8_spark_ml_gbt(spark, d):
+    """The same profile on Spark ML's level-wise GBT (one fold after another), for comparison."""
+    cv = _cv(spark, d)
+    oof, _, _ = cv.gbt("a", rounds=DRIVER_GBT_ROUNDS)
     return oof.select(big("id"), r6("pred"))
 
 
@@ -188,7 +195,7 @@ def k2_top_attributions(spark, d):
 
 def i1_k1_tree_importance(spark, d):
     cv = _cv(spark, d, test=False)
-    _, _, full = cv.gbt("a", rounds=DRIVER_GBT_ROUNDS, include_full=True)
+    _, _, full = cv.boost("a", rounds=DRIVER_GBT_ROUNDS, include_full=True)
     imp = I.tree_importance(full, FEATURES, kind="split")
     df = spark.createDataFrame(imp, "feature string, importance double")
     return I.top_features(df, 12)
@@ -196,11 +203,10 @@ def i1_k1_tree_importance(spark, d):
 
 def _tree_phi(spark, d):
     cv = _cv(spark, d, test=False)
-    _, _, full = cv.gbt("a", rounds=DRIVER_GBT_ROUNDS, include_full=True)
+    _, _, full = cv.boost("a", rounds=DRIVER_GBT_ROUNDS, include_full=True)
     t = cv.fit.transforms[(FULL, FULL)]
-    feats = cv._features(cv.w_train, (FULL, FULL)).select("id", "features", "w")
-    from pyspark.ml.functions import vector_to_array
-    feats = feats.withColumn("x", vector_to_array("features"))
+    from cadence.operators.models import design_features
+    feats = design_features(cv.w_train.select("id", "w"), "w", t.B, "x")
     return I.tree_attributions(feats, "id", "x", full, t.names), full, feats
 
 
@@ -218,8 +224,8 @@ def cv_stack_metrics(spark, d):
     """The reference's main flow on F6: four base models out of fold, non-negative stack, metrics."""
     from cadence.operators.metrics import metrics_table
     cv = _cv(spark, d)
-    parts = [cv.linear_predictions(cv.ridge(), "ridge")[0], cv.gbt("a", rounds=DRIVER_GBT_ROUNDS)[0],
-             cv.gbt("b", rounds=DRIVER_GBT_ROUNDS)[0], cv.rff_svr(n_features=32, max_iter=15)[0]]
+    parts = [cv.linear_predictions(cv.ridge(), "ridge")[0], cv.boost("a", rounds=DRIVER_GBT_ROUNDS)[0],
+             cv.boost("b", rounds=DRIVER_GBT_ROUNDS)[0], cv.rff_svr(n_features=32, max_iter=15)[0]]
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
@@ -241,6 +247,7 @@ QUERIES = {
     "v7_ridge_coefficients": v7_ridge_coefficients,
     "v8_gbt_profile_a": v8_gbt_profile_a,
     "v9_gbt_profile_b": v9_gbt_profile_b,
+    "v8_spark_ml_gbt": v8_spark_ml_gbt,
     "v10_rff_svr": v10_rff_svr,
     "v11_ridge_oof": v11_ridge_oof,
     "v12_ridge_test_average": v12_ridge_test_average,

@@ -226,3 +226,37 @@ def test_hot_split_join_splits_hot_keys(spark, monkeypatch):
     assert [r["k"] for r in jm.hot_keys(big, ["k"])] == [0]
     out = jm.hot_split_join(big, small, ["k"], "left").toPandas()
     assert len(out) == 4000 and (out["v"] == out["k"] * 10).all()
+
+
+def test_histogram_booster_rules_and_attributions(spark):
+    from dataclasses import replace
+
+    from cadence.operators.boosting import PROFILES, FoldBooster, predict_model
+    from cadence.operators.crossval import CrossValidation
+    from cadence.operators.explain import tree_attributions
+    from cadence.operators.models import design_features
+
+    rng = np.random.default_rng(5)
+    n = 600
+    X = rng.normal(size=(n, 3))
+    y = 2.0 * (X[:, 0] > 0.3) + np.sin(X[:, 1]) + 0.1 * rng.normal(size=n)
+    pdf = pd.DataFrame({"id": np.arange(n), "a": X[:, 0], "b": X[:, 1], "c": X[:, 2], "y": y})
+    df = spark.createDataFrame(pdf)
+    cv = CrossValidation(df, "id", Layout(["a", "b", "c"], label="y"), 5, 1, 3)
+    for prof in ("a", "b"):
+        params = replace(PROFILES[prof], rounds=15, learning_rate=0.3)
+        models = FoldBooster(cv, params, [(0, 0), (FULL, FULL)]).fit()
+        full = models[(FULL, FULL)]
+        for t in full.trees:
+            leaves = t.leaves()
+            assert len(leaves) <= params.num_leaves
+            assert max(t.depth) <= params.max_depth
+            assert min(t.count[i] for i in leaves) >= params.min_leaf
+        tr = cv.fit.transforms[(FULL, FULL)]
+        pred = predict_model(cv.w_train, "id", full, tr.B).toPandas().set_index("id").sort_index()["pred"]
+        assert np.sqrt(np.mean((pred.to_numpy() - y) ** 2)) < 0.6 * np.std(y)
+        feats = design_features(cv.w_train.select("id", "w"), "w", tr.B, "x")
+        phi = tree_attributions(feats, "id", "x", full, tr.names).toPandas().set_index("id").sort_index()
+        total = phi[tr.names].sum(axis=1) + phi["base"]
+        assert np.allclose(total.to_numpy(), pred.to_numpy(), atol=1e-8)
+        assert full.split_counts()[2] <= full.split_counts()[0]
