@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.folds import FULL, assign_folds, train_membership
-from cadence.operators.gram import grouped_gram
+from cadence.operators.gram import emit_blocks, grouped_gram, sum_blocks
 from cadence.operators.models import (RIDGE_ALPHA, FoldFit, Layout, design_features, design_vector, dot, fit_folds,
                                       ridge_weights)
 
@@ -175,31 +175,48 @@ class CrossValidation:
             params[rf] = [t.B, omega, phase, theta]
         member = train_membership(self.folds, self.key, self.k, include_full).where(
             F.struct("repeat", "fold").isin(*[F.struct(F.lit(r), F.lit(f)) for r, f in keys]))
-        rows = self.w_train.join(member, self.key).select("repeat", "fold", "y", "w").checkpoint(eager=True)
+        rows = self.w_train.join(member, self.key).select("repeat", "fold", "y", "w")
+        # fold design columns computed once; each Newton step is then one pass with per-task Grams
+        q = next(iter(params.values()))[0].shape[0]
+        xcols = [f"x_{j}" for j in range(q)]
+        Bs = self.train.sparkSession.sparkContext.broadcast({rf: p[0] for rf, p in params.items()})
+
+        def design(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                outs = []
+                for (r, f), part in b.groupby(["repeat", "fold"], sort=False):
+                    X = np.stack(part["w"].to_numpy()) @ Bs.value[(r, f)].T
+                    out = pd.DataFrame(X, columns=xcols)
+                    out.insert(0, "y", part["y"].to_numpy())
+                    out.insert(0, "fold", f)
+                    out.insert(0, "repeat", r)
+                    outs.append(out)
+                if outs:
+                    yield pd.concat(outs, ignore_index=True)
+
+        xschema = "repeat int, fold int, y double, " + ", ".join(f"{c} double" for c in xcols)
+        xrows = rows.mapInPandas(design, xschema).checkpoint(eager=True)
         dim = n_features + 2
         sc = self.train.sparkSession.sparkContext
-        active_prev: dict[tuple, float] = {}
         for _ in range(max_iter):
-            bc = sc.broadcast({rf: p for rf, p in params.items()})
+            bc = sc.broadcast({rf: p[1:] for rf, p in params.items()})
 
             def step(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
                 ps = bc.value
+                acc: dict = {}
                 for b in batches:
-                    out = []
                     for (r, f), part in b.groupby(["repeat", "fold"], sort=False):
-                        B, om, ph, th = ps[(r, f)]
-                        Z = _rff(np.stack(part["w"].to_numpy()) @ B.T, om, ph)
+                        om, ph, th = ps[(r, f)]
+                        Z = _rff(part[xcols].to_numpy(), om, ph)
                         y = part["y"].to_numpy()
                         res = y - Z @ th
                         act = np.abs(res) > epsilon
-                        tgt = y - epsilon * np.sign(res)
-                        v = np.hstack([Z[act], tgt[act][:, None]])
-                        out.append(pd.DataFrame({"repeat": r, "fold": f, "v": list(v)}))
-                    if out:
-                        yield pd.concat(out, ignore_index=True)
-
-            vecs = rows.mapInPandas(step, "repeat int, fold int, v array<double>")
-            grams = grouped_gram(vecs, ["repeat", "fold"], "v", dim)
+                        v = np.hstack([Z[act], (y - epsilon * np.sign(res))[act][:, None]])
+                        acc[(r, f)] = acc.get((r, f), 0.0) + v.T @ v
+                yield emit_blocks(acc, ["repeat", "fold"], dim)
+
+            grams = sum_blocks(xrows.mapInPandas(step, "repeat int, fold int, _block int, _v array<double>"),
+                               ["repeat", "fold"], dim)
             moved = 0.0
             for rf in keys:
                 G = grams.get(rf)
@@ -211,7 +228,6 @@ class CrossValidation:
                 new = np.linalg.solve(H, g)
                 moved = max(moved, float(np.max(np.abs(new - params[rf][3]))))
                 params[rf][3] = new
-                active_prev[rf] = G[-1, -1]
             bc.unpersist()
             if moved < 1e-9:
                 break

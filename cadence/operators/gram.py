@@ -17,6 +17,31 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
+def sum_blocks(parts: DataFrame, group_cols: Sequence[str], dim: int) -> dict[tuple, np.ndarray]:
+    """Sum per-task partial matrices emitted as (groups..., _block, _v) rows and collect them as d x d."""
+    g = list(group_cols)
+    nblocks = (dim * dim + BLOCK - 1) // BLOCK
+    summed = parts.groupBy(*g, "_block").agg(F.collect_list("_v").alias("_l")).select(
+        *g, "_block", F.aggregate("_l", F.array_repeat(F.lit(0.0), F.size(F.element_at("_l", 1))),
+                                  lambda acc, x: F.zip_with(acc, x, lambda a, c: a + c)).alias("_v"))
+    out: dict[tuple, list] = {}
+    for r in summed.collect():
+        key = tuple(r[c] for c in g)
+        out.setdefault(key, [None] * nblocks)[r["_block"]] = r["_v"]
+    return {k: np.array([x for blk in v for x in blk], dtype=np.float64).reshape(dim, dim) for k, v in out.items()}
+
+
+def emit_blocks(acc: dict[tuple, np.ndarray], group_names: Sequence[str], dim: int) -> pd.DataFrame:
+    """Per-task partial matrices as fixed-size blocks (the input of :func:`sum_blocks`)."""
+    nblocks = (dim * dim + BLOCK - 1) // BLOCK
+    rows = []
+    for key, m in acc.items():
+        flat = m.reshape(-1)
+        for bi in range(nblocks):
+            rows.append((*key, bi, flat[bi * BLOCK:(bi + 1) * BLOCK].tolist()))
+    return pd.DataFrame(rows, columns=[*group_names, "_block", "_v"])
+
+
 def grouped_gram(df: DataFrame, group_cols: Sequence[str], w_col: str, dim: int,
                  max_tasks: int | None = None) -> dict[tuple, np.ndarray]:
     g = list(group_cols)

@@ -260,3 +260,26 @@ def test_histogram_booster_rules_and_attributions(spark):
         total = phi[tr.names].sum(axis=1) + phi["base"]
         assert np.allclose(total.to_numpy(), pred.to_numpy(), atol=1e-8)
         assert full.split_counts()[2] <= full.split_counts()[0]
+
+
+def test_every_base_model_beats_baseline_out_of_fold(spark):
+    from cadence.operators.crossval import CrossValidation
+
+    rng = np.random.default_rng(11)
+    n = 800
+    X = rng.normal(size=(n, 4))
+    y = np.clip(2.5 + X[:, 0] + 0.8 * np.tanh(2 * X[:, 1]) + 0.3 * rng.normal(size=n), 0, 5)
+    pdf = pd.DataFrame({"id": np.arange(n), **{f"f{j}": X[:, j] for j in range(4)}, "y": y})
+    pdf.loc[::13, "f2"] = np.nan
+    df = spark.createDataFrame(pdf)
+    cv = CrossValidation(df, "id", Layout([f"f{j}" for j in range(4)], label="y"), 5, 2, 42)
+    truth = df.select("id", "y")
+
+    def oof_rmse(oof):
+        return M.basic_metrics(oof.join(truth, "id"), "y", "pred").first()["rmse"]
+
+    base = oof_rmse(cv.linear_predictions(cv.baseline(), "baseline")[0])
+    assert oof_rmse(cv.linear_predictions(cv.ridge(), "ridge")[0]) < 0.7 * base
+    assert oof_rmse(cv.boost("a", rounds=30)[0]) < base
+    assert oof_rmse(cv.boost("b", rounds=30)[0]) < base
+    assert oof_rmse(cv.rff_svr(n_features=32, max_iter=10)[0]) < 0.8 * base
