@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.folds import FULL, train_membership
+from cadence.session import right_size
 
 
 @dataclass
@@ -160,6 +161,7 @@ class FoldBooster:
                     yield pd.concat(outs, ignore_index=True)
 
         xrows = rows.mapInPandas(features, "repeat int, fold int, y double, x array<double>").persist()
+        xrows = right_size(xrows).persist()
         # per-fold bin edges from quantile sketches of the fold's training rows
         nbins = params.bins
         probs = [i / nbins for i in range(1, nbins)]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cadence.operators.folds import FULL, assign_folds, train_membership
 from cadence.operators.gram import emit_blocks, grouped_gram, sum_blocks
+from cadence.session import right_size
 from cadence.operators.models import (RIDGE_ALPHA, FoldFit, Layout, design_features, design_vector, dot, fit_folds,
                                       ridge_weights)
 
@@ -36,8 +37,8 @@ class CrossValidation:
     def __init__(self, train: DataFrame, key: str, layout: Layout, k: int = 5, repeats: int = 2, seed: int = 42,
                  n_components: int = 16, test: DataFrame | None = None):
         # the feature table is read by many small jobs (folds, shifts, Gram, medians, scoring): keep one copy
-        train = train.persist()
-        test = (train if test is train else test.persist()) if test is not None else None
+        train = right_size(train.persist()).persist()
+        test = (train if test is train else right_size(test.persist()).persist()) if test is not None else None
         self.train, self.key, self.layout, self.k, self.repeats, self.seed = train, key, layout, k, repeats, seed
         self.test = test
         self.folds = assign_folds(train, key, layout.label, k, repeats, seed).checkpoint(eager=True)
@@ -195,7 +196,7 @@ class CrossValidation:
                     yield pd.concat(outs, ignore_index=True)
 
         xschema = "repeat int, fold int, y double, " + ", ".join(f"{c} double" for c in xcols)
-        xrows = rows.mapInPandas(design, xschema).checkpoint(eager=True)
+        xrows = right_size(rows.mapInPandas(design, xschema).checkpoint(eager=True))
         dim = n_features + 2
         sc = self.train.sparkSession.sparkContext
         for _ in range(max_iter):

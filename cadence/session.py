@@ -89,3 +89,17 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(archive)
     _SHIPPED.add(app)
+
+
+ROWS_PER_PARTITION = 250_000
+
+
+def right_size(df, rows: int | None = None, rows_per_partition: int = ROWS_PER_PARTITION):
+    """Coalesce (no shuffle) a table that many passes will read to max(parallelism, rows / target)
+    partitions, from a measured row count; never increases the partition count."""
+    import math
+
+    n = rows if rows is not None else df.count()
+    sc = df.sparkSession.sparkContext
+    want = max(sc.defaultParallelism, math.ceil(n / rows_per_partition))
+    return df.coalesce(want) if df.rdd.getNumPartitions() > want else df
