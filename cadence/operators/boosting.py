@@ -35,6 +35,8 @@ class BoostParams:
     bins: int = 64
 
 
+BATCH_ROWS = 200_000  # Arrow batch size during boosting passes (narrow int columns)
+
 # Profiles of the reference's two boosters (library defaults for the unlisted settings).
 PROFILES = {
     "a": BoostParams(rounds=120, learning_rate=0.03, max_depth=3, num_leaves=7, min_leaf=20, l2=0.0, growth="leaf"),
@@ -191,7 +193,10 @@ class FoldBooster:
 
         schema = "repeat int, fold int, y double, " + ", ".join(f"{c} int" for c in bcols)
         base = {rf: cv.fit.transforms[rf].ybar for rf in self.keys}
-        self.table = xrows.mapInPandas(binned, schema).withColumn("pred", self._base_col(base)).persist()
+        # rows of one fold sit together inside each partition (a local sort, no shuffle), so an Arrow
+        # batch holds few folds
+        self.table = xrows.mapInPandas(binned, schema).withColumn("pred", self._base_col(base)) \
+            .sortWithinPartitions("repeat", "fold").persist()
         self.table.count()
         xrows.unpersist()
         self.recent: dict = {rf: [] for rf in self.keys}   # trees not yet folded into ``pred``
@@ -272,8 +277,6 @@ class FoldBooster:
                 t = trees[(r, f)]
                 if first:
                     t.count[0], t.grad[0] = float(hn[0].sum()), float(hg[0].sum())
-                if t.depth[lf] >= p.max_depth:
-                    continue
                 best = _best_split(hg, hn, p)
                 if best is not None:
                     candidates[(r, f, lf)] = best
@@ -291,7 +294,8 @@ class FoldBooster:
                     if p.growth == "depth" and len(t.leaves()) >= p.num_leaves:
                         break
                     t.split(lf, fi, bi, self._threshold(rf, fi, bi), gain, lstat, rstat, p.learning_rate, p.l2)
-                    pending[rf] += [t.left[lf], t.right[lf]]
+                    # children at the depth limit can never split: no histogram pass for them
+                    pending[rf] += [c for c in (t.left[lf], t.right[lf]) if t.depth[c] < p.max_depth]
                     candidates.pop((rf[0], rf[1], lf), None)
             if p.growth == "leaf":
                 for rf in self.keys:
@@ -303,6 +307,16 @@ class FoldBooster:
         return trees
 
     def fit(self) -> dict:
+        conf = self.cv.train.sparkSession.conf
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, str(BATCH_ROWS))  # passes are numpy-bound: larger batches, fewer Python calls
+        try:
+            return self._fit()
+        finally:
+            conf.set(key, before)
+
+    def _fit(self) -> dict:
         for i in range(self.p.rounds):
             trees = self._grow()
             for rf, t in trees.items():
