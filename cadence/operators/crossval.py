@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.folds import FULL, assign_folds, train_membership
-from cadence.operators.gram import emit_blocks, grouped_gram, sum_blocks
+from cadence.operators.gram import emit_blocks, sum_blocks
 from cadence.session import right_size
 from cadence.operators.models import (RIDGE_ALPHA, FoldFit, Layout, design_features, design_vector, dot, fit_folds,
                                       ridge_weights)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadence.functions.text import clip
 from cadence.operators import keys as K
 from cadence.operators.assemble import align, assemble, concat_features, feature_columns
 from cadence.operators.ordinal import ordinal_within

@@ -11,7 +11,7 @@ from cadence.operators import folds as V
 from cadence.operators import stack as ST
 from cadence.operators.crossval import CrossValidation
 from cadence.operators.folds import FULL
-from cadence.operators.models import Layout, design_vector, dot, ridge_coef
+from cadence.operators.models import Layout, dot, ridge_coef
 from cadence.plans import fixtures as fx
 from cadence.plans.common import big, r6
 from cadence.plans.oracle_fixtures import with_fixtures
@@ -28,10 +28,6 @@ def _cv(spark, d, features=FEATURES, test=True):
                            test=f6 if test else None)
 
 
-def _stats_frame(spark, cv, rows):
-    return spark.createDataFrame(rows)
-
-
 def v1_assign_folds(spark, d):
     f = V.assign_folds(fx.f6_reg(spark, d), "id", "y", K_FOLDS, REPEATS, SEED)
     return f.select(big("id"), big("repeat"), big("fold"), big("stratum"))
