@@ -49,6 +49,12 @@ def g5_spectral_centroid(spark, d):
     return out.select(big("clip_id"), r6("centroid_mean"), r6("centroid_std"))
 
 
+def g6_mfcc_summary(spark, d):
+    out = signal_features(fx.f8_signal(spark, d), ["clip_id"], frame=FRAME, hop=HOP, n_mels=N_MELS)
+    cols = [f"mfcc_mean_{i}" for i in range(13)] + [f"mfcc_std_{i}" for i in range(13)]
+    return out.select(big("clip_id"), *[r6(c) for c in cols])
+
+
 def g7_g8_signal_summary(spark, d):
     out = signal_features(fx.f8_signal(spark, d), ["clip_id"], frame=FRAME, hop=HOP, spectral=False)
     return out.select(big("clip_id"), r6("rms_mean"), r6("rms_std"), r6("zcr_mean"), r6("zcr_std"))
@@ -67,6 +73,7 @@ QUERIES = {
     "g4_frame_zcr": g4_frame_zcr,
     "g5_g6_spectral": g5_g6_spectral,
     "g5_spectral_centroid": g5_spectral_centroid,
+    "g6_mfcc_summary": g6_mfcc_summary,
     "g7_g8_signal_summary": g7_g8_signal_summary,
     "g2_notebook_trimmed_features": g2_notebook_trimmed_features,
 }
@@ -139,3 +146,41 @@ cs AS (SELECT clip_id, avg(c) AS cm, stddev_pop(c) AS cv FROM cen GROUP BY clip_
 SELECT CAST(f.clip_id AS BIGINT) AS clip_id, round(coalesce(cm, 0.0), 6) AS centroid_mean, round(coalesce(cv, 0.0), 6) AS centroid_std
 FROM f8_signal f LEFT JOIN cs ON f.clip_id = cs.clip_id"""
 ORACLES["g5_spectral_centroid"] = with_fixtures(_frames(_NORM).rstrip() + _DFT, "f8_signal")
+
+
+def _mfcc_sql() -> str:
+    """G6 by joins: |DFT|^2 of Hann frames, a mel filterbank table, 10 log10 with a per-clip floor at
+    max - 80 dB, and an orthonormal DCT-II basis table. The two weight tables are constants of
+    (sr, frame, mel count) and are inlined as VALUES."""
+    import numpy as np
+
+    from cadence.operators.signal import mel_filters
+
+    fb = mel_filters(64, FRAME, N_MELS)
+    mel_rows = ", ".join(f"({m}, {k}, {repr(float(fb[m, k]))})" for m in range(fb.shape[0]) for k in range(fb.shape[1]) if fb[m, k] != 0)
+    n = N_MELS
+    dct_rows = ", ".join(
+        f"({c}, {m}, {repr(float(np.cos(np.pi / n * (m + 0.5) * c) * np.sqrt(2.0 / n) / (np.sqrt(2.0) if c == 0 else 1.0)))})"
+        for c in range(13) for m in range(n))
+    means = ", ".join(f"round(coalesce(max(mm) FILTER (WHERE c = {i}), 0.0), 6) AS mfcc_mean_{i}" for i in range(13))
+    stds = ", ".join(f"round(coalesce(max(ms) FILTER (WHERE c = {i}), 0.0), 6) AS mfcc_std_{i}" for i in range(13))
+    return f""", win AS (SELECT n, 0.5 - 0.5 * cos(2 * pi() * n / 16) AS h FROM range(16) t(n)),
+bins AS (SELECT k FROM range(9) t(k)),
+fx AS (SELECT fr.clip_id, fr.t, w.n, coalesce(p.v, 0.0) * w.h AS xw
+       FROM fr CROSS JOIN win w LEFT JOIN pts p ON p.clip_id = fr.clip_id AND p.i = fr.t * 8 + w.n - 8),
+pw AS (SELECT fx.clip_id, fx.t, b.k, power(sum(xw * cos(2 * pi() * b.k * fx.n / 16)), 2)
+                                      + power(sum(xw * sin(2 * pi() * b.k * fx.n / 16)), 2) AS p
+       FROM fx CROSS JOIN bins b GROUP BY fx.clip_id, fx.t, b.k),
+melw AS (SELECT * FROM (VALUES {mel_rows}) v(m, k, wt)),
+mel AS (SELECT pw.clip_id, pw.t, melw.m, 10 * log10(greatest(sum(pw.p * melw.wt), 1e-10)) AS db
+        FROM pw JOIN melw ON pw.k = melw.k GROUP BY pw.clip_id, pw.t, melw.m),
+floor_ AS (SELECT clip_id, max(db) - 80 AS fl FROM mel GROUP BY clip_id),
+dctw AS (SELECT * FROM (VALUES {dct_rows}) v(c, m, wt)),
+mf AS (SELECT mel.clip_id, mel.t, dctw.c, sum(greatest(mel.db, floor_.fl) * dctw.wt) AS v
+       FROM mel JOIN floor_ ON mel.clip_id = floor_.clip_id JOIN dctw ON mel.m = dctw.m GROUP BY mel.clip_id, mel.t, dctw.c),
+st AS (SELECT clip_id, c, avg(v) AS mm, stddev_pop(v) AS ms FROM mf GROUP BY clip_id, c)
+SELECT CAST(f.clip_id AS BIGINT) AS clip_id, {means}, {stds}
+FROM f8_signal f LEFT JOIN st ON f.clip_id = st.clip_id GROUP BY f.clip_id"""
+
+
+ORACLES["g6_mfcc_summary"] = with_fixtures(_frames(_NORM).rstrip() + _mfcc_sql(), "f8_signal")
