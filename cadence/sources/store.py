@@ -43,6 +43,17 @@ class FeatureStore:
                 raise ValueError(f"stored table {name!r} lacks or mistypes columns {bad}")
         return df
 
+    def get_or_build(self, name: str, expected: DataFrame, build, partition_by: str | None = "split") -> DataFrame:
+        """Cached feature view: reuse the stored table only if its keys equal ``expected`` exactly (same key
+        set, one row per key, checked in one pass, U4); otherwise ``build()`` it, overwrite, and read back.
+        All-or-nothing, as the reference's feature modules (a partial match recomputes everything)."""
+        if self.exists(name):
+            r = same_keys(self.read(name).select(*self.keys), expected.select(*self.keys).distinct(), self.keys).first()
+            if r["same"]:
+                return self.read(name)
+        self.write(build(), name, partition_by)
+        return self.read(name)
+
     def completeness(self, name: str, expected: DataFrame) -> DataFrame:
         """Stored table against expected keys: counts and key differences in one pass (not just a count)."""
         return same_keys(self.read(name).select(*self.keys), expected.select(*self.keys), self.keys)

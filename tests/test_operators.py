@@ -283,3 +283,23 @@ def test_every_base_model_beats_baseline_out_of_fold(spark):
     assert oof_rmse(cv.boost("a", rounds=30)[0]) < base
     assert oof_rmse(cv.boost("b", rounds=30)[0]) < base
     assert oof_rmse(cv.rff_svr(n_features=32, max_iter=10)[0]) < 0.8 * base
+
+
+def test_feature_store_reuses_only_exact_key_sets(spark):
+    from cadence.session import scratch_path
+    from cadence.sources.store import FeatureStore
+
+    store = FeatureStore(spark, scratch_path(spark, "t_store_cache"))
+    keys = spark.createDataFrame([("train", f"f{i}") for i in range(5)], "split string, filename string")
+    calls = []
+
+    def build():
+        calls.append(1)
+        return keys.withColumn("v", F.length("filename"))
+
+    assert store.get_or_build("view", keys, build).count() == 5 and len(calls) == 1
+    store.get_or_build("view", keys, build)
+    assert len(calls) == 1                                   # exact match: reused
+    more = keys.union(spark.createDataFrame([("test", "f9")], "split string, filename string"))
+    assert store.get_or_build("view", more, lambda: (calls.append(1), more.withColumn("v", F.lit(1)))[1]).count() == 6
+    assert len(calls) == 2                                   # mismatch: rebuilt
