@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.folds import FULL, train_membership
+from cadence.operators.gram import tree_sum_arrays
 from cadence.session import right_size
 
 
@@ -247,13 +248,7 @@ class FoldBooster:
             yield pd.DataFrame(rows, columns=["repeat", "fold", "leaf", "g", "n"])
 
         parts = self.table.mapInPandas(run, "repeat int, fold int, leaf long, g array<double>, n array<double>")
-
-        def vsum(c):
-            return F.aggregate(c, F.array_repeat(F.lit(0.0), F.size(F.element_at(c, 1))),
-                               lambda a, x: F.zip_with(a, x, lambda u, v: u + v))
-
-        summed = parts.groupBy("repeat", "fold", "leaf").agg(F.collect_list("g").alias("lg"), F.collect_list("n").alias("ln")) \
-            .select("repeat", "fold", "leaf", vsum(F.col("lg")).alias("g"), vsum(F.col("ln")).alias("n"))
+        summed = tree_sum_arrays(parts, ["repeat", "fold", "leaf"], ["g", "n"])
         out = {}
         for r in summed.collect():
             q = self.q[(r["repeat"], r["fold"])]

@@ -17,13 +17,32 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
+def _vector_sum(c):
+    return F.aggregate(c, F.array_repeat(F.lit(0.0), F.size(F.element_at(c, 1))),
+                       lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+
+
+def tree_sum_arrays(parts: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Element-wise sums of per-task partial arrays per key, in two levels: partials are first summed in
+    buckets of the producing task id, then the bucket sums are summed. A reducer holds at most about
+    sqrt(tasks) arrays per key instead of one array per task."""
+    import math
+
+    keys, values = list(keys), list(values)
+    tasks = max(1, parts.rdd.getNumPartitions())
+    buckets = max(1, int(math.ceil(math.sqrt(tasks))))
+    tagged = parts.withColumn("_bucket", F.spark_partition_id() % buckets)
+    first = tagged.groupBy(*keys, "_bucket").agg(*[F.collect_list(v).alias(v) for v in values]) \
+        .select(*keys, *[_vector_sum(F.col(v)).alias(v) for v in values])
+    return first.groupBy(*keys).agg(*[F.collect_list(v).alias(v) for v in values]) \
+        .select(*keys, *[_vector_sum(F.col(v)).alias(v) for v in values])
+
+
 def sum_blocks(parts: DataFrame, group_cols: Sequence[str], dim: int) -> dict[tuple, np.ndarray]:
     """Sum per-task partial matrices emitted as (groups..., _block, _v) rows and collect them as d x d."""
     g = list(group_cols)
     nblocks = (dim * dim + BLOCK - 1) // BLOCK
-    summed = parts.groupBy(*g, "_block").agg(F.collect_list("_v").alias("_l")).select(
-        *g, "_block", F.aggregate("_l", F.array_repeat(F.lit(0.0), F.size(F.element_at("_l", 1))),
-                                  lambda acc, x: F.zip_with(acc, x, lambda a, c: a + c)).alias("_v"))
+    summed = tree_sum_arrays(parts, [*g, "_block"], ["_v"])
     out: dict[tuple, list] = {}
     for r in summed.collect():
         key = tuple(r[c] for c in g)
@@ -70,11 +89,4 @@ def grouped_gram(df: DataFrame, group_cols: Sequence[str], w_col: str, dim: int,
     types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     schema = ", ".join([f"{c} {types[c]}" for c in g] + ["_block int", "_v array<double>"])
     parts = src.mapInPandas(partial, schema)
-    summed = parts.groupBy(*g, "_block").agg(F.collect_list("_v").alias("_l")).select(
-        *g, "_block", F.aggregate("_l", F.array_repeat(F.lit(0.0), F.size(F.element_at("_l", 1))),
-                                  lambda acc, x: F.zip_with(acc, x, lambda a, c: a + c)).alias("_v"))
-    out: dict[tuple, list] = {}
-    for r in summed.collect():
-        key = tuple(r[c] for c in g)
-        out.setdefault(key, [None] * nblocks)[r["_block"]] = r["_v"]
-    return {k: np.array([x for blk in v for x in blk], dtype=np.float64).reshape(dim, dim) for k, v in out.items()}
+    return sum_blocks(parts, g, dim)
