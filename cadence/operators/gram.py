@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+SINGLE_LEVEL_TASKS = 64  # up to this many partial arrays per key are summed in one step
 
 
 def _vector_sum(c):
@@ -30,6 +31,9 @@ def tree_sum_arrays(parts: DataFrame, keys: Sequence[str], values: Sequence[str]
 
     keys, values = list(keys), list(values)
     tasks = max(1, parts.rdd.getNumPartitions())
+    if tasks <= SINGLE_LEVEL_TASKS:
+        return parts.groupBy(*keys).agg(*[F.collect_list(v).alias(v) for v in values]) \
+            .select(*keys, *[_vector_sum(F.col(v)).alias(v) for v in values])
     buckets = max(1, int(math.ceil(math.sqrt(tasks))))
     tagged = parts.withColumn("_bucket", F.spark_partition_id() % buckets)
     first = tagged.groupBy(*keys, "_bucket").agg(*[F.collect_list(v).alias(v) for v in values]) \

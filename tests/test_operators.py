@@ -303,3 +303,15 @@ def test_feature_store_reuses_only_exact_key_sets(spark):
     more = keys.union(spark.createDataFrame([("test", "f9")], "split string, filename string"))
     assert store.get_or_build("view", more, lambda: (calls.append(1), more.withColumn("v", F.lit(1)))[1]).count() == 6
     assert len(calls) == 2                                   # mismatch: rebuilt
+
+
+def test_tree_sum_two_levels_equals_one(spark, monkeypatch):
+    import cadence.operators.gram as gm
+
+    parts = spark.range(400).repartition(80).select((F.col("id") % 3).alias("k"),
+                                                    F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    one = {r["k"]: r["v"] for r in gm.tree_sum_arrays(parts.coalesce(4), ["k"], ["v"]).collect()}
+    monkeypatch.setattr(gm, "SINGLE_LEVEL_TASKS", 1)
+    two = {r["k"]: r["v"] for r in gm.tree_sum_arrays(parts, ["k"], ["v"]).collect()}
+    assert one == two
+    assert two[0] == [float(sum(i for i in range(400) if i % 3 == 0)), float(len(range(0, 400, 3)))]
