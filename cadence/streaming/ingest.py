@@ -29,8 +29,9 @@ def _stored(spark: SparkSession, store: str) -> DataFrame | None:
 
 def ingest_increment(spark: SparkSession, source: str, schema: T.StructType, store: str, checkpoint: str,
                      keys: Sequence[str], order: Sequence[str], features: Callable[[DataFrame], DataFrame],
-                     files_per_batch: int | None = None, stop_after_batches: int | None = None) -> int:
-    """Drain ``source`` into ``store``; returns the number of batches run. ``stop_after_batches`` stops
+                     files_per_batch: int | None = 20, stop_after_batches: int | None = None) -> int:
+    """Drain ``source`` into ``store``; returns the number of batches run. A micro-batch takes at most
+    ``files_per_batch`` new files (20, the reference's checkpoint interval). ``stop_after_batches`` stops
     early (used to test restarts)."""
     keys = list(keys)
     reader = spark.readStream.schema(schema)
