@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.llm import exact_dedup, mixing, sharding
+from cadence.llm import exact_dedup, mixing, ngram_join, sharding
 from cadence.llm.common import table
 
 
@@ -18,9 +18,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document (five-word shingles, Jaccard 0.8)."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents through binary-fuse filters of earlier batches."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_mixing, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_mixing, op5_ngram_join, op7_exact_dedup)}
