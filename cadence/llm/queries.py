@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.llm import exact_dedup, mixing, ngram_join, sharding
+from cadence.llm import exact_dedup, langid, mixing, ngram_join, sharding
 from cadence.llm.common import table
 
 
@@ -23,9 +23,14 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by mixture inference; learned outside the held-out fold."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents through binary-fuse filters of earlier batches."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_mixing, op5_ngram_join, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup)}
