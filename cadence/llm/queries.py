@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.llm import exact_dedup, langid, mixing, ngram_join, sharding
+from cadence.llm import exact_dedup, langid, mixing, ngram_join, sharding, suffix_dedup
 from cadence.llm.common import table
 
 
@@ -33,4 +33,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup)}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a 50-byte string of a document with a smaller id."""
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup, op8_suffix_dedup)}
