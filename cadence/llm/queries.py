@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.llm import exact_dedup, langid, mixing, ngram_join, sharding, suffix_dedup
+from cadence.llm import decontam, exact_dedup, langid, mixing, ngram_join, sharding, suffix_dedup
 from cadence.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(8))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) leak among all documents."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when sources weigh 5, 2, 1 and share 150% of all words."""
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
@@ -38,4 +43,4 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup, op8_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_decontamination, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup, op8_suffix_dedup)}
