@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.llm import decontam, exact_dedup, langid, mixing, ngram_join, sharding, suffix_dedup
+from cadence.llm import decontam, exact_dedup, html_extract, langid, mixing, ngram_join, sharding, suffix_dedup
 from cadence.llm.common import table
 
 
@@ -43,4 +43,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_decontamination, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup, op8_suffix_dedup)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by structure and nearest-URL differencing."""
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_decontamination, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup, op8_suffix_dedup, op10_html_extraction)}
