@@ -81,4 +81,31 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shar
 FROM t
 """
 
-ORACLES = {"op1_sharding": OP1, "op4_mixing": OP4, "op7_exact_dedup": OP7}
+# every capture against every interval of its patterns, without the as-of window
+OP2 = r"""
+WITH p AS (
+  SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+         list_filter(string_split(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS seg,
+         DATE '2024-01-01' + (('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), 'null') || '|' || coalesce(url, '')), 1, 7))::INT % 366) AS day
+  FROM pages),
+l AS (SELECT *, string_split(host, '.') AS lab FROM p),
+k AS (
+  SELECT page_id, url, day, host AS pattern FROM l WHERE host <> ''
+  UNION SELECT page_id, url, day, array_to_string(lab[i:len(lab)], '.') FROM l, range(1, 20) r(i) WHERE host <> '' AND i <= greatest(len(lab) - 1, 1)
+  UNION SELECT page_id, url, day, host || '/' || array_to_string(seg[1:i], '/') FROM l, range(1, 3) r(i) WHERE host <> '' AND i <= len(seg)),
+s AS (SELECT DISTINCT pattern FROM k WHERE ('0x' || substr(md5('listed:' || pattern), 1, 7))::INT % 3 = 0),
+e AS (
+  SELECT CASE WHEN ('0x' || substr(md5('list:' || pattern), 1, 7))::INT % 2 = 0 THEN 'spam' ELSE 'adult' END AS list, pattern,
+         DATE '2024-01-01' + (('0x' || substr(md5('day' || n || ':' || pattern), 1, 7))::INT % 366) AS day,
+         CASE WHEN n = 1 THEN 'drop' ELSE 'add' END AS action
+  FROM s, range(0, 3) r(n)),
+d AS (SELECT list, pattern, day, max(action) AS action FROM e GROUP BY ALL),
+v AS (SELECT list, pattern, action, day AS valid_from, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS valid_to FROM d),
+h AS (SELECT k.page_id, k.url, k.day, k.pattern, v.list FROM k JOIN v ON k.pattern = v.pattern AND v.action = 'add'
+      AND k.day >= v.valid_from AND (v.valid_to IS NULL OR k.day < v.valid_to)),
+g AS (SELECT page_id, url, day, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, max({'n': length(pattern), 'p': pattern}).p AS pattern FROM h GROUP BY ALL)
+SELECT p.page_id, p.url, strftime(p.day, '%Y-%m-%d') AS fetch_day, g.pattern IS NOT NULL AS blocked, coalesce(lists, '') AS lists, g.pattern
+FROM p LEFT JOIN g ON p.page_id = g.page_id AND p.url = g.url AND p.day = g.day
+"""
+
+ORACLES = {"op1_sharding": OP1, "op2_url_filter": OP2, "op4_mixing": OP4, "op7_exact_dedup": OP7}

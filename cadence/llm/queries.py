@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.llm import decontam, exact_dedup, html_extract, langid, mixing, ngram_join, sharding, suffix_dedup
+from cadence.llm import decontam, exact_dedup, html_extract, langid, mixing, ngram_join, sharding, suffix_dedup, url_filter
 from cadence.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(8))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page capture against the list entries active on its fetch day."""
+    return url_filter.url_decisions(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) leak among all documents."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -48,4 +53,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_decontamination, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup, op8_suffix_dedup, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup, op8_suffix_dedup, op10_html_extraction)}
