@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.llm import decontam, exact_dedup, html_extract, langid, mixing, ngram_join, sharding, suffix_dedup, url_filter
+from cadence.llm import chat, decontam, exact_dedup, html_extract, langid, mixing, ngram_join, sharding, suffix_dedup, url_filter
 from cadence.llm.common import table
 
 
@@ -48,9 +48,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from the raw transcripts of all conversations, in canonical form."""
+    return chat.recovered_turns(table(spark, sf_dir, "conversations"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by structure and nearest-URL differencing."""
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup, op8_suffix_dedup, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup, op8_suffix_dedup, op9_chat_format, op10_html_extraction)}
