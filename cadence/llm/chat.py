@@ -14,7 +14,8 @@ many chunks in many tasks.
 
 Turns start at decoded start states; their lines lose the marker and are joined by newlines, and ``rendered`` is the canonical
 form. Edge cases: NULL or empty text is one empty line (symbol of an unmarked short line); NULL conversation ids form one
-conversation; repeated lines stay in order (ties by text); an empty table gives no turns; with no
+conversation; repeated lines stay in order (ties by text); of equally likely
+paths any one is taken; an empty table gives no turns; with no
 labelled lines, uniform counts are used. Other columns are ignored.
 """
 

@@ -38,7 +38,7 @@ ITEM_WORDS = 48
 GROUP, RANK = 128, 96
 COSINE = 0.18
 SAME, LIKE, SHORT = 0.8, 0.6, 8
-COMMON = 0.2             # words in more than this share of the documents carry no weight
+COMMON, SPREAD = 0.2, 0.125  # a word in more than these shares of the documents and of the items (and in two or more) carries no weight
 ITEMS_PER_PASS = 4096
 
 
@@ -149,7 +149,7 @@ class Group(NamedTuple):
 
 class Weights(NamedTuple):
     vocabulary: np.ndarray   # sorted word hashes of the items
-    idf: np.ndarray          # 0 for words in more than COMMON of the documents
+    idf: np.ndarray          # 0 for common words
     unknown: float           # weight of a word that no item has: the mean of the others
 
 
@@ -159,8 +159,10 @@ def _models(docs: DataFrame, items: list[Item]) -> tuple[Weights, list[Group]]:
     vocabulary = np.unique(np.concatenate([x.words for x in items]))
     df, n = _document_frequencies(docs, vocabulary)
     idf = np.log((n + 1.0) / (df + 1.0)) + 0.1
-    if n and (df <= COMMON * n).any():
-        idf[df > COMMON * n] = 0.0
+    spread = np.bincount(np.searchsorted(vocabulary, np.concatenate([np.unique(x.words) for x in items])), minlength=len(vocabulary))
+    common = (df > COMMON * n) & (spread > max(2.0, SPREAD * len(items)))
+    if not common.all():
+        idf[common] = 0.0
     weights = Weights(vocabulary, idf, float(idf[idf > 0].mean()))
     rows, number = [], 0
     for i, item in enumerate(items):
