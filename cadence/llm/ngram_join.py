@@ -224,7 +224,7 @@ def _links(docs: DataFrame, reps: DataFrame, threshold: float, depth: int) -> Da
     members = written(members.join(reps.select("rep", "rep_id", "copies"), "rep"), "op5-members")
 
     texts = docs.select(F.col("id"), F.col("text"))
-    wanted = texts.join(members, F.col("id").eqNullSafe(F.col("rep_id"))).select("rep", "root", "blocks", "copies", "text")
+    wanted = texts.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep_id"))).select("rep", "root", "blocks", "copies", "text")
     sets = wanted.mapInArrow(_sets, "rep binary, root binary, blocks int, copies long, grams binary")
     own = sets.withColumn("own", F.pmod(F.hash("rep"), F.col("blocks")))
     pairs = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
