@@ -134,7 +134,8 @@ def _best_split(hist_g: np.ndarray, hist_n: np.ndarray, p: BoostParams):
     rg, rn = G - cg, N - cn
     ok = (cn >= p.min_leaf) & (rn >= p.min_leaf) & (cn > 0) & (rn > 0)
     parent = G * G / (N + p.l2)
-    gain = np.where(ok, cg * cg / (cn + p.l2) + rg * rg / (rn + p.l2) - parent, -np.inf)
+    left, right = np.where(ok, cn + p.l2, 1.0), np.where(ok, rn + p.l2, 1.0)
+    gain = np.where(ok, cg * cg / left + rg * rg / right - parent, -np.inf)
     f, b = np.unravel_index(np.argmax(gain), gain.shape)
     if not np.isfinite(gain[f, b]) or gain[f, b] <= 1e-12:
         return None

@@ -36,6 +36,9 @@ class CrossValidation:
 
     def __init__(self, train: DataFrame, key: str, layout: Layout, k: int = 5, repeats: int = 2, seed: int = 42,
                  n_components: int = 16, test: DataFrame | None = None):
+        unlabelled = train.where(F.col(layout.label).isNull()).count()
+        if unlabelled:
+            raise ValueError(f"{unlabelled} training rows have no label; drop or label them first")
         # the feature table is read by many small jobs (folds, shifts, Gram, medians, scoring): keep one copy
         train = right_size(train.persist()).persist()
         test = (train if test is train else right_size(test.persist()).persist()) if test is not None else None

@@ -25,7 +25,6 @@ from cadence.operators.gram import grouped_gram
 # Reference model settings (fixed values).
 RIDGE_ALPHA = 10.0
 PCA_COMPONENTS = 16
-_TINY = 1e-12
 
 
 @dataclass
@@ -135,7 +134,9 @@ def fit_transform(G: np.ndarray, layout: Layout, shifts: Shifts, medians: dict[s
         sz, szz = a @ G[:, 0], a @ G @ a
         mu = sz / n
         var = max(szz / n - mu * mu, 0.0)
-        sd = float(np.sqrt(var)) if var > _TINY * (1.0 + mu * mu) else 1.0
+        # constant up to rounding, relative to the column's own magnitude
+        noise = n * np.finfo(float).eps * abs(mu + shifts.feature_means[c])
+        sd = float(np.sqrt(var)) if var > max(noise * noise, np.finfo(float).tiny) else 1.0
         if not standardize:
             sd = 1.0
         row = a.copy()

@@ -126,9 +126,10 @@ def spectral_features(df: DataFrame, keys: Sequence[str], samples: str = "sample
 
 def clip_summary(y: np.ndarray | None, sr: int, frame: int, hop: int, n_mels: int, trim: bool, top_db: float,
                  spectral: bool) -> list[float]:
-    """G1 -> (G2) -> G3/G4 (+ G5/G6) -> G7 for one clip; missing or empty -> zeros."""
+    """G1 -> (G2) -> G3/G4 (+ G5/G6) -> G7 for one clip; missing, empty or not finite samples, or no sample rate
+    where one is needed -> zeros (G8)."""
     width = len(SUMMARY_COLUMNS)
-    if y is None or y.size == 0:
+    if y is None or y.size == 0 or not np.isfinite(y).all() or (spectral and sr <= 0):
         return [0.0] * width
     y = S.np_peak_normalize(y)
     if trim:
@@ -151,7 +152,7 @@ def signal_features(df: DataFrame, keys: Sequence[str], samples: str = "samples"
 
     @pandas_udf("array<double>")
     def summary(s: pd.Series, rate: pd.Series) -> pd.Series:
-        return pd.Series([clip_summary(None if x is None else np.asarray(x, dtype=np.float64), int(r), frame, hop,
+        return pd.Series([clip_summary(None if x is None else np.asarray(x, dtype=np.float64), 0 if pd.isna(r) else int(r), frame, hop,
                                        n_mels, trim, top_db, spectral) for x, r in zip(s, rate)])
 
     names = SUMMARY_COLUMNS if spectral else SUMMARY_COLUMNS[:4]

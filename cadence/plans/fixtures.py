@@ -14,6 +14,11 @@ from cadence.operators.ordinal import ordinal_within
 from cadence.sources.tables import read_table
 
 
+# clip and id offsets of the rows that the views add for edge cases
+ONE_WORD, NO_WORDS = 1_000_000, 2_000_000
+MISSING_X2, SILENT, NO_SIGNAL = 1_000_000_000, 1_000_000, 2_000_000
+
+
 def f1_transcripts(spark: SparkSession, d: str) -> DataFrame:
     """Documents as clips: labelled documents are the train split, the rest test."""
     docs = read_table(spark, d, "documents").select("doc_id", "text", "n_chars")
@@ -33,26 +38,29 @@ def f1_transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f2_words(spark: SparkSession, d: str) -> DataFrame:
-    """Events as timed words, one clip per user; ord is the skew-safe per-clip position."""
+    """Events as timed words, one clip per user; ord is the skew-safe per-clip position. Edge cases are extra rows:
+    the first word of every tenth user again, as a clip of its own."""
     ev = read_table(spark, d, "events").select(
         F.col("user_id").alias("clip_id"), "event_id", "ts", F.col("event_type").alias("word"), "value", "props")
-    # dropping whole clips first does not change any kept clip's positions
-    ev = ev.where(F.col("clip_id") % 10 != 1)
     ranked = ordinal_within(ev, ["clip_id"], ["ts", "event_id"], out="ord", carry_first=["ts"])
     # offsets from the clip's first event, on the zone-free timestamps (independent of the session zone)
     start = F.expr("timestampdiff(MICROSECOND, first_ts, ts)") / F.lit(3e10)
     out = ranked.select(
         "clip_id", "ord", "word",
         start.alias("start_s"),
-        (start + (F.col("value") - 5) / 100).alias("end_s"),
-        (F.get_json_object("props", "$.k").cast("double") / 100).alias("probability"),
+        (start + (F.col("value") - 5) / 97).alias("end_s"),
+        (F.get_json_object("props", "$.k").cast("double") / 97).alias("probability"),
     )
-    return out.where((F.col("clip_id") % 10 != 0) | (F.col("ord") == 0))
+    single = out.where((F.col("clip_id") % 10 == 0) & (F.col("ord") == 0))
+    return out.union(single.withColumn("clip_id", F.col("clip_id") + ONE_WORD))
 
 
 def f2_clips(spark: SparkSession, d: str) -> DataFrame:
+    """One clip per user, and for every tenth user a clip of one word and one without words."""
     ev = read_table(spark, d, "events")
     g = ev.groupBy(F.col("user_id").alias("clip_id")).agg(F.count(F.lit(1)).alias("_n"))
+    tenth = g.where("clip_id % 10 = 0")
+    g = g.union(tenth.withColumn("clip_id", F.col("clip_id") + ONE_WORD)).union(tenth.withColumn("clip_id", F.col("clip_id") + NO_WORDS))
     return g.select(
         "clip_id",
         (F.col("_n") + F.col("clip_id") % 3).alias("n_words"),
@@ -98,21 +106,27 @@ def f3_tokens(sents: DataFrame) -> DataFrame:
 
 def f4_scores(sents: DataFrame) -> DataFrame:
     ln = F.length("sent")
-    return sents.where(F.col("doc_id") % 13 != 0).select(
+    return sents.select(
         "doc_id", "sent_no", "sent",
         ((ln * 37) % 101).cast("double").alias("_s"), (ln % 130).cast("double").alias("_l"),
-    ).select("doc_id", "sent_no", "sent", (F.col("_s") / 100).alias("score"), (F.col("_l") / 10).alias("loss"))
+    ).select("doc_id", "sent_no", "sent", (F.col("_s") / 97).alias("score"), (F.col("_l") * 10 / 97).alias("loss"))
 
 
 def f6_reg(spark: SparkSession, d: str) -> DataFrame:
+    """One row per order from exact sums (cents, percent) with divisors that give no rounding ties; every eleventh
+    order again with x2 missing."""
     li = read_table(spark, d, "lineitem")
+    whole = lambda c, k: F.sum(F.round(F.col(c) * k).cast("bigint"))
+    n = F.count(F.lit(1))
     g = li.groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.avg("l_extendedprice").alias("_p"), F.avg("l_quantity").alias("x1"), F.avg("l_discount").alias("_d"),
-        F.avg("l_tax").alias("x3"), F.count(F.lit(1)).cast("double").alias("x4"))
-    return g.select(
-        "id", F.least(F.lit(5.0), F.col("_p") / 20000).alias("y"), "x1",
-        F.when(F.col("id") % 11 == 0, F.lit(None).cast("double")).otherwise(F.col("_d")).alias("x2"),
-        "x3", "x4", F.lit(7.0).alias("x_const"))
+        whole("l_extendedprice", 100).alias("_p"), whole("l_quantity", 1).alias("_q"), whole("l_discount", 100).alias("_d"),
+        whole("l_tax", 100).alias("_t"), n.alias("_n"))
+    ratio = lambda c, k: F.col(c).cast("double") / (F.col("_n") * k).cast("double")
+    out = g.select(
+        "id", F.least(F.lit(5.0), ratio("_p", 1999700)).alias("y"), ratio("_q", 1).alias("x1"), ratio("_d", 100).alias("x2"),
+        ratio("_t", 100).alias("x3"), F.col("_n").cast("double").alias("x4"), F.lit(7.0).alias("x_const"))
+    missing = out.where("id % 11 = 0").withColumn("id", F.col("id") + MISSING_X2).withColumn("x2", F.lit(None).cast("double"))
+    return out.union(missing)
 
 
 def f7_preds(f6: DataFrame) -> DataFrame:
@@ -131,13 +145,14 @@ def f5_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f8_signal(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, d, "embeddings")
+    """Embeddings as padded signals; every fiftieth again as silence and as a missing signal."""
+    e = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("clip_id"), "embedding")
     pad = F.array_repeat(F.lit(0.0), 16)
-    body = F.transform("embedding", lambda x: F.when(F.col("vec_id") % 50 == 0, F.lit(0.0)).otherwise(x.cast("double")))
-    return e.select(
-        F.col("vec_id").alias("clip_id"), F.lit(64).alias("sr"),
-        F.when(F.col("vec_id") % 50 == 1, F.lit(None).cast("array<double>"))
-        .otherwise(F.concat(pad, body, pad)).alias("samples"))
+    out = e.select("clip_id", F.lit(64).alias("sr"), F.concat(pad, F.transform("embedding", lambda x: x.cast("double")), pad).alias("samples"))
+    some = out.where("clip_id % 50 = 0")
+    silent = some.select((F.col("clip_id") + SILENT).alias("clip_id"), "sr", F.transform("samples", lambda x: F.lit(0.0)).alias("samples"))
+    absent = some.select((F.col("clip_id") + NO_SIGNAL).alias("clip_id"), "sr", F.lit(None).cast("array<double>").alias("samples"))
+    return out.union(silent).union(absent)
 
 
 def clean_f1(f1: DataFrame) -> DataFrame:

@@ -17,14 +17,17 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""),
 SELECT * FROM (
   SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord, event_type AS word,
          (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / CAST(3e10 AS DOUBLE) AS start_s,
-         (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / CAST(3e10 AS DOUBLE) + (value - 5)/100 AS end_s,
-         CAST(json_extract_string(props, '$.k') AS DOUBLE)/100 AS probability
+         (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / CAST(3e10 AS DOUBLE) + (value - 5)/97 AS end_s,
+         CAST(json_extract_string(props, '$.k') AS DOUBLE)/97 AS probability
   FROM events) t
-WHERE clip_id % 10 <> 1 AND (clip_id % 10 <> 0 OR ord = 0)"""),
+UNION ALL
+SELECT user_id + 1000000, 0, event_type, 0.0, (value - 5)/97, CAST(json_extract_string(props, '$.k') AS DOUBLE)/97
+FROM events WHERE user_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"""),
     "f2_clips": ((), r"""
-SELECT user_id AS clip_id, count(*) + user_id % 3 AS n_words,
-       CAST(count(*) AS DOUBLE) * 0.75E0 - CAST(CASE WHEN user_id % 7 = 0 THEN 1000 ELSE 0 END AS DOUBLE) AS trimmed_dur
-FROM events GROUP BY user_id"""),
+SELECT user_id + k AS clip_id, n + (user_id + k) % 3 AS n_words,
+       CAST(n AS DOUBLE) * 0.75E0 - CAST(CASE WHEN (user_id + k) % 7 = 0 THEN 1000 ELSE 0 END AS DOUBLE) AS trimmed_dur
+FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) u, (VALUES (0), (1000000), (2000000)) v(k)
+WHERE k = 0 OR user_id % 10 = 0"""),
     "f2_segments": (("f2_words",), r"""
 SELECT clip_id, CAST(floor(ord / 10) AS BIGINT) AS seg_no,
        CASE WHEN CAST(floor(ord / 10) AS BIGINT) % 4 <> 3 THEN -avg(probability) END AS avg_logprob,
@@ -44,24 +47,29 @@ SELECT doc_id, sent_no, tok_no, tok AS text,
 FROM (SELECT doc_id, sent_no, unnest(string_split(sent, ' ')) AS tok, unnest(range(len(string_split(sent, ' ')))) AS tok_no
       FROM f3_sents) t"""),
     "f4_scores": (("f3_sents",), r"""
-SELECT doc_id, sent_no, sent, CAST(length(sent) * 37 % 101 AS DOUBLE)/100 AS score, CAST(length(sent) % 130 AS DOUBLE)/10 AS loss
-FROM f3_sents WHERE doc_id % 13 <> 0"""),
+SELECT doc_id, sent_no, sent, CAST(length(sent) * 37 % 101 AS DOUBLE)/97 AS score, CAST(length(sent) % 130 AS DOUBLE)*10/97 AS loss
+FROM f3_sents"""),
     "f6_reg": ((), r"""
-SELECT l_orderkey AS id, least(CAST(5 AS DOUBLE), avg(l_extendedprice)/20000) AS y, avg(l_quantity) AS x1,
-       CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE avg(l_discount) END AS x2, avg(l_tax) AS x3,
-       CAST(count(*) AS DOUBLE) AS x4, CAST(7 AS DOUBLE) AS x_const
-FROM lineitem GROUP BY l_orderkey"""),
+SELECT id + k AS id, y, x1, CASE WHEN k = 0 THEN x2 END AS x2, x3, x4, x_const
+FROM (SELECT l_orderkey AS id, least(CAST(5 AS DOUBLE), CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 1999700 AS DOUBLE)) AS y,
+             CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS x1,
+             CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 100 AS DOUBLE) AS x2,
+             CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 100 AS DOUBLE) AS x3,
+             CAST(count(*) AS DOUBLE) AS x4, CAST(7 AS DOUBLE) AS x_const
+      FROM lineitem GROUP BY l_orderkey) o, (VALUES (0), (1000000000)) v(k)
+WHERE k = 0 OR id % 11 = 0"""),
     "f7_preds": (("f6_reg",), r"""
 SELECT id, y, y*0.8E0 + 0.5E0 + CAST(id % 7 - 3 AS DOUBLE)*0.05E0 AS p1, y*0.6E0 + 0.9E0 + CAST(id % 5 - 2 AS DOUBLE)*0.1E0 AS p2,
        2.5E0 + CAST(id % 11 - 5 AS DOUBLE)*0.2E0 AS p3, y + CAST(id % 13 - 6 AS DOUBLE)*0.3E0 AS p4
 FROM f6_reg"""),
     "f8_signal": ((), r"""
-SELECT vec_id AS clip_id, 64 AS sr,
-       CASE WHEN vec_id % 50 = 1 THEN NULL
-            ELSE list_concat(list_concat([CAST(0 AS DOUBLE) for i in range(16)],
-                 [CASE WHEN vec_id % 50 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(x AS DOUBLE) END for x in embedding]),
+SELECT vec_id + k AS clip_id, 64 AS sr,
+       CASE WHEN k < 2000000
+            THEN list_concat(list_concat([CAST(0 AS DOUBLE) for i in range(16)],
+                 [CASE WHEN k = 0 THEN CAST(x AS DOUBLE) ELSE CAST(0 AS DOUBLE) END for x in embedding]),
                  [CAST(0 AS DOUBLE) for i in range(16)]) END AS samples
-FROM embeddings"""),
+FROM embeddings, (VALUES (0), (1000000), (2000000)) v(k)
+WHERE k = 0 OR vec_id % 50 = 0"""),
 }
 
 

@@ -400,10 +400,9 @@ def scoring_run_documents(spark, d):
     text_view = f1.select(*keys, *[c.cast("double").alias(n) for n, c in tf.items()])
     sents = fx.f3_sents(f1)
     syn = syntax_features(fx.f3_tokens(sents), spine=f1.select("doc_id"))
-    scores = SC.score_stats(SC.eligible_sentences(fx.f4_scores(sents), SC.ACCEPTABILITY_FIRST_K,
-                                                  SC.ACCEPTABILITY_MIN_LEN), f1.select("doc_id"))
+    scores = SC.score_stats(SC.eligible_sentences(fx.f4_scores(sents), SC.ACCEPTABILITY_MIN_LEN), f1.select("doc_id"))
     lm = SC.ngram_lm_fit(sents, ["doc_id", "sent_no"])
-    losses = SC.ngram_lm_score(SC.eligible_sentences(sents, SC.LOSS_FIRST_K, SC.LOSS_MIN_LEN), lm, ["doc_id", "sent_no"])
+    losses = SC.ngram_lm_score(SC.eligible_sentences(sents, SC.LOSS_MIN_LEN), lm, ["doc_id", "sent_no"])
     loss = SC.loss_stats(losses, f1.select("doc_id"))
     per_doc = syn.join(scores, "doc_id").join(loss, "doc_id")
     per_doc = f1.select(*keys, "doc_id").join(per_doc, "doc_id").drop("doc_id")

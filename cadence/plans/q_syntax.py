@@ -54,14 +54,14 @@ def x7_type_token_ratio(spark, d):
 
 def m1_eligible_sentences(spark, d):
     sents = fx.f3_sents(fx.f1_transcripts(spark, d))
-    e = S.eligible_sentences(sents, S.ACCEPTABILITY_FIRST_K, S.ACCEPTABILITY_MIN_LEN)
+    e = S.eligible_sentences(sents, S.ACCEPTABILITY_MIN_LEN, first_k=S.ACCEPTABILITY_FIRST_K)
     return e.select(big("doc_id"), big("sent_no"), "sent")
 
 
 def m2_score_stats(spark, d):
     f1 = fx.f1_transcripts(spark, d)
     sc = fx.f4_scores(fx.f3_sents(f1))
-    e = S.eligible_sentences(sc, S.ACCEPTABILITY_FIRST_K, S.ACCEPTABILITY_MIN_LEN)
+    e = S.eligible_sentences(sc, S.ACCEPTABILITY_MIN_LEN)
     out = S.score_stats(e, f1)
     return out.select(big("doc_id"), *[r6(c) for c in out.columns if c != "doc_id"])
 
@@ -69,7 +69,7 @@ def m2_score_stats(spark, d):
 def m3_loss_stats(spark, d):
     f1 = fx.f1_transcripts(spark, d)
     sc = fx.f4_scores(fx.f3_sents(f1))
-    e = S.eligible_sentences(sc, S.LOSS_FIRST_K, S.LOSS_MIN_LEN)
+    e = S.eligible_sentences(sc, S.LOSS_MIN_LEN)
     out = S.loss_stats(e, f1)
     return out.select(big("doc_id"), *[r6(c) for c in out.columns if c != "doc_id"])
 
@@ -77,7 +77,7 @@ def m3_loss_stats(spark, d):
 def m4_bigram_lm(spark, d):
     sents = fx.f3_sents(fx.f1_transcripts(spark, d)).persist()  # fitted on and scored from
     lm = S.ngram_lm_fit(sents, ["doc_id", "sent_no"])
-    e = S.eligible_sentences(sents, S.LOSS_FIRST_K, S.LOSS_MIN_LEN)
+    e = S.eligible_sentences(sents, S.LOSS_MIN_LEN)
     out = S.ngram_lm_score(e, lm, ["doc_id", "sent_no"])
     return out.select(big("doc_id"), big("sent_no"), r6("loss"), big("n_bigrams"))
 
@@ -87,7 +87,7 @@ def m5_acceptability_model(spark, d):
     labels = f1.where(F.col("split") == "train").select(
         "clean_transcript", (F.col("label") >= 2.5).cast("double").alias("ok"))
     model = S.acceptability_fit(labels, "clean_transcript", "ok")
-    sents = S.eligible_sentences(fx.f3_sents(f1), S.ACCEPTABILITY_FIRST_K, S.ACCEPTABILITY_MIN_LEN)
+    sents = S.eligible_sentences(fx.f3_sents(f1), S.ACCEPTABILITY_MIN_LEN)
     scored = S.acceptability_score(model, sents, ["doc_id", "sent_no"])
     out = S.score_stats(scored, f1)
     return out.select(big("doc_id"), *[r6(c) for c in out.columns if c != "doc_id"])
@@ -154,7 +154,7 @@ bg AS (SELECT doc_id, sent_no, unnest(list_concat(['<s>'], tk)) AS w1, unnest(li
 c12 AS (SELECT w1, w2, count(*) AS c12 FROM bg GROUP BY w1, w2),
 c1 AS (SELECT w1, sum(c12) AS c1 FROM c12 GROUP BY w1),
 v AS (SELECT count(*) AS v FROM (SELECT w2 AS w FROM c12 UNION SELECT w1 FROM c12) u WHERE w <> '<s>'),
-el AS (SELECT doc_id, sent_no FROM f3_sents WHERE sent_no < 3 AND length(trim(sent)) > 5)
+el AS (SELECT doc_id, sent_no FROM f3_sents WHERE length(trim(sent)) > 5)
 SELECT CAST(b.doc_id AS BIGINT) AS doc_id, CAST(b.sent_no AS BIGINT) AS sent_no,
        round(avg(-ln((coalesce(c12.c12, 0) + 1.0) / (coalesce(c1.c1, 0) + 1.0 * v.v))), 6) AS loss, CAST(count(*) AS BIGINT) AS n_bigrams
 FROM bg b JOIN el ON b.doc_id = el.doc_id AND b.sent_no = el.sent_no
@@ -175,12 +175,12 @@ ORACLES = {
     "x7_type_token_ratio": _x("SELECT doc_id, round(CAST(types AS DOUBLE) / greatest(nalpha, 1), 6) AS spacy_ttr FROM x"),
     "m1_eligible_sentences": with_fixtures("""SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sent_no AS BIGINT) AS sent_no, sent FROM f3_sents
         WHERE sent_no < 5 AND length(trim(sent)) > 3""", "f3_sents"),
-    "m2_score_stats": with_fixtures("""WITH e AS (SELECT * FROM f4_scores WHERE sent_no < 5 AND length(trim(sent)) > 3),
+    "m2_score_stats": with_fixtures("""WITH e AS (SELECT * FROM f4_scores WHERE length(trim(sent)) > 3),
         a AS (SELECT doc_id, avg(score) AS m, min(score) AS n, stddev_pop(score) AS s, avg(CASE WHEN score < 0.5 THEN 1.0 ELSE 0.0 END) AS f FROM e GROUP BY doc_id)
         SELECT CAST(t.doc_id AS BIGINT) AS doc_id, round(coalesce(m, 0.5), 6) AS cola_mean_prob, round(coalesce(n, 0.5), 6) AS cola_min_prob,
                round(coalesce(s, 0.0), 6) AS cola_std_prob, round(coalesce(f, 0.0), 6) AS cola_frac_below_05
         FROM f1_transcripts t LEFT JOIN a ON t.doc_id = a.doc_id""", "f1_transcripts", "f4_scores"),
-    "m3_loss_stats": with_fixtures("""WITH e AS (SELECT * FROM f4_scores WHERE sent_no < 3 AND length(trim(sent)) > 5),
+    "m3_loss_stats": with_fixtures("""WITH e AS (SELECT * FROM f4_scores WHERE length(trim(sent)) > 5),
         a AS (SELECT doc_id, avg(loss) AS m, max(loss) AS x FROM e GROUP BY doc_id)
         SELECT CAST(t.doc_id AS BIGINT) AS doc_id, round(coalesce(m, 3.5), 6) AS gpt2_mean_loss, round(coalesce(x, 3.5), 6) AS gpt2_max_loss,
                round(exp(least(coalesce(m, 3.5), 10.0)), 6) AS gpt2_ppl

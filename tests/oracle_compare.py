@@ -47,7 +47,7 @@ def frame_rows(df: pd.DataFrame) -> list[tuple]:
 
 def _same(x, y) -> bool:
     if isinstance(x, float) and isinstance(y, (int, float)) and not isinstance(y, bool):
-        return abs(x - y) <= 1.5e-6 * max(1.0, abs(x))
+        return round(x, 6) == round(y, 6)
     if isinstance(x, tuple) and isinstance(y, tuple):
         return len(x) == len(y) and all(_same(a, b) for a, b in zip(x, y))
     return x == y

@@ -315,3 +315,54 @@ def test_tree_sum_two_levels_equals_one(spark, monkeypatch):
     two = {r["k"]: r["v"] for r in gm.tree_sum_arrays(parts, ["k"], ["v"]).collect()}
     assert one == two
     assert two[0] == [float(sum(i for i in range(400) if i % 3 == 0)), float(len(range(0, 400, 3)))]
+
+
+def test_token_depths_absent_head_sparse_numbers_and_cycle(spark):
+    from cadence.operators.syntax import token_depths
+
+    rows = [(1, 0, 0, 0), (1, 0, 1, 0), (1, 0, 2, 9), (1, 0, 3, 2), (1, 1, 10, 10), (1, 1, 30, 10), (1, 1, 70, 30), (1, 2, 5, None)]
+    toks = spark.createDataFrame(rows, "doc_id long, sent_no long, tok_no long, head_tok long")
+    got = {(r.sent_no, r.tok_no): r.depth for r in token_depths(toks).collect()}
+    assert got == {(0, 0): 1, (0, 1): 2, (0, 2): 1, (0, 3): 2, (1, 10): 1, (1, 30): 2, (1, 70): 3, (2, 5): 1}
+    cycle = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 2), (1, 0, 2, 1)], "doc_id long, sent_no long, tok_no long, head_tok long")
+    with pytest.raises(Exception, match="cycle"):
+        token_depths(cycle).collect()
+
+
+def test_missing_labels_are_an_error(spark):
+    from cadence.operators.crossval import CrossValidation
+    from cadence.operators.models import Layout
+
+    rows = spark.createDataFrame([(i, None if i % 2 else 4.0, float(i)) for i in range(20)], "id long, y double, x double")
+    with pytest.raises(ValueError, match="10 training rows"):
+        CrossValidation(rows, "id", Layout(["x"]))
+
+
+def test_small_scale_column_is_standardised(spark):
+    from cadence.operators.crossval import CrossValidation
+    from cadence.operators.models import Layout
+
+    rows = spark.createDataFrame([(i, float(i % 5), 1.0 + 1e-7 * (i % 7), 3.0) for i in range(70)], "id long, y double, x double, c double")
+    cv = CrossValidation(rows, "id", Layout(["x", "c"]))
+    for t in cv.fit.transforms.values():
+        assert 1e-7 < t.stds["x"] < 3e-7 and t.stds["c"] == 1.0
+
+
+def test_stacker_moments_far_from_zero_and_incomplete_rows(spark):
+    from cadence.operators.stack import _moments
+
+    rng = np.random.default_rng(0)
+    x = 1e7 + rng.standard_normal((400, 2))
+    y = 1e7 + rng.standard_normal(400)
+    rows = [(float(a), float(b), float(c)) for (a, b), c in zip(x, y)] + [(None, 1.0, 1.0), (1.0, 1.0, None)]
+    n, _, A, b, yy, _ = _moments(spark.createDataFrame(rows, "p double, q double, y double"), ["p", "q"], "y")
+    xc, yc = x - x.mean(axis=0), y - y.mean()
+    assert n == 400 and np.allclose(A, xc.T @ xc, rtol=1e-5) and np.allclose(b, xc.T @ yc, rtol=1e-4, atol=1e-4) and abs(yy - yc @ yc) < 1e-3
+
+
+def test_bad_signals_give_zeros(spark):
+    from cadence.operators.signal import signal_features
+
+    rows = [(1, 16000, [0.1, float("nan")] * 2000), (2, None, [0.1, -0.2] * 2000), (3, 16000, [0.1, -0.2] * 2000)]
+    got = {r.id: list(r)[1:] for r in signal_features(spark.createDataFrame(rows, "id long, sr int, samples array<double>"), ["id"]).collect()}
+    assert set(got[1]) == {0.0} and set(got[2]) == {0.0} and got[3][0] > 0
