@@ -157,9 +157,10 @@ def exact_groups(docs: DataFrame, batch: Column | None = None) -> DataFrame:
              .join(per_batch.select("sha", "batch", F.col("top").alias("new_id")), ["sha", "batch"]))
     pairs = written(pairs, "op7-pairs")
 
-    # one text per (digest, batch) that is in a pair; ids without a row (NULL) are checked by their digest alone
+    # one text per (digest, batch) that is in a pair; ids without a row (NULL) are checked by their digest alone;
+    # the merge hint keeps one join strategy at every size
     ids = pairs.select(F.col("old_id").alias("doc_id")).union(pairs.select("new_id")).distinct()
-    texts = written(docs.select("doc_id", normalised(F.col("text")).alias("bytes")).join(ids, "doc_id", "left_semi")
+    texts = written(docs.select("doc_id", normalised(F.col("text")).alias("bytes")).join(ids.hint("merge"), "doc_id", "left_semi")
                     .dropDuplicates(["doc_id"]), "op7-texts")
     checked = (pairs.join(texts.select(F.col("doc_id").alias("old_id"), F.col("bytes").alias("old")), "old_id", "left")
                .join(texts.select(F.col("doc_id").alias("new_id"), F.col("bytes").alias("new")), "new_id", "left"))
