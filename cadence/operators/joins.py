@@ -11,8 +11,8 @@ from cadence.session import BROADCAST_ROW_LIMIT, shuffle_partitions
 
 
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than limit + 1 rows."""
-    return df.limit(limit + 1).count() <= limit
+    """True when ``df`` has at most ``limit`` rows (a count per task, summed; no rows are gathered)."""
+    return df.count() <= limit
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:

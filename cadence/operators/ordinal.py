@@ -14,8 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.operators.joins import broadcast_if_small, null_safe_join, row_count_at_most
-from cadence.session import BROADCAST_ROW_LIMIT
+from cadence.operators.joins import broadcast_if_small, null_safe_join
 from cadence.session import ensure_checkpoint_dir, shuffle_partitions
 
 
@@ -53,50 +52,57 @@ def ordinal_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     return joined.drop(*drop)
 
 
+def value_positions(df: DataFrame, group_cols: Sequence[str], value_col: str) -> DataFrame:
+    """(group, value, _c, _start): how often each distinct value occurs in its group and the 0-based position of
+    its first occurrence in value order.
+
+    Rows are counted per (group, value) before anything is ordered (a partial aggregate), so a value that holds most of the
+    rows is one row. The distinct values are range-partitioned; running sums inside a range partition and the
+    partitions' totals (groups x partitions rows) give the positions.
+    """
+    g = list(group_cols)
+    counts = df.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = _ranged(counts, [*g, value_col])
+    part = ranged.groupBy("_pid", *g).agg(F.sum("_c").alias("_n"))
+    before = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("_pid", *g, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_pid", *g).orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = null_safe_join(ranged.withColumn("_upto", F.sum("_c").over(inside)), part, ["_pid", *g])
+    return rows.select(*g, value_col, "_c", (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_start"))
+
+
 def average_rank(df: DataFrame, value_col: str, tiebreak_cols: Sequence[str], out: str) -> DataFrame:
     """1-based rank of ``value_col`` over all rows, ties sharing their average rank (NULL values excluded).
 
-    Distinct values are counted first (a partial aggregate). When their measured number fits the
-    broadcast bound, their cumulative counts come from one bounded task and are broadcast back, so no
-    row is shuffled by value (a value holding a third of the rows stays spread). Otherwise the skew-safe
-    ordinal ranks rows and tie groups are resolved per (task, value).
+    Ranks belong to distinct values and join back to the rows; a value that holds most rows is a hot key against
+    a one-row side, which adaptive execution splits. ``tiebreak_cols`` are not needed and kept for callers.
     """
     vals = df.where(F.col(value_col).isNotNull())
-    distinct = vals.groupBy(value_col).agg(F.count(F.lit(1)).alias("_c"))
-    if row_count_at_most(distinct, BROADCAST_ROW_LIMIT):
-        w = Window.orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranks = distinct.select(value_col, (F.sum("_c").over(w) - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out))
-        return vals.join(F.broadcast(ranks), value_col)
-    ranked = ordinal_within(vals, [], [value_col, *tiebreak_cols], out="_ord", keep_pid=True)
-    pieces = ranked.groupBy("_pid", value_col).agg(F.min("_ord").alias("_o0"), F.count(F.lit(1)).alias("_c"))
-    per_value = pieces.groupBy(value_col).agg(F.min("_o0").alias("_first"), F.sum("_c").alias("_cnt"))
-    ranks = (pieces.join(per_value, value_col)
-             .select("_pid", value_col,
-                     (F.col("_first") + (F.col("_cnt") + F.lit(1.0)) / F.lit(2.0)).alias(out)))
-    return ranked.join(broadcast_if_small(ranks), ["_pid", value_col]).drop("_pid", "_ord")
+    ranks = value_positions(vals, [], value_col).select(value_col, (F.col("_start") + (F.col("_c") + 1) / 2.0).alias(out))
+    return vals.join(ranks, value_col)
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Mapping[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation (the numpy / pandas default), one row per group.
 
-    NULL and NaN values are skipped; a group with no values yields NULL quantiles only if it is absent,
-    so callers left-join onto their spine.
+    NULL and NaN values are skipped; a group with no values is absent, so callers left-join onto their spine.
+    Every distinct value knows which positions it covers, so the two values around a quantile's position are a
+    filter and two conditional aggregates.
     """
     g = list(group_cols)
+    if not g:
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value_col, probs).drop("_all")
     vals = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col))).select(*g, value_col)
-    ranked = ordinal_within(vals, g, [value_col], out="_ord")
-    counts = ranked.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    specs = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p")) for name, p in probs.items()])
-    targets = (counts.select(*g, "_n", F.explode(specs).alias("s"))
-               .select(*g, F.col("s.q").alias("_q"),
-                       (F.col("s.p") * (F.col("_n") - 1)).alias("_pos")))
-    targets = targets.select(*g, "_q", "_pos",
-                             F.explode(F.array(F.floor("_pos").cast("bigint"), F.ceil("_pos").cast("bigint"))).alias("_ord"))
-    hits = null_safe_join(ranked, broadcast_if_small(targets), [*g, "_ord"])
-    per_q = hits.groupBy(*g, "_q").agg(
-        F.first("_pos").alias("_pos"),
-        F.min(F.struct("_ord", value_col)).alias("_lo"), F.max(F.struct("_ord", value_col)).alias("_hi"))
-    per_q = per_q.select(*g, "_q", (F.col(f"_lo.{value_col}") + (F.col("_pos") - F.floor("_pos"))
-                                    * (F.col(f"_hi.{value_col}") - F.col(f"_lo.{value_col}"))).alias("_v"))
-    return per_q.groupBy(*g).agg(*[F.max(F.when(F.col("_q") == name, F.col("_v"))).alias(name) for name in probs])
+    placed = value_positions(vals, g, value_col)
+    sizes = placed.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    rows = null_safe_join(placed, sizes, g)
+    aggs = []
+    for name, p in probs.items():
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        covers = lambda at: (F.col("_start") <= at) & (at < F.col("_start") + F.col("_c"))
+        lo = F.max(F.when(covers(F.floor(pos)), F.col(value_col)))
+        hi = F.max(F.when(covers(F.ceil(pos)), F.col(value_col)))
+        share = F.max(pos - F.floor(pos))
+        aggs.append((lo + share * (hi - lo)).alias(name))
+    return rows.groupBy(*g).agg(*aggs)

@@ -204,17 +204,19 @@ def test_tree_attributions_add_up_to_prediction(spark):
     assert phi["d"].abs().mean() < phi["a"].abs().mean()
 
 
-def test_average_rank_distributed_path_equals_fast_path(spark, monkeypatch):
-    import cadence.operators.ordinal as ordmod
-
-    rows = [(i, float(i % 7 if i % 3 else 3)) for i in range(300)]  # value 3.0 is hot
-    df = spark.createDataFrame(rows, "k long, v double")
-    fast = {r["k"]: r["r"] for r in average_rank(df, "v", ["k"], "r").collect()}
-    monkeypatch.setattr(ordmod, "BROADCAST_ROW_LIMIT", 2)
-    slow = {r["k"]: r["r"] for r in average_rank(df, "v", ["k"], "r").collect()}
-    assert fast == slow
-    s = pd.Series([v for _, v in rows])
-    assert fast == {i: float(x) for i, x in enumerate(s.rank(method="average"))}
+def test_ranks_and_quantiles_with_one_value_in_most_rows(spark):
+    from cadence.operators.ordinal import value_positions
+
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("k"), F.when(F.col("id") % 10 < 9, 0.0).otherwise((F.col("id") % 997).cast("double")).alias("v"))
+    pdf = df.toPandas()
+    got = average_rank(df, "v", ["k"], "r").toPandas().set_index("k")["r"].sort_index()
+    assert np.allclose(got.to_numpy(), pdf["v"].rank().to_numpy())
+    q = exact_quantiles(df, [], "v", {"a": 0.5, "b": 0.93, "c": 0.999}).first()
+    assert [q["a"], q["b"], q["c"]] == pytest.approx(pdf["v"].quantile([0.5, 0.93, 0.999]).tolist())
+    # no task sees the rows of the frequent value: what is ordered are distinct values
+    placed = value_positions(df, [], "v")
+    assert placed.count() == pdf["v"].nunique() and placed.agg(F.sum("_c")).first()[0] == n
 
 
 def test_hot_split_join_splits_hot_keys(spark, monkeypatch):
