@@ -9,6 +9,7 @@ test rows once per fold model in narrow passes.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -202,6 +203,7 @@ class CrossValidation:
         xrows = right_size(rows.mapInPandas(design, xschema).checkpoint(eager=True))
         dim = n_features + 2
         sc = self.train.sparkSession.sparkContext
+        self.svr_converged = True
         for _ in range(max_iter):
             bc = sc.broadcast({rf: p[1:] for rf, p in params.items()})
 
@@ -235,6 +237,9 @@ class CrossValidation:
             bc.unpersist()
             if moved < 1e-9:
                 break
+        else:
+            self.svr_converged = False
+            warnings.warn(f"the kernel model still moved by {moved:.1e} after {max_iter} steps", stacklevel=2)
         return self._score_kernel(params, keys)
 
     def _score_kernel(self, params, keys):

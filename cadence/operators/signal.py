@@ -1,6 +1,6 @@
 """Signal features per clip (G1-G8) over a samples table ``(clip keys, sr, samples)``.
 
-Energy, zero crossings and trimming are column expressions (:mod:`cadence.functions.signal`); the
+Energy, zero crossings and trimming are array expressions (:mod:`cadence.functions.signal`); the
 spectral centroid and MFCCs need FFTs and run on Arrow batches with numpy (one clip per row, so work
 is spread by clip and no clip is split or gathered).
 """
@@ -146,15 +146,27 @@ def clip_summary(y: np.ndarray | None, sr: int, frame: int, hop: int, n_mels: in
 def signal_features(df: DataFrame, keys: Sequence[str], samples: str = "samples", sr: str = "sr",
                     frame: int = 2048, hop: int = 512, n_mels: int = 128, trim: bool = False,
                     top_db: float = 30.0, spectral: bool = True) -> DataFrame:
-    """G7 + G8: the 32 summary columns per clip on the peak-normalised (optionally trimmed) signal, in one
-    Arrow pass (no join, no shuffle). Missing or bad signals keep their row with every column 0.0."""
+    """G7 + G8: the 32 summary columns per clip on the peak-normalised (optionally trimmed) signal (no join, no
+    shuffle). Energy and zero crossings alone are array expressions; with the spectral part, which needs FFTs, all
+    come from one Arrow pass. Missing or bad signals keep their row with every column 0.0."""
     from pyspark.sql.functions import pandas_udf
 
+    if not spectral:
+        raw = F.col(samples).cast("array<double>")
+        bad = F.coalesce(F.size(raw) <= 0, F.lit(True)) | F.exists(raw, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        y = S.peak_normalize(raw)
+        if trim:
+            y = S.let(y, lambda s: S.let(S.trim_bounds(s, top_db, frame, hop), lambda b: F.slice(s, b["start"] + 1, F.greatest(b["end"] - b["start"], F.lit(0)))))
+        stats = S.let(y, lambda s: F.struct(S.mean_std(S.frame_rms(s, frame, hop)).alias("r"), S.mean_std(S.frame_zcr(s, frame, hop)).alias("z")))
+        out = df.select(*keys, F.when(~bad, stats).alias("_v"))
+        fields = ("r.mean", "r.std", "z.mean", "z.std")
+        return out.select(*keys, *[F.coalesce(F.col(f"_v.{f}"), F.lit(0.0)).alias(n) for f, n in zip(fields, SUMMARY_COLUMNS)])
+
     @pandas_udf("array<double>")
     def summary(s: pd.Series, rate: pd.Series) -> pd.Series:
         return pd.Series([clip_summary(None if x is None else np.asarray(x, dtype=np.float64), 0 if pd.isna(r) else int(r), frame, hop,
                                        n_mels, trim, top_db, spectral) for x, r in zip(s, rate)])
 
-    names = SUMMARY_COLUMNS if spectral else SUMMARY_COLUMNS[:4]
+    names = SUMMARY_COLUMNS
     out = df.select(*keys, summary(F.col(samples), F.col(sr)).alias("_v"))
     return out.select(*keys, *[F.col("_v")[i].alias(n) for i, n in enumerate(names)])

@@ -119,7 +119,7 @@ def v8_spark_ml_gbt(spark, d):
 
 def v10_rff_svr(spark, d):
     cv = _cv(spark, d)
-    oof, _, _ = cv.rff_svr(n_features=32, max_iter=15)
+    oof, _, _ = cv.rff_svr()
     return oof.select(big("id"), r6("pred"))
 
 
@@ -221,7 +221,7 @@ def cv_stack_metrics(spark, d):
     from cadence.operators.metrics import metrics_table
     cv = _cv(spark, d)
     parts = [cv.linear_predictions(cv.ridge(), "ridge")[0], cv.boost("a", rounds=DRIVER_GBT_ROUNDS)[0],
-             cv.boost("b", rounds=DRIVER_GBT_ROUNDS)[0], cv.rff_svr(n_features=32, max_iter=15)[0]]
+             cv.boost("b", rounds=DRIVER_GBT_ROUNDS)[0], cv.rff_svr()[0]]
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
@@ -413,7 +413,7 @@ def scoring_run_documents(spark, d):
     features = [c for c in text_cols + doc_cols if c not in ("spacy_sent_count",)] + ["spacy_sent_count"]
     # file names are unique across splits here, so the name alone is the model key
     res = run_scoring(table, "filename", "label", features, {"Text-Only": text_cols, "Syntax-Scores-Only": doc_cols},
-                      "embedding", 64, gbt_rounds={"a": DRIVER_GBT_ROUNDS, "b": DRIVER_GBT_ROUNDS}, svr_features=32,
+                      "embedding", 64, gbt_rounds={"a": DRIVER_GBT_ROUNDS, "b": DRIVER_GBT_ROUNDS},
                       name_col="filename")
     train_row = spark.createDataFrame([("train_refit_rmse", float(res.train_rmse))], "metric string, value double")
     abl = res.ablation.select(F.concat(F.lit("ablation_rmse:"), "view").alias("metric"), F.col("rmse").alias("value"))

@@ -184,3 +184,6 @@ FROM f8_signal f LEFT JOIN st ON f.clip_id = st.clip_id GROUP BY f.clip_id"""
 
 
 ORACLES["g6_mfcc_summary"] = with_fixtures(_frames(_NORM).rstrip() + _mfcc_sql(), "f8_signal")
+# the whole summary is the three parts side by side
+ORACLES["g5_g6_spectral"] = f"""SELECT * FROM ({ORACLES["g7_g8_signal_summary"]}) a
+JOIN ({ORACLES["g5_spectral_centroid"]}) b USING (clip_id) JOIN ({ORACLES["g6_mfcc_summary"]}) c USING (clip_id)"""

@@ -368,3 +368,35 @@ def test_bad_signals_give_zeros(spark):
     rows = [(1, 16000, [0.1, float("nan")] * 2000), (2, None, [0.1, -0.2] * 2000), (3, 16000, [0.1, -0.2] * 2000)]
     got = {r.id: list(r)[1:] for r in signal_features(spark.createDataFrame(rows, "id long, sr int, samples array<double>"), ["id"]).collect()}
     assert set(got[1]) == {0.0} and set(got[2]) == {0.0} and got[3][0] > 0
+
+
+def test_signal_columns_match_the_kernels(spark):
+    rng = np.random.default_rng(8)
+    clips = [(rng.standard_normal(n) * (np.arange(n) > n // 3)).tolist() for n in (1, 5, 16, 63, 200)] + [[0.0] * 40, []]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(clips)] + [(99, None)], "id long, s array<double>")
+    for center in (True, False):
+        got = {r.id: r for r in df.select("id", S.peak_normalize("s").alias("y"), S.frame_rms("s", 16, 5, center).alias("r"), S.frame_zcr("s", 16, 5, center).alias("z"),
+                                          S.trim_bounds("s", 30.0, 16, 5).alias("b")).collect()}
+        assert got[99].y is None and got[99].r is None and got[99].b is None
+        for i, c in enumerate(clips):
+            y = np.asarray(c, float)
+            assert np.allclose(got[i].y, S.np_peak_normalize(y))
+            assert np.allclose(got[i].r, S.np_frame_rms(y, 16, 5, center)[:len(got[i].r)]) and (not len(y) or len(got[i].r) == len(S.np_frame_rms(y, 16, 5, center)))
+            if len(y):
+                assert np.allclose(got[i].z, S.np_frame_zcr(y, 16, 5, center))
+                assert (got[i].b["start"], got[i].b["end"]) == S.np_trim_bounds(y, 30.0, 16, 5)
+
+
+def test_unconverged_kernel_model_warns_and_shuffled_manifest_fails(spark):
+    from cadence.operators.crossval import CrossValidation
+    from cadence.operators.publish import IntegrityError, check_predictions
+
+    rows = spark.createDataFrame([(i, float(i % 6), float(i % 6) + 0.1 * (i % 3), float(i % 5)) for i in range(120)], "id long, y double, a double, b double")
+    cv = CrossValidation(rows, "id", Layout(["a", "b"]), k=3, repeats=1)
+    with pytest.warns(UserWarning, match="still moved"):
+        cv.rff_svr(n_features=8, max_iter=1)
+    assert not cv.svr_converged
+    preds = spark.createDataFrame([(0, "a", 1.0), (1, "b", 2.0)], "position long, filename string, label double")
+    shuffled = spark.createDataFrame([(0, "b"), (1, "a")], "position long, filename string")
+    with pytest.raises(IntegrityError, match="C4"):
+        check_predictions(preds, shuffled, strict=True)
