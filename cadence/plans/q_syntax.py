@@ -100,6 +100,11 @@ def m6_embed_text(spark, d):
                     r6(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), "norm"))
 
 
+def m6_token_idf(spark, d):
+    out = S.token_idf(fx.f1_transcripts(spark, d), "raw_transcript")
+    return out.select("token", big("doc_freq"), r6("idf"))
+
+
 def _length_scorer(b: pd.DataFrame) -> pd.DataFrame:
     toks = b["sent"].str.split(" ")
     return pd.DataFrame({"doc_id": b["doc_id"], "sent_no": b["sent_no"],
@@ -126,6 +131,7 @@ QUERIES = {
     "m4_bigram_lm": m4_bigram_lm,
     "m5_acceptability_model": m5_acceptability_model,
     "m6_embed_text": m6_embed_text,
+    "m6_token_idf": m6_token_idf,
     "m7_external_scorer": m7_external_scorer,
 }
 
@@ -186,6 +192,10 @@ ORACLES = {
                round(exp(least(coalesce(m, 3.5), 10.0)), 6) AS gpt2_ppl
         FROM f1_transcripts t LEFT JOIN a ON t.doc_id = a.doc_id""", "f1_transcripts", "f4_scores"),
     "m4_bigram_lm": with_fixtures(_LM, "f3_sents"),
+    "m6_embed_text": with_fixtures(r"""SELECT split, filename, CAST(384 AS BIGINT) AS dim,
+        CASE WHEN regexp_matches(raw_transcript, '[\p{L}\p{M}\p{Nd}\p{Pc}]') THEN 1.0 ELSE 0.0 END AS norm FROM f1_transcripts""", "f1_transcripts"),
+    "m6_token_idf": with_fixtures(r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(raw_transcript), '[^\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS token FROM f1_transcripts)
+        SELECT token, count(*) AS doc_freq, round(ln((SELECT count(*) FROM f1_transcripts) + 1.0) - ln(count(*) + 1.0), 6) AS idf FROM t WHERE token <> '' GROUP BY token""", "f1_transcripts"),
     "m7_external_scorer": with_fixtures("""SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sent_no AS BIGINT) AS sent_no, CAST(length(sent) AS BIGINT) AS n_chars,
         CAST(len(string_split(sent, ' ')) AS BIGINT) AS n_tokens FROM f3_sents""", "f3_sents"),
 }
