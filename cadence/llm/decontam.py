@@ -5,8 +5,11 @@
 2. Groups of passages are factored by randomised SVD (Gaussian range finder with power steps), one Spark task a
    group. A group keeps ``RANK`` latent dimensions.
 3. Every text is cut into overlapping word windows. A window's latent vector is the sum of its words' projected
-   TF-IDF rows; its cosine with the passages of every group (the window's length counts all its words, also those
-   that no item has) gives the candidates.
+   TF-IDF rows. Candidates are the passages whose cosine with it reaches ``COSINE`` (the window's length counts all
+   its words, also those that no item has) and those of which it holds a share of ``HELD``: the dot product against
+   the passage's own projected norm, which neither the other words of the window nor a low IDF lessen.
+   Beside this, every item is looked up by a run of ``SHORT`` of its words (all of them if it has fewer), so that a
+   word-for-word copy is a candidate whatever its length and weights.
 4. A candidate's item is compared with the words around the window by longest common subsequence. At least
    ``SAME`` of the item's words in order is a leak. A paraphrase needs ``LIKE`` of them and the item's answer (its last
    sentence, when it has more than one) word for word. Items of fewer than ``SHORT`` words must occur word for word.
@@ -31,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.common import packed, utf8_chunks, words_of
+from cadence.llm.common import mix64, packed, utf8_chunks, words_of
 
 STEP = 16                # words between window starts; a window is two steps
 ITEM_WORDS = 48
 GROUP, RANK = 128, 96
-COSINE = 0.18
+COSINE, HELD = 0.18, 0.35
 SAME, LIKE, SHORT = 0.8, 0.6, 8
 COMMON, SPREAD = 0.2, 0.125  # a word in more than these shares of the documents and of the items (and in two or more) carries no weight
 ITEMS_PER_PASS = 4096
@@ -137,13 +140,15 @@ def _fit(pdf: pd.DataFrame, idf: np.ndarray) -> pd.DataFrame:
     size = np.linalg.norm(latent, axis=1, keepdims=True)
     latent /= np.where(size > 1e-9, size, 1.0)
     return pd.DataFrame([[terms.tobytes(), (idf[terms][:, None] * v).astype(np.float32).tobytes(), latent.astype(np.float32).tobytes(),
-                          pdf["item"].to_numpy(np.int64).tobytes(), v.shape[1]]], columns=["terms", "project", "latent", "items", "rank"])
+                          (norm * size).astype(np.float32).tobytes(), pdf["item"].to_numpy(np.int64).tobytes(), v.shape[1]]],
+                        columns=["terms", "project", "latent", "norms", "items", "rank"])
 
 
 class Group(NamedTuple):
     terms: np.ndarray    # vocabulary index to row of project, -1 where absent
     project: np.ndarray
     latent: np.ndarray
+    norms: np.ndarray    # projected length of each passage
     items: np.ndarray
 
 
@@ -153,8 +158,35 @@ class Weights(NamedTuple):
     unknown: float           # weight of a word that no item has: the mean of the others
 
 
-def _models(docs: DataFrame, items: list[Item]) -> tuple[Weights, list[Group]]:
-    """(word weights, latent groups)."""
+class Runs(NamedTuple):
+    size: int
+    starts: np.ndarray                          # per vocabulary word, whether a run starts with it
+    items: dict[int, list[tuple[int, int]]]     # run hash to (item number, place of the run in the item)
+
+
+def _run_hashes(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each place."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        out = mix64(out + h[at + j])
+    return out
+
+
+def _item_runs(items: list[Item], vocabulary: np.ndarray, df: np.ndarray) -> list[Runs]:
+    """One run of words of each item, from its rarest word that has enough words after it, by run size."""
+    by: dict[int, Runs] = {}
+    for i, item in enumerate(items):
+        size = min(len(item.words), SHORT)
+        at = np.searchsorted(vocabulary, item.words[:len(item.words) - size + 1])
+        place = int(np.argmin(df[at]))
+        runs = by.setdefault(size, Runs(size, np.zeros(len(vocabulary), bool), {}))
+        runs.starts[at[place]] = True
+        runs.items.setdefault(int(_run_hashes(item.words, np.array([place]), size)[0]), []).append((i, place))
+    return list(by.values())
+
+
+def _models(docs: DataFrame, items: list[Item]) -> tuple[Weights, list[Group], list[Runs]]:
+    """(word weights, latent groups, runs for the word-for-word lookup)."""
     spark = docs.sparkSession
     vocabulary = np.unique(np.concatenate([x.words for x in items]))
     df, n = _document_frequencies(docs, vocabulary)
@@ -174,17 +206,18 @@ def _models(docs: DataFrame, items: list[Item]) -> tuple[Weights, list[Group]]:
                 rows.append((number // GROUP, i, part, bag.astype(np.int64).tobytes()))
                 number += 1
     if not rows:
-        return weights, []
+        return weights, [], _item_runs(items, vocabulary, df)
     passages = spark.createDataFrame(pd.DataFrame(rows, columns=["grp", "item", "part", "terms"]), "grp int, item long, part int, terms binary")
-    fitted = passages.groupBy("grp").applyInPandas(lambda pdf: _fit(pdf, idf), "terms binary, project binary, latent binary, items binary, rank int")
+    fitted = passages.groupBy("grp").applyInPandas(lambda pdf: _fit(pdf, idf), "terms binary, project binary, latent binary, norms binary, items binary, rank int")
     groups = []
     for r in fitted.collect():  # at most passages / GROUP models of one pass
         terms = np.frombuffer(r["terms"], np.int64)
         where = np.full(len(vocabulary), -1, np.int32)
         where[terms] = np.arange(len(terms))
         groups.append(Group(where, np.frombuffer(r["project"], np.float32).reshape(-1, r["rank"]),
-                            np.frombuffer(r["latent"], np.float32).reshape(-1, r["rank"]), np.frombuffer(r["items"], np.int64)))
-    return weights, groups
+                            np.frombuffer(r["latent"], np.float32).reshape(-1, r["rank"]), np.frombuffer(r["norms"], np.float32),
+                            np.frombuffer(r["items"], np.int64)))
+    return weights, groups, _item_runs(items, vocabulary, df)
 
 
 def lcs(masks: dict[int, int], size: int, text: list[int]) -> int:
@@ -209,20 +242,38 @@ def _contains(text: np.ndarray, part: np.ndarray) -> bool:
 MATCH = "item_id long, overlap double, cosine double, answer boolean, start_word long"
 
 
-def _windows(h: np.ndarray, first: np.ndarray, weights: Weights, known: np.ndarray, groups: list[Group]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _known_words(h: np.ndarray, vocabulary: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, vocabulary index) of the words that an item has."""
+    maybe = np.flatnonzero(known[h >> np.uint64(44)])
+    at = np.searchsorted(vocabulary, h[maybe])
+    at[at == len(vocabulary)] = 0
+    ok = vocabulary[at] == h[maybe]
+    return maybe[ok], at[ok]
+
+
+def _copies(h: np.ndarray, first: np.ndarray, place: np.ndarray, term: np.ndarray, runs: list[Runs]) -> Iterator[tuple[int, int, int]]:
+    """(row, word within the row where the item would start, item number) wherever an item's run occurs."""
+    for size, starts, items in runs:
+        at = place[starts[term]]
+        row = np.searchsorted(first, at, side="right") - 1
+        whole = at + size <= first[row + 1]
+        at, row = at[whole], row[whole]
+        hashes = _run_hashes(h, at, size)
+        for k in np.flatnonzero(np.isin(hashes, np.fromiter(items, np.uint64, len(items)))).tolist():
+            for i, offset in items[int(hashes[k])]:
+                yield int(row[k]), max(0, int(at[k] - first[row[k]]) - offset), i
+
+
+def _windows(h: np.ndarray, first: np.ndarray, place: np.ndarray, term: np.ndarray, weights: Weights,
+             groups: list[Group]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, first word within the row, item number, cosine) of candidate windows, per group."""
-    vocabulary, idf, unknown = weights
+    _, idf, unknown = weights
     if not len(h):
         return
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     steps = -(-np.diff(first) // STEP)
     step0 = np.concatenate([[0], np.cumsum(steps)])
     block = step0[row] + (np.arange(len(h)) - first[row]) // STEP
-    maybe = np.flatnonzero(known[h >> np.uint64(44)])
-    at = np.searchsorted(vocabulary, h[maybe])
-    at[at == len(vocabulary)] = 0
-    ok = vocabulary[at] == h[maybe]
-    place, term = maybe[ok], at[ok]
     square = np.full(len(h), unknown * unknown)
     square[place] = idf[term] ** 2
     length = np.add.reduceat(square, np.flatnonzero(np.diff(block, prepend=-1)))
@@ -246,31 +297,41 @@ def _windows(h: np.ndarray, first: np.ndarray, weights: Weights, known: np.ndarr
         sums[hit] = np.add.reduceat(g.project[local[has]], start, axis=0)
         # a window is a step with words of the items and the step after it
         pair = sums[:-1] + np.where(follows[:, None], sums[1:], 0)
-        cosine = (pair / size[:, None]) @ g.latent.T
-        i, j = np.nonzero(cosine >= COSINE)
-        yield owner[i], (used[i] - step0[owner[i]]) * STEP, g.items[j], cosine[i, j]
+        dot = pair @ g.latent.T
+        i, j = np.nonzero(dot >= np.minimum(COSINE * size[:, None], HELD * g.norms))
+        yield owner[i], (used[i] - step0[owner[i]]) * STEP, g.items[j], dot[i, j] / size[i]
 
 
-def _search(rows: DataFrame, items: list[Item], weights: Weights, groups: list[Group]) -> DataFrame:
+def _search(rows: DataFrame, items: list[Item], weights: Weights, groups: list[Group], runs: list[Runs]) -> DataFrame:
     """rows (key, text) to (key, matches)."""
     known = np.zeros(1 << 20, bool)
     known[weights.vocabulary >> np.uint64(44)] = True
-    shared = rows.sparkSession.sparkContext.broadcast((items, weights, known, groups))  # bounded by ITEMS_PER_PASS
+    shared = rows.sparkSession.sparkContext.broadcast((items, weights, known, groups, runs))  # bounded by ITEMS_PER_PASS
     key = rows.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weights, known, groups = shared.value
+        items, weights, known, groups, runs = shared.value
         masks: dict[int, dict[int, int]] = {}
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("overlap", pa.float64()), ("cosine", pa.float64()), ("answer", pa.bool_()), ("start_word", pa.int64())]))
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for lo, n, h, first in words(batch.column("text")):
                 best: dict[tuple[int, int], dict] = {}
-                for owner, start, item, cosine in _windows(h, first, weights, known, groups):
-                    for r, s, i, c in zip(owner.tolist(), start.tolist(), item.tolist(), cosine.tolist()):
-                        match = _verify(h[first[r]:first[r + 1]], s, items[i], masks.setdefault(i, _masks(items[i])), c)
-                        if match and match["overlap"] > best.get((r, i), {"overlap": 0.0})["overlap"]:
-                            best[r, i] = match
+
+                def check(r: int, s: int, i: int, c: float | None) -> None:
+                    if i not in masks:
+                        masks[i] = _masks(items[i])
+                    match = _verify(h[first[r]:first[r + 1]], s, items[i], masks[i], c)
+                    if match and match["overlap"] > best.get((r, i), {"overlap": 0.0})["overlap"]:
+                        best[r, i] = match
+
+                place, term = _known_words(h, weights.vocabulary, known)
+                for owner, start, item, cosine in _windows(h, first, place, term, weights, groups):
+                    for candidate in zip(owner.tolist(), start.tolist(), item.tolist(), cosine.tolist()):
+                        check(*candidate)
+                for r, s, i in _copies(h, first, place, term, runs):
+                    if best.get((r, i), {"overlap": 0.0})["overlap"] < 1.0:
+                        check(r, s, i, None)
                 for (r, i), match in sorted(best.items()):
                     found[lo + r].append(match)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, kind)], ["key", "matches"])
@@ -285,7 +346,7 @@ def _masks(item: Item) -> dict[int, int]:
     return out
 
 
-def _verify(text: np.ndarray, start: int, item: Item, masks: dict[int, int], cosine: float) -> dict | None:
+def _verify(text: np.ndarray, start: int, item: Item, masks: dict[int, int], cosine: float | None) -> dict | None:
     """The match of an item near a window, or None."""
     m = len(item.words)
     near = text[max(0, start - m):start + 2 * STEP + m]
@@ -294,7 +355,7 @@ def _verify(text: np.ndarray, start: int, item: Item, masks: dict[int, int], cos
         return None
     answer = _contains(near, item.answer)
     leak = _contains(near, item.words) if m < SHORT else share >= SAME or answer
-    return {"item_id": item.item_id, "overlap": share, "cosine": min(1.0, cosine), "answer": answer, "start_word": max(0, start - m)} if leak else None
+    return {"item_id": item.item_id, "overlap": share, "cosine": None if cosine is None else min(1.0, cosine), "answer": answer, "start_word": max(0, start - m)} if leak else None
 
 
 def _passes(benchmark: DataFrame) -> Iterator[list[Item]]:
@@ -308,7 +369,8 @@ def _passes(benchmark: DataFrame) -> Iterator[list[Item]]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per (document, item it leaks): doc_id, item_id, overlap, cosine, answer, start_word."""
+    """One row per (document, item it leaks): doc_id, item_id, overlap, cosine (NULL if only the word-for-word lookup
+    found it), answer, start_word."""
     texts = docs.select(docs["`doc_id`"].alias("key"), F.lower(F.coalesce(docs["`text`"], F.lit(""))).alias("text"))
     out = None
     for items in _passes(benchmark):

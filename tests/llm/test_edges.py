@@ -186,6 +186,19 @@ def test_decontamination(spark, edge_docs, no_docs):
     assert decontam.without_leaks(edge_docs, bench).count() == edge_docs.count()
 
 
+def test_decontamination_short_and_frequent_items(spark):
+    """Word-for-word copies of short items and of items with low IDF, and a near copy of the latter, in full windows."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: " ".join(f"n{rng.integers(10 ** 6)}" for _ in range(n))
+    often = "please keep calm while our engines cool down after landing tonight"
+    rare = [" ".join(f"r{i}x{j}" for j in range(16)) for i in range(60)]
+    bench = spark.createDataFrame([(1, "zyzzyva"), (2, "blue heron"), (3, "four little grey mice"), (4, often), *enumerate(rare, 5)], "item_id long, text string")
+    texts = [f"{noise(45)} {often} {noise(45)}" if d % 3 == 0 else noise(100) for d in range(300)]
+    texts += [f"{noise(20)} {x} {noise(40)}" for x in ("zyzzyva", "Blue  heron", "blue grey heron", "four little grey mice", "four grey little mice", often.replace("calm", "quiet"), *rare)]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {(d, 4) for d in range(0, 300, 3)} | {(300, 1), (301, 2), (303, 3), (305, 4)} | {(306 + i, 5 + i) for i in range(60)}
+
+
 def test_decontamination_recall_of_paraphrases(spark):
     """Latent candidates and checks against a full LCS of every window: recall at least 0.9, no others."""
     rng = np.random.default_rng(11)
