@@ -41,7 +41,8 @@ ITEM_WORDS = 48
 GROUP, RANK = 128, 96
 COSINE, HELD = 0.18, 0.35
 SAME, LIKE, SHORT = 0.8, 0.6, 8
-COMMON, SPREAD = 0.2, 0.125  # a word in more than these shares of the documents and of the items (and in two or more) carries no weight
+COMMON, SPREAD = 0.2, 0.125  # a word in more than these shares of the documents and of the distinct items (and in more than two)
+                             # carries no weight, unless such words alone can make up a leak of an item
 ITEMS_PER_PASS = 4096
 
 
@@ -191,10 +192,12 @@ def _models(docs: DataFrame, items: list[Item]) -> tuple[Weights, list[Group], l
     vocabulary = np.unique(np.concatenate([x.words for x in items]))
     df, n = _document_frequencies(docs, vocabulary)
     idf = np.log((n + 1.0) / (df + 1.0)) + 0.1
-    spread = np.bincount(np.searchsorted(vocabulary, np.concatenate([np.unique(x.words) for x in items])), minlength=len(vocabulary))
-    common = (df > COMMON * n) & (spread > max(2.0, SPREAD * len(items)))
-    if not common.all():
-        idf[common] = 0.0
+    texts = {x.words.tobytes(): np.searchsorted(vocabulary, x.words) for x in items}  # copies of an item count once
+    spread = np.bincount(np.concatenate([np.unique(x) for x in texts.values()]), minlength=len(vocabulary))
+    common = (df > COMMON * n) & (spread > max(2.0, SPREAD * len(texts)))
+    for own in [x for x in texts.values() if common[x].mean() >= LIKE]:  # a leak of such an item may hold its common words only
+        common[own] = False
+    idf[common] = 0.0
     weights = Weights(vocabulary, idf, float(idf[idf > 0].mean()))
     rows, number = [], 0
     for i, item in enumerate(items):

@@ -199,6 +199,21 @@ def test_decontamination_short_and_frequent_items(spark):
     assert got == {(d, 4) for d in range(0, 300, 3)} | {(300, 1), (301, 2), (303, 3), (305, 4)} | {(306 + i, 5 + i) for i in range(60)}
 
 
+def test_decontamination_items_of_common_words(spark):
+    """Copies of one item that a third of the documents hold, and an item made of words that most items have."""
+    rng = np.random.default_rng(9)
+    noise = lambda n: " ".join(f"n{rng.integers(10 ** 6)}" for _ in range(n))
+    copied = "seven brass lanterns hang above our old harbour gate tonight"
+    frame = "which of these is the one that you would call"
+    rare = [f"{frame} " + " ".join(f"r{i}x{j}" for j in range(16)) for i in range(12)]
+    bench = spark.createDataFrame([*((i, copied) for i in range(6)), (6, frame), *enumerate(rare, 7)], "item_id long, text string")
+    texts = [f"{noise(40)} {copied.replace('old', 'new') if d % 6 else copied} {noise(40)} {frame.replace('one', 'two')}" if d % 3 == 0 else noise(80) for d in range(90)]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {(d, i) for d in range(0, 90, 3) for i in range(7)}
+    groups = decontam._models(spark.createDataFrame([(t,) for t in texts], "text string"), decontam.parse_items(bench.collect()))[1]
+    assert {i for g in groups for i in g.items.tolist()} == set(range(19))
+
+
 def test_decontamination_recall_of_paraphrases(spark):
     """Latent candidates and checks against a full LCS of every window: recall at least 0.9, no others."""
     rng = np.random.default_rng(11)
