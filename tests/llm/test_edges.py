@@ -301,6 +301,21 @@ def test_html(spark):
     assert html_extract.main_texts(df.limit(0)).count() == 0
 
 
+def test_html_heavy_template_and_copies(spark):
+    """A template share of 80 % and more goes; copies, also between other copies, take it from a further page."""
+    chrome = "".join(f"<div>Template line {i}</div>" for i in range(8))
+    page = lambda own, top="": f"<body><nav>{top}</nav>{chrome}" + "".join(f"<p>{x}</p>" for x in own)
+    story = ["Copied story", "told twice"]
+    pages = [(i, f"http://h.example/a/{i}", page([f"Own {i}", f"words {i}"])) for i in range(3)]
+    pages += [(i, f"http://h.example/b/{i}", page(story, f"crumb {i}")) for i in range(3, 9)]
+    pages += [(9, "http://h.example/b/9", page([*story, "and more"])), (10, "http://alone.example/1", page(story)), (11, "http://alone.example/2", page(story))]
+    pages += [(12, "http://nest.example/5", page(story)), *((13 + i, f"http://nest.example/{x}", page([*story, f"More {x}"])) for i, x in enumerate((3, 4, 6, 7))), (17, "http://nest.example/9", page(["End"]))]
+    got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()}
+    whole = " ".join([*(f"Template line {i}" for i in range(8)), *story])
+    assert got == {**{i: f"Own {i} words {i}" for i in range(3)}, **{i: "Copied story told twice" for i in range(3, 9)}, 9: "and more", 10: whole, 11: whole,
+                   12: "Copied story told twice", 13: "More 3", 14: "More 4", 15: "More 6", 16: "More 7", 17: "End"}
+
+
 def test_common_lines():
     assert html_extract.common_lines(list("abcbdab"), list("bdcaba")).__len__() == 4
     assert html_extract.common_lines([], ["a"]) == set() and html_extract.common_lines(["a"], []) == set()
