@@ -5,8 +5,8 @@ date order become validity intervals: an ``add`` opens one that the next entry o
 entries of one day the last action in alphabetical order counts, so a drop wins). A capture of a URL on a date is
 evaluated against the entries active on that date only.
 
-A URL is looked up under its host, every parent domain, and its host with each leading path segment prefix up to
-``PATH_DEPTH``. Captures are first reduced to the distinct (pattern, date) pairs they ask for (a partial aggregate: a
+A URL is looked up under its host, every parent domain, and its host with each leading path segment prefix, up to
+the whole path. Captures are first reduced to the distinct (pattern, date) pairs they ask for (a partial aggregate: a
 host with a third of all captures asks for at most one pair per day). The as-of join is one window over the pairs and
 entries of a pattern in date order, whose size is days + entries and never captures. Active pairs then join back to
 the captures on (pattern, date): one row per key on that side, so a hot key is split by adaptive execution, and the
@@ -22,8 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PATH_DEPTH = 2
-
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
@@ -40,7 +38,7 @@ def patterns_of(url: Column) -> Column:
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
                           lambda i: F.array_join(F.slice(labels, i, F.greatest(F.size(labels) - i + 1, F.lit(0))), "."))
     segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    prefixes = F.transform(F.filter(F.sequence(F.lit(1), F.lit(PATH_DEPTH)), lambda i: i <= F.size(segments)),
+    prefixes = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(segments), F.lit(1))), lambda i: i <= F.size(segments)),
                            lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(host), parents, prefixes)))
 

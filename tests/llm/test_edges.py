@@ -155,6 +155,17 @@ def test_suffix_dedup(edge_docs, no_docs, spark):
     assert bytes(texts.kept) == b"xy"
 
 
+def test_url_filter_deep_paths(spark):
+    day = F.lit("2024-05-01").cast("date")
+    entries = spark.createDataFrame([("deep", "h.example/a/b/c/d"), ("page", "h.example/a/b/x/y/z.html")], "list string, pattern string")
+    entries = entries.select("list", "pattern", day.alias("day"), F.lit("add").alias("action"))
+    urls = ["http://h.example/a/b/c/d/e/f?q=1", "http://h.example/a/b/c/d", "http://h.example/a/b/c", "http://h.example/a/b/x/y/z.html#top", "http://h.example/a/b/x/y/z", "http://h.example/"]
+    captures = spark.createDataFrame(list(enumerate(urls)), "id long, url string").withColumn("day", day)
+    got = {r.id: (r.lists, r.pattern) for r in url_filter.decide(captures, entries).collect()}
+    deep, page, none = ("deep", "h.example/a/b/c/d"), ("page", "h.example/a/b/x/y/z.html"), ("", None)
+    assert got == {0: deep, 1: deep, 2: none, 3: page, 4: none, 5: none}
+
+
 def test_url_filter(spark):
     entries = spark.createDataFrame([("spam", "bad.example", "2024-01-10", "add"), ("spam", "bad.example", "2024-02-01", "drop"),
                                      ("spam", "bad.example", "2024-03-01", "add"), ("spam", "bad.example", "2024-03-01", "add"), ("adult", "ok.example/x", "2024-01-01", "add"),
