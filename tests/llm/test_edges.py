@@ -155,6 +155,22 @@ def test_suffix_dedup(edge_docs, no_docs, spark):
     assert bytes(texts.kept) == b"xy"
 
 
+def test_suffix_dedup_sends_copies_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("abcdefghij"), 1000))
+    rows = [*[text] * 50, "x" + text[:600]]
+    shas = [hashlib.sha256(t.encode()).hexdigest() for t in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(shas), pa.array([int(s[:15], 16) for s in shas]), pa.array(rows)], ["sha", "key", "text"])
+    task = [b for b in suffix_dedup._emit(iter([batch, batch]), 1)]
+    assert sum(len(suffix_dedup.unpack(k, 8)) for b in task for k in b.column("keys").to_pylist()) == 2
+    sent = pd.concat([b.to_pandas() for _ in range(20) for b in task])  # twenty tasks that hold the same texts
+    for blob in suffix_dedup._mark(sent)["places"]:
+        places = np.frombuffer(blob, "<i4")
+        assert len(places) and len(np.unique(places)) == len(places)
+
+
 def test_url_filter_deep_paths(spark):
     day = F.lit("2024-05-01").cast("date")
     entries = spark.createDataFrame([("deep", "h.example/a/b/c/d"), ("page", "h.example/a/b/x/y/z.html")], "list string, pattern string")
