@@ -157,13 +157,14 @@ def exact_groups(docs: DataFrame, batch: Column | None = None) -> DataFrame:
              .join(per_batch.select("sha", "batch", F.col("top").alias("new_id")), ["sha", "batch"]))
     pairs = written(pairs, "op7-pairs")
 
-    # one text per (digest, batch) that is in a pair; ids without a row (NULL) are checked by their digest alone;
-    # the merge hint keeps one join strategy at every size
-    ids = pairs.select(F.col("old_id").alias("doc_id")).union(pairs.select("new_id")).distinct()
-    texts = written(docs.select("doc_id", normalised(F.col("text")).alias("bytes")).join(ids.hint("merge"), "doc_id", "left_semi")
-                    .dropDuplicates(["doc_id"]), "op7-texts")
-    checked = (pairs.join(texts.select(F.col("doc_id").alias("old_id"), F.col("bytes").alias("old")), "old_id", "left")
-               .join(texts.select(F.col("doc_id").alias("new_id"), F.col("bytes").alias("new")), "new_id", "left"))
+    # one text per (digest, batch) that is in a pair, by id and digest (an id may have several texts); ids without a
+    # row (NULL) are checked by their digest alone; the merge hint keeps one join strategy at every size
+    ids = pairs.select(F.col("old_id").alias("doc_id"), "sha").union(pairs.select("new_id", "sha")).distinct()
+    bytes_of = docs.select("doc_id", normalised(F.col("text")).alias("bytes"))
+    texts = written(bytes_of.withColumn("sha", F.sha2(F.encode("bytes", "UTF-8"), 256)).join(ids.hint("merge"), ["doc_id", "sha"], "left_semi")
+                    .dropDuplicates(["doc_id", "sha"]), "op7-texts")
+    checked = (pairs.join(texts.select(F.col("doc_id").alias("old_id"), "sha", F.col("bytes").alias("old")), ["old_id", "sha"], "left")
+               .join(texts.select(F.col("doc_id").alias("new_id"), "sha", F.col("bytes").alias("new")), ["new_id", "sha"], "left"))
     linked = checked.where(F.col("old").isNull() | F.col("new").isNull() | (F.col("old") == F.col("new")))
     # equality is transitive: a batch's group is the smallest snapshot it equals, or itself
     root = linked.groupBy("sha", "batch").agg(F.min("snapshot").alias("root"))

@@ -135,6 +135,14 @@ def test_filter_positives_are_checked(spark, monkeypatch):
     assert (rows["group_size"] == 2).all() and (rows["keep_id"] == rows["doc_id"] // 2 * 2 + 1).all()
 
 
+def test_exact_dedup_ids_with_several_texts(spark):
+    rows = [(5, t, 0) for t in "abcdefgh"] + [(9 + i, t, 1) for i, t in enumerate("abcdefgh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, batch int")
+    got = exact_dedup.exact_groups(docs, F.col("batch")).toPandas()
+    assert (got["group_size"] == 2).all()
+    assert sorted(got.loc[got["kept"], "doc_id"]) == list(range(9, 17)) and (got["keep_id"] >= 9).all()
+
+
 def test_suffix_dedup(edge_docs, no_docs, spark):
     rows = suffix_dedup.removed(edge_docs).toPandas()
     assert len(rows) == edge_docs.count()
