@@ -1,11 +1,11 @@
-"""Operator 5: n-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""Operator 5: n-gram Jaccard join by MinHash LSH banding with exact verification.
 
 1. Every whole text becomes word hashes and five-word shingles (vectorised over Arrow batches): a 128-bit digest of
-   its word sequence and a signature of ``TREES`` x ``DEPTH`` MinHash values, one sorted trie of prefixes per tree.
+   its word sequence and a signature of ``TREES`` x ``DEPTH`` MinHash values.
    Rows with the same words are one representative (a partial aggregate), so exact copies cost nothing further.
-2. A pair of similarity s meets in a tree at prefix length d with probability s^d. The matched prefix is shortened
-   from the full depth until 1 - (1 - t^d)^trees reaches the target recall at the threshold t, and shortened again
-   if the recall estimated from the verified links (each weighs 1 / its chance to be found) falls short of it.
+2. A pair of similarity s meets in a tree at prefix length d with probability s^d. One prefix length serves all trees:
+   the longest for which 1 - (1 - t^d)^trees reaches the target recall at the threshold t (6 at the registered values).
+   It is fixed from there: the recall estimated from the verified links, all at t or more, cannot fall short of it.
 3. Members of a prefix bucket are linked to the bucket's smallest member: one row each, never all pairs. Connected
    components of these links hold every candidate pair.
 4. Each component is verified exactly: its shingle sets go to (block, block) groups of at most ``BLOCK`` members a
