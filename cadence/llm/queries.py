@@ -1,10 +1,12 @@
-"""Registered queries of the ten operators: each applies its operator to the whole intended table."""
+"""Registered queries of the thirteen operators: each applies its operator to the whole intended table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cadence.llm import chat, decontam, exact_dedup, html_extract, langid, mixing, ngram_join, sharding, suffix_dedup, url_filter
+from cadence.llm import (chat, decontam, exact_dedup, hard_negatives, html_extract, langid, lm_score, mixing, ngram_join, sharding, suffix_dedup,
+                         url_filter, whitening)
 from cadence.llm.common import table
 
 
@@ -58,4 +60,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup, op8_suffix_dedup, op9_chat_format, op10_html_extraction)}
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text under a deleted-interpolation n-gram model learned outside the held-out fold."""
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the four leading whitened components, from the scatter matrix's exact characteristic polynomial."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding's five positives, labels of every seventh moved by one first."""
+    t = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long")
+    return hard_negatives.mine(t.select(F.col("vec_id").cast("long").alias("id"), label.alias("label"), "embedding", F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)).alias("anchor")))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op4_mixing, op5_ngram_join, op6_language_id, op7_exact_dedup, op8_suffix_dedup, op9_chat_format, op10_html_extraction,
+                                   op11_lm_scoring, op12_embedding_whitening, op13_hard_negatives)}
