@@ -6,7 +6,7 @@ have no upper end. The weights come from expectation-maximisation on held-out co
 dealt into two folds, and every token of one fold is an event under the counts of the other (the counts that are left
 when its own fold is deleted). The final estimates use the counts of both folds.
 
-Plan. Documents are packed into chunks of about 16 MB of text (one row each, written once). A chunk sends its distinct
+Plan. Documents are packed into chunks of about 8 MB of text (one row each, written once). A chunk sends its distinct
 n-gram hashes with their counts per fold, sorted and cut by hash range into slots: one row per (order, slot, chunk), so what
 is shuffled is linear in the distinct n-grams of a chunk and no n-gram, however frequent, is more than one entry a
 chunk. A slot sums the counts and answers every chunk in the chunk's own order. Chunk and answers then meet once for the held-out
@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.common import mix64, utf8_chunks, words_of, written
+from cadence.llm.common import CHUNK_BYTES, mix64, utf8_chunks, words_of, written
 from cadence.session import shuffle_partitions
 
 ORDER = 2
 MOST_ORDER = 5                  # cells of the held-out histogram pack (bucket, step) pairs into 64 bits
-CHUNK_TEXT = 16_000_000
+CHUNK_TEXT = 8_000_000
 SLOT_TEXT = 6_000_000           # bytes of text per slot: about a million tokens
 LEAST_SLOTS = 64
 STEPS = 2.0                     # cells per octave of an estimate
@@ -120,15 +120,22 @@ def _chunked(docs: DataFrame) -> DataFrame:
 def _tokens(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes, document of each): every document is a start mark, its words and the end."""
     offs = np.concatenate([[0], np.cumsum(sizes)])
-    h, _, _, first = words_of(data, offs)
-    words = np.diff(first)
     docs = len(sizes)
-    doc = np.repeat(np.arange(docs), words + 2)
+    hashes, words, lo = [], [], 0
+    while lo < docs:                                    # whole documents, about CHUNK_BYTES of text at a time
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + CHUNK_BYTES, side="right")) - 1)
+        h, _, _, first = words_of(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
+        hashes.append(h)
+        words.append(np.diff(first))
+        lo = hi
+    words = np.concatenate(words)
+    first = np.concatenate([[0], np.cumsum(words)])
+    doc = np.repeat(np.arange(docs, dtype=np.int32), words + 2)
     begin = first[:-1] + 2 * np.arange(docs)
     tok = np.empty(len(doc), np.uint64)
     inner = np.ones(len(doc), bool)
     inner[begin] = inner[begin + words + 1] = False
-    tok[inner], tok[begin], tok[begin + words + 1] = h, START, END
+    tok[inner], tok[begin], tok[begin + words + 1] = np.concatenate(hashes), START, END
     return tok, doc
 
 
