@@ -18,11 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.folds import FULL, assign_folds, train_membership
+from cadence.operators.folds import FULL, assign_folds, fold_vectors, train_membership
 from cadence.operators.gram import emit_blocks, sum_blocks
 from cadence.session import right_size
 from cadence.operators.models import (RIDGE_ALPHA, FoldFit, Layout, design_features, design_vector, dot, fit_folds,
-                                      ridge_weights)
+                                      global_shifts, ridge_weights)
 
 # Boosted-tree profiles of the reference (rounds, learning rate, depth, min rows per leaf).
 GBT_PROFILES = {
@@ -40,31 +40,43 @@ class CrossValidation:
         unlabelled = train.where(F.col(layout.label).isNull()).count()
         if unlabelled:
             raise ValueError(f"{unlabelled} training rows have no label; drop or label them first")
-        # the feature table is read by many small jobs (folds, shifts, Gram, medians, scoring): keep one copy
+        # the feature table is read by many small jobs (shifts, Gram, medians, scoring): keep one copy with its folds
         train = right_size(train.persist()).persist()
         test = (train if test is train else right_size(test.persist()).persist()) if test is not None else None
         self.train, self.key, self.layout, self.k, self.repeats, self.seed = train, key, layout, k, repeats, seed
         self.test = test
         self.folds = assign_folds(train, key, layout.label, k, repeats, seed).checkpoint(eager=True)
-        self.fit: FoldFit = fit_folds(train, self.folds, key, layout, k, repeats, n_components, test=test)
-        self.w_train = train.select(key, F.col(layout.label).cast("double").alias("y"),
-                                    design_vector(layout, self.fit.shifts).alias("w"))
-        self.frame = self.w_train.join(self.folds.select(key, "repeat", "fold"), key)
+        self.rows = train.join(fold_vectors(self.folds, key, repeats), key).persist()
+        shifts = global_shifts(train, layout, None if test is train else test)
+        self.fit: FoldFit = fit_folds(train, self.folds, key, layout, k, repeats, n_components, rows=self.rows, shifts=shifts)
+        self.w_rows = self.rows.select(key, "folds", F.col(layout.label).cast("double").alias("y"), design_vector(layout, shifts).alias("w"))
+        self.w_train = self.w_rows.drop("folds")
         self.w_test = None
         if test is not None:
-            self.w_test = test.select(key, design_vector(layout, self.fit.shifts, with_label=False).alias("w"))
+            self.w_test = test.select(key, design_vector(layout, shifts, with_label=False).alias("w"))
 
-    # -- linear ---------------------------------------------------------------------------------------
-    def _weights_table(self, betas: dict[tuple, np.ndarray]) -> DataFrame:
-        rows = [(int(r), int(f), [float(x) for x in b]) for (r, f), b in betas.items()]
-        return self.train.sparkSession.createDataFrame(rows, "repeat int, fold int, beta array<double>")
+    @property
+    def frame(self) -> DataFrame:
+        """(key, y, w, repeat, fold): a row once per repeat, for models that are fitted or scored per fold."""
+        return self.w_rows.select(self.key, "y", "w", F.posexplode("folds").alias("repeat", "fold"))
+
+    def release(self) -> None:
+        """Drop the kept copies; frames made from this object are computed anew if read later."""
+        for df in (self.rows, self.train, self.test):
+            if df is not None:
+                df.unpersist()
 
+    # -- linear ---------------------------------------------------------------------------------------
     def linear_predictions(self, betas: dict[tuple, np.ndarray], name: str) -> tuple[DataFrame, DataFrame | None]:
-        """OOF (mean over repeats) and test (mean weight vector) predictions of per-fold linear models."""
+        """OOF (mean over repeats) and test (mean weight vector) predictions of per-fold linear models.
+
+        A row looks its weights up by its fold of each repeat, so no row is copied or shuffled."""
         cv = {rf: b for rf, b in betas.items() if rf[0] != FULL}
-        table = F.broadcast(self._weights_table(cv))  # k x r rows
-        oof = (self.frame.join(table, ["repeat", "fold"]).select(self.key, dot("w", F.col("beta")).alias("pred"))
-               .groupBy(self.key).agg(F.avg("pred").alias("pred")).withColumn("model", F.lit(name)))
+        pred = F.lit(0.0)
+        for r in range(self.repeats):
+            table = F.array(*[F.array(*[F.lit(float(x)) for x in cv[r, f]]) for f in range(self.k)])   # k weight vectors
+            pred = pred + dot("w", table[F.col("folds")[r]])
+        oof = self.w_rows.select(self.key, (pred / self.repeats).alias("pred"), F.lit(name).alias("model"))
         test = None
         if self.w_test is not None:
             mean_beta = np.mean(np.stack(list(cv.values())), axis=0)

@@ -3,19 +3,21 @@
 The fold is a column, never a loop over filtered copies: every (repeat, fold) statistic comes out of
 one grouped aggregate, and a fold's training statistic is "all rows minus the fold's own rows" for
 additive quantities. The full-data refit (V15) is the extra fold ``(repeat=-1, fold=-1)`` trained on
-every row. Medians are the one non-additive statistic: rows are expanded to the folds they train and
-an exact distributed quantile is taken per (repeat, fold, feature).
+every row. Medians are not additive, but the counts that select them are (see :mod:`cadence.operators.selection`),
+so they too come from passes over the rows as they are, without a copy per fold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions.text import round_even
-from cadence.operators.ordinal import exact_quantiles, ordinal_within
+from cadence.operators.ordinal import ordinal_within
+from cadence.operators.selection import radix_medians
 
 FULL = -1  # repeat and fold id of the all-rows refit
 
@@ -61,17 +63,38 @@ def train_membership(folds: DataFrame, key: str, k: int, include_full: bool = Tr
     return others
 
 
+def fold_vectors(folds: DataFrame, key: str, repeats: int) -> DataFrame:
+    """(key, folds): the fold of every repeat as one array, so that a row is carried once however many folds it trains."""
+    return folds.groupBy(key).agg(F.array(*[F.max(F.when(F.col("repeat") == r, F.col("fold"))) for r in range(repeats)]).alias("folds"))
+
+
 def fold_medians(df: DataFrame, folds: DataFrame, key: str, features: Sequence[str], k: int,
-                 include_full: bool = True) -> DataFrame:
-    """V4 fit: exact median of each feature over each fold's training rows -> (repeat, fold, feature, median)."""
-    member = train_membership(folds, key, k, include_full)
-    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"))
-                                              for c in features])).alias("_f")) \
-        .select(key, "_f.feature", "_f.v")
-    rows = long.join(member, key)
-    med = exact_quantiles(rows, ["repeat", "fold", "feature"], "v", {"median": 0.5})
-    # a feature with no value in a fold's training rows has no median (all-null column: the reference drops it)
-    return med
+                 include_full: bool = True, repeats: int | None = None) -> DataFrame:
+    """V4 fit: exact median of each feature over each fold's training rows -> (repeat, fold, feature, median).
+
+    A feature with no value in a fold's training rows has no row (the reference drops an all-null column)."""
+    repeats = folds.agg(F.max("repeat")).first()[0] + 1 if repeats is None else repeats
+    rows = df.select(key, *features).join(fold_vectors(folds, key, repeats), key).drop(key).persist()
+    try:
+        found = training_medians(rows, features, k, repeats, include_full)
+    finally:
+        rows.unpersist()
+    out = [(r, f, c, v) for (r, f, c), v in sorted(found.items())]       # folds x features values
+    return df.sparkSession.createDataFrame(out, "repeat int, fold int, feature string, median double")
+
+
+def training_medians(rows: DataFrame, features: Sequence[str], k: int, repeats: int, include_full: bool = True) -> dict[tuple[int, int, str], float]:
+    """Exact training medians of (folds, features...) rows, each row read once a pass: (repeat, fold, feature) -> median.
+
+    Training ranks are additive: a count over the training rows is the count over all rows minus the fold's own."""
+    targets = [(r, f) for r in range(repeats) for f in range(k)] + ([(FULL, FULL)] if include_full else [])
+
+    def of(counts: np.ndarray, target: tuple[int, int]) -> np.ndarray:
+        total = counts[:k].sum(axis=0)                                   # the first repeat's folds hold every row once
+        return total if target[0] == FULL else total - counts[target[0] * k + target[1]]
+
+    return {(*t, c): v for (t, c), v in radix_medians(rows, features, repeats * k, targets, of,
+                                                      [F.col("folds")[r] + r * k for r in range(repeats)]).items()}
 
 
 def impute(df: DataFrame, features: Sequence[str], medians: dict[str, float]) -> DataFrame:

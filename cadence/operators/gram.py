@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,30 +68,26 @@ def emit_blocks(acc: dict[tuple, np.ndarray], group_names: Sequence[str], dim: i
 
 def grouped_gram(df: DataFrame, group_cols: Sequence[str], w_col: str, dim: int,
                  max_tasks: int | None = None) -> dict[tuple, np.ndarray]:
+    """Gram matrix of ``w`` per group of whole-number columns; every row is read and multiplied once."""
     g = list(group_cols)
     src = df.select(*g, F.col(w_col).alias("_w"))
     if max_tasks and src.rdd.getNumPartitions() > max_tasks:
         src = src.coalesce(max_tasks)
     nblocks = (dim * dim + BLOCK - 1) // BLOCK
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[tuple, np.ndarray] = {}
         for b in batches:
-            if b.empty:
-                continue
-            for key, part in (b.groupby(g, sort=False) if g else [((), b)]):
-                key = key if isinstance(key, tuple) else (key,)
-                w = np.stack(part["_w"].to_numpy()).astype(np.float64)
-                m = acc.get(key)
-                acc[key] = w.T @ w if m is None else m + w.T @ w
-        rows = []
-        for key, m in acc.items():
-            flat = m.reshape(-1)
-            for bi in range(nblocks):
-                rows.append((*key, bi, flat[bi * BLOCK:(bi + 1) * BLOCK].tolist()))
-        yield pd.DataFrame(rows, columns=[*g, "_block", "_v"])
-
-    types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
-    schema = ", ".join([f"{c} {types[c]}" for c in g] + ["_block int", "_v array<double>"])
-    parts = src.mapInPandas(partial, schema)
-    return sum_blocks(parts, g, dim)
+            w = b.column("_w").flatten().to_numpy().reshape(-1, dim)
+            keys = np.stack([b.column(c).to_numpy() for c in g], axis=1) if g else np.zeros((len(b), 0), np.int64)
+            own, which = np.unique(keys, axis=0, return_inverse=True) if g and len(b) else (keys[:1], np.zeros(len(b), np.int64))
+            order = np.argsort(which, kind="stable")
+            for key, part in zip(own.tolist(), np.split(w[order], np.cumsum(np.bincount(which, minlength=len(own)))[:-1])):
+                m = acc.get(tuple(key))
+                acc[tuple(key)] = part.T @ part if m is None else m + part.T @ part
+        rows = [(*key, i, m.reshape(-1)[i * BLOCK:(i + 1) * BLOCK]) for key, m in acc.items() for i in range(nblocks)]
+        yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in range(len(g))], pa.array([r[-2] for r in rows], pa.int32()),
+                                          pa.array([r[-1] for r in rows], pa.list_(pa.float64()))], [*g, "_block", "_v"])
+
+    schema = ", ".join([f"{c} long" for c in g] + ["_block int", "_v array<double>"])
+    return sum_blocks(src.mapInArrow(partial, schema), g, dim)

@@ -1,4 +1,4 @@
-"""Join building blocks: size-checked broadcast and hot-key splitting (JN1-JN4 build on these)."""
+"""Join building blocks: size-checked broadcast and null-safe keys (JN1-JN4 build on these)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.session import BROADCAST_ROW_LIMIT, shuffle_partitions
+from cadence.session import BROADCAST_ROW_LIMIT
 
 
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
@@ -31,49 +31,3 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
         cond = c if cond is None else cond & c
     out = left.join(r, cond, how)
     return out.drop(*[f"__r_{k}" for k in keys])
-
-
-HOT_SAMPLE_ROWS = 200_000
-
-
-def hot_keys(big: DataFrame, keys: Sequence[str], rows: int | None = None,
-             sample_rows: int = HOT_SAMPLE_ROWS) -> list:
-    """Keys holding more than a quarter of an average partition's rows, found on a bounded sample.
-
-    Sampling (as Spark's range partitioner does) costs one scan and a tiny shuffle; a key that misses the
-    sample can only cost balance, never correctness. At most 4 x shuffle-partitions keys are returned.
-    """
-    keys = list(keys)
-    total = rows if rows is not None else big.count()
-    if total == 0:
-        return []
-    parts = shuffle_partitions(big.sparkSession)
-    threshold = max(1.0, total / (4.0 * parts))
-    frac = min(1.0, sample_rows / total)
-    sample = big.select(*keys) if frac >= 1.0 else big.select(*keys).sample(fraction=frac, seed=17)
-    freq = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    hot = freq.where(F.col("_c") / F.lit(frac) > threshold).orderBy(F.desc("_c")).limit(4 * parts)
-    return hot.select(*keys).collect()
-
-
-def hot_split_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
-                   big_rows: int | None = None, small_rows: int | None = None) -> DataFrame:
-    """Join ``small`` (one row per key) onto ``big`` without sending a hot key to one task.
-
-    ``small`` is broadcast when its measured size allows. Otherwise hot keys of ``big`` (see
-    :func:`hot_keys`) are split off and joined against a broadcast of their few ``small`` rows; everything
-    else takes a shuffle join. Known row counts skip the probes.
-    """
-    keys = list(keys)
-    small_fits = (small_rows <= BROADCAST_ROW_LIMIT) if small_rows is not None \
-        else row_count_at_most(small, BROADCAST_ROW_LIMIT)
-    if small_fits:
-        return big.join(F.broadcast(small), keys, how)
-    hot_rows = hot_keys(big, keys, big_rows)
-    if not hot_rows:
-        return big.join(small, keys, how)
-    hot = big.sparkSession.createDataFrame(hot_rows, big.select(*keys).schema)
-    hot_small = small.join(F.broadcast(hot), keys, "left_semi")
-    big_hot = big.join(F.broadcast(hot), keys, "left_semi")
-    big_cold = big.join(F.broadcast(hot), keys, "left_anti")
-    return big_hot.join(F.broadcast(hot_small), keys, how).unionByName(big_cold.join(small, keys, how))

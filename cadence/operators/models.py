@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.folds import FULL, fold_medians
+from cadence.operators.folds import FULL, fold_vectors, training_medians
 from cadence.operators.gram import grouped_gram
 
 # Reference model settings (fixed values).
@@ -216,25 +216,46 @@ class FoldFit:
         return keys + ([(FULL, FULL)] if include_full else [])
 
 
+MOST_CELLS = 256  # Gram matrices held by a task
+
+
+def fold_grams(rows: DataFrame, k: int, repeats: int, dim: int, max_tasks: int | None = None) -> dict[tuple, np.ndarray]:
+    """Gram matrix of every (repeat, fold) from rows (folds, w) that are read once.
+
+    Rows are added up per *cell*, the combination of their folds in all repeats (at most k^repeats); a fold is the sum of
+    its cells. Where that is more cells than a task should hold, repeats are taken in groups that are, one pass a group."""
+    per = 1
+    while per < repeats and k ** (per + 1) <= MOST_CELLS:
+        per += 1
+    grams: dict[tuple, np.ndarray] = {}
+    for lo in range(0, repeats, per):
+        own = range(lo, min(repeats, lo + per))
+        cell = sum((F.col("folds")[r].cast("long") * (k ** i) for i, r in enumerate(own)), F.lit(0).cast("long"))
+        for (c,), m in grouped_gram(rows.select(cell.alias("cell"), "w"), ["cell"], "w", dim, max_tasks).items():
+            for i, r in enumerate(own):
+                at = (r, c // k ** i % k)
+                grams[at] = grams[at] + m if at in grams else m
+    return {(r, f): grams.get((r, f), np.zeros((dim, dim))) for r in range(repeats) for f in range(k)}
+
+
 def fit_folds(df: DataFrame, folds: DataFrame, key: str, layout: Layout, k: int, repeats: int,
               n_components: int = PCA_COMPONENTS, standardize: bool = True, max_tasks: int | None = None,
-              test: DataFrame | None = None) -> FoldFit:
-    """One Gram pass (per repeat and fold) + one median pass -> every fold's preprocessing.
+              test: DataFrame | None = None, rows: DataFrame | None = None, shifts: Shifts | None = None) -> FoldFit:
+    """One Gram pass (all repeats and folds) + counting passes for the medians -> every fold's preprocessing.
 
     Medians are computed only for features with a missing value in the training or test rows; for the
-    others imputation is the identity."""
-    shifts = global_shifts(df, layout, test)
-    rows = df.select(key, design_vector(layout, shifts).alias("w"))
-    frame = rows.join(folds.select(key, "repeat", "fold"), key)
+    others imputation is the identity. ``rows`` may hold ``df`` with its ``folds`` array (see ``fold_vectors``)."""
+    shifts = shifts or global_shifts(df, layout, test)
+    rows = df.join(fold_vectors(folds, key, repeats), key) if rows is None else rows
     need = [c for c in layout.features if shifts.has_missing.get(c)]
-    # the Gram pass and the median pass are independent jobs: submit both at once
+    # the Gram pass and the median passes are independent jobs: submit both at once
     with ThreadPoolExecutor(max_workers=2) as ex:
-        g_job = ex.submit(grouped_gram, frame, ["repeat", "fold"], "w", layout.d, max_tasks)
-        m_job = ex.submit(lambda: fold_medians(df, folds, key, need, k).collect() if need else [])
-        grams, med_rows = g_job.result(), m_job.result()
+        g_job = ex.submit(fold_grams, rows.select("folds", design_vector(layout, shifts).alias("w")), k, repeats, layout.d, max_tasks)
+        m_job = ex.submit(training_medians, rows, need, k, repeats)
+        grams, medians = g_job.result(), m_job.result()
     meds: dict[tuple, dict[str, float]] = {}
-    for r in med_rows:
-        meds.setdefault((r["repeat"], r["fold"]), {})[r["feature"]] = r["median"]
+    for (r, f, c), v in medians.items():
+        meds.setdefault((r, f), {})[c] = v
     fit = FoldFit(layout, shifts, grams, {}, k, repeats)
     for rf in fit.fold_keys(include_full=True):
         G = fit.train_gram(*rf)

@@ -219,15 +219,66 @@ def test_ranks_and_quantiles_with_one_value_in_most_rows(spark):
     assert placed.count() == pdf["v"].nunique() and placed.agg(F.sum("_c")).first()[0] == n
 
 
-def test_hot_split_join_splits_hot_keys(spark, monkeypatch):
-    import cadence.operators.joins as jm
-
-    big = spark.range(4000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).alias("k"), "id")
-    small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    monkeypatch.setattr(jm, "BROADCAST_ROW_LIMIT", 10)
-    assert [r["k"] for r in jm.hot_keys(big, ["k"])] == [0]
-    out = jm.hot_split_join(big, small, ["k"], "left").toPandas()
-    assert len(out) == 4000 and (out["v"] == out["k"] * 10).all()
+def test_medians_by_counting_match_numpy(spark):
+    """Negative values, both zeros, NULL, NaN, one value in most rows, an empty column; 3 repeats of 4 folds."""
+    from cadence.operators.folds import FULL, fold_medians, fold_vectors
+
+    rng = np.random.default_rng(4)
+    n = 3000
+    cols = {"a": rng.normal(0, 1e3, n), "b": np.where(rng.random(n) < 0.7, 2.5, rng.normal(0, 1e-9, n)), "c": np.where(rng.random(n) < 0.5, 0.0, -0.0),
+            "d": np.full(n, np.nan), "e": rng.integers(-3, 4, n).astype(float)}
+    cols["a"][::7] = np.nan
+    pdf = pd.DataFrame({"id": np.arange(n), **cols})
+    rows = spark.createDataFrame(pdf).withColumn("e", F.when(F.col("id") % 5 == 0, None).otherwise(F.col("e")))
+    fold = np.stack([rng.permutation(n) % 4 for _ in range(3)], axis=1)
+    folds = spark.createDataFrame(pd.DataFrame([(i, r, int(fold[i, r])) for i in range(n) for r in range(3)], columns=["id", "repeat", "fold"]))
+    got = {(r.repeat, r.fold, r.feature): r.median for r in fold_medians(rows, folds, "id", list(cols), 4).collect()}
+    pdf.loc[pdf["id"] % 5 == 0, "e"] = np.nan
+    want = {}
+    for c in cols:
+        for r, f in [(r, f) for r in range(3) for f in range(4)] + [(FULL, FULL)]:
+            own = pdf[c][fold[:, r] != f] if r != FULL else pdf[c]
+            if own.notna().any():
+                want[r, f, c] = own.median()
+    assert got == want and not [k for k in got if k[2] == "d"]
+    assert fold_vectors(folds, "id", 3).count() == n
+
+
+def test_medians_shuffle_nothing_that_grows_with_the_rows(spark):
+    from cadence.operators import selection
+
+    def sent(n):
+        seen = []
+        data = spark.range(n).select(F.array(F.lit(0)).alias("g"), F.rand(1).alias("x"))
+        count = selection.tree_sum_arrays
+        selection.tree_sum_arrays = lambda parts, keys, values: seen.append(parts.count()) or count(parts, keys, values)
+        try:
+            selection.radix_medians(data, ["x"], 1, [0], lambda c, t: c[0], [F.lit(0)])
+        finally:
+            selection.tree_sum_arrays = count
+        return seen
+
+    assert max(sent(200_000)) <= max(sent(20_000)) <= 16
+
+
+def test_fold_grams_read_rows_once_and_equal_filtered_ones(spark):
+    from cadence.operators import models
+
+    rng = np.random.default_rng(6)
+    n, k, repeats = 400, 3, 4
+    fold = np.stack([rng.permutation(n) % k for _ in range(repeats)], axis=1)
+    w = rng.normal(size=(n, 4))
+    rows = spark.createDataFrame([(fold[i].tolist(), w[i].tolist()) for i in range(n)], "folds array<int>, w array<double>")
+    for most in (256, 10, 1):                      # one pass, two passes of two repeats, one repeat a pass
+        models.MOST_CELLS, before = most, models.MOST_CELLS
+        try:
+            got = models.fold_grams(rows, k, repeats, 4)
+        finally:
+            models.MOST_CELLS = before
+        for (r, f), m in got.items():
+            own = w[fold[:, r] == f]
+            assert np.allclose(m, own.T @ own)
+        assert len(got) == k * repeats
 
 
 def test_histogram_booster_rules_and_attributions(spark):
