@@ -40,12 +40,24 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
                          (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("upper"), "count")
 
 
+MOMENTS, BIN_WIDTH, REACH = 14, 0.25, 8.5  # terms, bin width and reach in bandwidths
+
+
+def kde_error_bound(h: float) -> float:
+    """Bound of the density's error from cutting the expansion after ``MOMENTS`` terms and kernels at ``REACH`` bandwidths.
+
+    With |t| <= w / 2 around a bin's centre the k-th term is t^k / k! He_k(u) exp(-u^2 / 2), at most 1.09 |t|^k / sqrt(k!) (Cramer)."""
+    half = BIN_WIDTH / 2
+    rest = sum(1.09 * half ** k / math.sqrt(math.factorial(k)) for k in range(MOMENTS, MOMENTS + 40))
+    return (rest + math.exp(-REACH * REACH / 2)) / (h * math.sqrt(2 * math.pi))
+
+
 def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0, bandwidth: float | None = None) -> DataFrame:
-    """Gaussian KDE on a grid (Scott's factor n^(-1/5) times the sample std unless given).
+    """Gaussian KDE on a grid (Scott's factor n^(-1/5) times the sample std unless given), by a binned Gauss transform.
 
-    Values are first reduced to distinct values with counts (a partial aggregate), then each distinct
-    value adds its weighted kernel to every grid point through a generated array, summed per grid point.
-    """
+    Values are reduced to bins of a quarter bandwidth with their moments around the bin's centre (one partial aggregate of
+    native sums); a bin then adds its Hermite expansion to the grid points within ``REACH`` bandwidths. Work is values plus bins
+    times the grid points near a bin, and the error is bounded by :func:`kde_error_bound` (below 1e-16 / bandwidth)."""
     x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     n, sd, lo, hi = x.agg(F.count(F.lit(1)), F.stddev_samp("_x"), F.min("_x"), F.max("_x")).first()
     if not n or sd is None or sd == 0:
@@ -53,13 +65,28 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0, bandwid
     h = bandwidth if bandwidth is not None else sd * n ** (-1.0 / 5.0)
     g0, g1 = lo - cut * h, hi + cut * h
     step = (g1 - g0) / (grid_size - 1)
-    grid = F.array(*[F.lit(g0 + i * step) for i in range(grid_size)])
+    w = BIN_WIDTH * h
+    binned = x.select("_x", F.floor((F.col("_x") - F.lit(lo)) / F.lit(w)).alias("_b"))
+    binned = binned.withColumn("_t", (F.col("_x") - (F.lit(lo) + (F.col("_b") + 0.5) * F.lit(w))) / F.lit(h))
+    powers, term = [], F.lit(1.0)
+    for k in range(MOMENTS):                                             # t^k / k!
+        powers.append(F.sum(term).alias(f"m{k}"))
+        term = term * F.col("_t") / (k + 1)
+    bins = binned.groupBy("_b").agg(*powers).withColumn("_c", F.lit(lo) + (F.col("_b") + 0.5) * F.lit(w))
+    near = lambda side: F.floor((F.col("_c") + side * REACH * h - g0) / step)
+    first, last = F.greatest(near(-1) + 1, F.lit(0)), F.least(near(1), F.lit(grid_size - 1))
+    at = bins.where(first <= last).withColumn("grid_i", F.explode(F.sequence(first, last)))
+    at = at.withColumn("_u", (F.lit(g0) + F.col("grid_i") * F.lit(step) - F.col("_c")) / F.lit(h))
+    # He_k(u) by its recurrence He_{k+1} = u He_k - k He_{k-1}, one column a term so that each is computed once
+    at = at.withColumn("_h0", F.lit(1.0)).withColumn("_h1", F.col("_u"))
+    for k in range(1, MOMENTS - 1):
+        at = at.withColumn(f"_h{k + 1}", F.col("_u") * F.col(f"_h{k}") - k * F.col(f"_h{k - 1}"))
+    total = F.exp(-0.5 * F.col("_u") * F.col("_u")) * sum((F.col(f"m{k}") * F.col(f"_h{k}") for k in range(1, MOMENTS)), F.col("m0"))
+    sums = at.groupBy("grid_i").agg(F.sum(total).alias("_d"))
+    grid = df.sparkSession.range(grid_size).select(F.col("id").alias("grid_i"))
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    vals = x.groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
-    contrib = vals.select(F.posexplode(F.transform(grid, lambda g: F.col("_c") * F.exp(
-        -0.5 * ((g - F.col("_x")) / F.lit(h)) ** 2))).alias("grid_i", "_d"))
-    return contrib.groupBy("grid_i").agg((F.sum("_d") * F.lit(norm)).alias("density")).select(
-        F.col("grid_i").cast("bigint").alias("grid_i"), (F.lit(g0) + F.col("grid_i") * F.lit(step)).alias("x"), "density")
+    return grid.join(sums, "grid_i", "left").select(
+        "grid_i", (F.lit(g0) + F.col("grid_i") * F.lit(step)).alias("x"), (F.coalesce("_d", F.lit(0.0)) * F.lit(norm)).alias("density"))
 
 
 def box_summary(df: DataFrame, col: str, whis: float = 1.5) -> DataFrame:

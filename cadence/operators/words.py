@@ -1,15 +1,16 @@
 """Timed-word operators: JSON and nested word lists (J1-J3), ASR confidence (A1-A4), speech timing.
 
-Words are a long table keyed ``(clip keys..., ord)`` with ``ord`` dense from 0. The gap to the next word
-is an equi-join on ``(clip, ord + 1)`` rather than a ``lead`` window: hashing on the full key spreads a
-clip with millions of words over all tasks. Per-clip results are partial (map-side) aggregates.
+Words are a long table keyed ``(clip keys..., ord)`` with ``ord`` dense from 0. A clip is cut into blocks of
+``BLOCK_WORDS`` positions: the next word is a ``lead`` inside the block, so a clip with millions of words spans many tasks
+and the word table is shuffled once; only the gap from a block's last word to the next block's first takes a look
+at the neighbour, one row per block. Per-clip results are sums of per-block results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,8 @@ MIN_CLIP_SECONDS = 1.0
 MIN_SPEECH_SECONDS = 0.1
 ONE_WORD_SPEECH_SHARE = 0.8
 
+BLOCK_WORDS = 4096
+
 
 def _default_word(w: Column) -> Column:
     return F.struct(
@@ -67,38 +70,64 @@ def words_to_json(words: Column) -> Column:
     return F.to_json(words)
 
 
-def words_from_json(text: Column) -> Column:
-    """JSON text -> word array; `probability` or `prob` (notebook) both accepted, defaults applied."""
+def words_from_json(text: Column, trim: bool = True) -> Column:
+    """JSON text -> word array; `probability` or `prob` (notebook) both accepted, defaults applied.
+
+    The notebook strips words (``trim``); the package keeps them as the recogniser wrote them, often with a leading space."""
     parsed = F.from_json(text, _WORD_JSON_IN)
+    word = lambda w: F.trim(w["word"]) if trim else w["word"]
     return F.transform(parsed, lambda w: F.struct(
-        F.coalesce(F.trim(w["word"]), F.lit("")).alias("word"),
+        F.coalesce(word(w), F.lit("")).alias("word"),
         F.coalesce(w["start"], F.lit(0.0)).alias("start"),
         F.coalesce(w["end"], F.lit(0.0)).alias("end"),
         F.coalesce(w["probability"], w["prob"], F.lit(0.0)).alias("probability")))
 
 
+def _in_blocks(words: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Words with their ``_block`` and the start of the next word of the same block (NULL for the block's last)."""
+    blocked = words.withColumn("_block", F.floor(F.col("ord") / BLOCK_WORDS).cast("bigint"))
+    after = F.lead(F.struct("ord", "start_s")).over(Window.partitionBy(*keys, "_block").orderBy("ord"))
+    nxt = F.when(F.col("_after.ord") == F.col("ord") + 1, F.col("_after.start_s"))
+    return blocked.withColumn("_after", after).withColumn("_next", nxt).drop("_after")
+
+
 def word_gaps(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every word with ``gap`` = next word's start - this word's end (NULL for the last word)."""
-    nxt = words.select(*keys, (F.col("ord") - 1).alias("ord"), F.col("start_s").alias("_next_start"))
-    j = words.join(nxt, [*keys, "ord"], "left")
-    return j.withColumn("gap", F.col("_next_start") - F.col("end_s")).drop("_next_start")
+    blocked = _in_blocks(words, keys)
+    # the first word of every later block, under the block before it: one row per block, met where the block already is
+    heads = words.where((F.col("ord") > 0) & (F.col("ord") % BLOCK_WORDS == 0)).select(
+        *keys, (F.floor(F.col("ord") / BLOCK_WORDS) - 1).cast("bigint").alias("_block"), F.col("start_s").alias("_head"))
+    last = F.col("ord") % BLOCK_WORDS == BLOCK_WORDS - 1
+    j = blocked.join(heads, [*keys, "_block"], "left")
+    return j.withColumn("gap", F.coalesce(F.col("_next"), F.when(last, F.col("_head"))) - F.col("end_s")).select(*words.columns, "gap")
 
 
 def word_aggregates(words: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per-clip partial aggregates of A1, A2 and W2-W4 in one pass over the gap table."""
-    g = word_gaps(words, keys)
-    gap = F.col("gap")
-    long_gap = F.when(gap > PAUSE_SHORT, gap)
-    return g.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_word_rows"),
-        F.sum(F.greatest(F.col("end_s") - F.col("start_s"), F.lit(0.0))).alias("speech_sum"),
-        F.count_if(gap > PAUSE_SHORT).alias("pause_count_03"),
-        F.count_if(gap > PAUSE_LONG).alias("pause_count_05"),
-        F.avg(long_gap).alias("mean_pause_len"),
-        F.max(long_gap).alias("max_pause_len"),
-        F.avg("probability").alias("mean_word_prob"),
-        F.min("probability").alias("min_word_prob"),
-        F.avg((F.col("probability") < LOW_CONFIDENCE).cast("double")).alias("low_conf_ratio"))
+    """A1, A2 and W2-W4 per clip: partial sums per block, then the gaps between blocks and the clip's sums."""
+    gap = F.col("_next") - F.col("end_s")
+    pause = F.when(gap > PAUSE_SHORT, gap)
+    blocks = _in_blocks(words, keys).groupBy(*keys, "_block").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("start_s", "ord").alias("head"), F.max_by(F.struct("ord", "end_s"), "ord").alias("tail"),
+        F.min("ord").alias("first"),
+        F.sum(F.greatest(F.col("end_s") - F.col("start_s"), F.lit(0.0))).alias("speech"),
+        F.count_if(gap > PAUSE_SHORT).alias("n03"), F.count_if(gap > PAUSE_LONG).alias("n05"),
+        F.sum(pause).alias("sum_pause"), F.max(pause).alias("max_pause"),
+        F.sum("probability").alias("sum_p"), F.count("probability").alias("n_p"), F.min("probability").alias("min_p"),
+        F.count_if(F.col("probability") < LOW_CONFIDENCE).alias("n_low"))
+    after = F.lead(F.struct("first", "head")).over(Window.partitionBy(*keys).orderBy("_block"))
+    edge = F.when(F.col("_after.first") == F.col("tail.ord") + 1, F.col("_after.head")) - F.col("tail.end_s")
+    long_edge = F.when(F.col("_edge") > PAUSE_SHORT, F.col("_edge"))
+    pauses = F.sum("n03") + F.count_if(F.col("_edge") > PAUSE_SHORT)
+    return blocks.withColumn("_after", after).withColumn("_edge", edge).groupBy(*keys).agg(
+        F.sum("n").alias("n_word_rows"),
+        F.sum("speech").alias("speech_sum"),
+        pauses.alias("pause_count_03"),
+        (F.sum("n05") + F.count_if(F.col("_edge") > PAUSE_LONG)).alias("pause_count_05"),
+        ((F.coalesce(F.sum("sum_pause"), F.lit(0.0)) + F.coalesce(F.sum(long_edge), F.lit(0.0))) / F.nullif(pauses, F.lit(0))).alias("mean_pause_len"),
+        F.greatest(F.max("max_pause"), F.max(long_edge)).alias("max_pause_len"),
+        (F.sum("sum_p") / F.nullif(F.sum("n_p"), F.lit(0))).alias("mean_word_prob"),
+        F.min("min_p").alias("min_word_prob"),
+        (F.sum("n_low") / F.nullif(F.sum("n_p"), F.lit(0))).alias("low_conf_ratio"))
 
 
 def segment_confidence(segments: DataFrame, keys: Sequence[str], mode: str = "package") -> DataFrame:

@@ -50,6 +50,18 @@ def j3_words_from_json(spark, d):
         r6(F.min("w.start"), "min_start"), r6(F.max("w.end"), "max_end"))
 
 
+def j3_package_words(spark, d):
+    """Package-style JSON (key ``probability``, words with the recogniser's leading space) parsed back as written."""
+    w = fx.f2_words(spark, d)
+    per_seg = w.groupBy("clip_id", F.floor(F.col("ord") / 10).alias("seg_no")).agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct(
+            "ord", F.concat(F.lit(" "), "word").alias("word"), F.col("start_s").alias("start"), F.col("end_s").alias("end"),
+            "probability")))).alias("js"))
+    parsed = per_seg.select("clip_id", F.explode(W.words_from_json(F.col("js"), trim=False)).alias("w"))
+    return parsed.groupBy("clip_id", F.col("w.word").alias("word")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("w.word")).cast("bigint").alias("n_chars"), r6(F.sum("w.probability"), "sum_prob"))
+
+
 def a1_word_confidence(spark, d):
     t = _timing(spark, d)
     return t.select("clip_id", r6("whisper_mean_word_prob", "mean_word_prob"), r6("whisper_min_word_prob", "min_word_prob"))
@@ -109,6 +121,7 @@ QUERIES = {
     "j1_flatten_words": j1_flatten_words,
     "j2_words_json": j2_words_json,
     "j3_words_from_json": j3_words_from_json,
+    "j3_package_words": j3_package_words,
     "a1_word_confidence": a1_word_confidence,
     "a2_low_confidence": a2_low_confidence,
     "a3_segment_confidence": a3_segment_confidence,
@@ -153,6 +166,8 @@ ORACLES = {
         round(sum(end_s - start_s), 6) AS sum_len, round(sum(probability), 6) AS sum_prob FROM f2_words GROUP BY clip_id""", "f2_words"),
     "j3_words_from_json": with_fixtures("""SELECT clip_id, CAST(count(*) AS BIGINT) AS n_words, round(sum(probability), 6) AS sum_prob,
         round(min(start_s), 6) AS min_start, round(max(end_s), 6) AS max_end FROM f2_words GROUP BY clip_id""", "f2_words"),
+    "j3_package_words": with_fixtures("""SELECT clip_id, ' ' || word AS word, CAST(count(*) AS BIGINT) AS n,
+        CAST(sum(length(word) + 1) AS BIGINT) AS n_chars, round(sum(probability), 6) AS sum_prob FROM f2_words GROUP BY clip_id, word""", "f2_words"),
     "a1_word_confidence": _timing_sql("SELECT clip_id, round(coalesce(mw, 0.0), 6) AS mean_word_prob, round(coalesce(nw, 0.0), 6) AS min_word_prob FROM t"),
     "a2_low_confidence": _timing_sql("SELECT clip_id, round(coalesce(lc, 0.0), 6) AS low_conf_ratio FROM t"),
     "a3_segment_confidence": _timing_sql("SELECT clip_id, round(coalesce(lp, 0.0), 6) AS avg_logprob, round(coalesce(ns, 0.0), 6) AS no_speech_prob FROM t"),

@@ -240,7 +240,7 @@ def test_medians_by_counting_match_numpy(spark):
             own = pdf[c][fold[:, r] != f] if r != FULL else pdf[c]
             if own.notna().any():
                 want[r, f, c] = own.median()
-    assert got == want and not [k for k in got if k[2] == "d"]
+    assert got == pytest.approx(want, rel=1e-14) and not [k for k in got if k[2] == "d"]
     assert fold_vectors(folds, "id", 3).count() == n
 
 
@@ -451,3 +451,61 @@ def test_unconverged_kernel_model_warns_and_shuffled_manifest_fails(spark):
     shuffled = spark.createDataFrame([(0, "b"), (1, "a")], "position long, filename string")
     with pytest.raises(IntegrityError, match="C4"):
         check_predictions(preds, shuffled, strict=True)
+
+
+def test_word_gaps_and_sums_across_blocks(spark, monkeypatch):
+    """Blocks of three words: gaps inside and between blocks, clips of one block, of a whole number of blocks, and of one word."""
+    from cadence.operators import words as W
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for clip, n in enumerate((1, 2, 3, 4, 6, 7, 20)):
+        t = np.cumsum(rng.uniform(0.1, 1.0, 2 * n))
+        rows += [(clip, i, float(t[2 * i]), float(t[2 * i + 1]), None if i == 5 else float(rng.random())) for i in range(n)]
+    words = spark.createDataFrame(rows, "clip long, ord long, start_s double, end_s double, probability double")
+    monkeypatch.setattr(W, "BLOCK_WORDS", 3)
+    pdf = words.toPandas().sort_values(["clip", "ord"])
+    pdf["gap"] = pdf.groupby("clip")["start_s"].shift(-1) - pdf["end_s"]
+    got = W.word_gaps(words, ["clip"]).toPandas().sort_values(["clip", "ord"])
+    assert np.allclose(got["gap"], pdf["gap"], equal_nan=True)
+    out = W.word_aggregates(words, ["clip"]).toPandas().set_index("clip").sort_index()
+    for clip, own in pdf.groupby("clip"):
+        long = own["gap"][own["gap"] > 0.3]
+        r = out.loc[clip]
+        assert r["n_word_rows"] == len(own) and r["pause_count_03"] == len(long) and r["pause_count_05"] == (own["gap"] > 0.5).sum()
+        assert np.allclose([r["mean_pause_len"], r["max_pause_len"]], [long.mean(), long.max()], equal_nan=True)
+        assert np.allclose([r["speech_sum"], r["mean_word_prob"], r["min_word_prob"], r["low_conf_ratio"]],
+                           [(own["end_s"] - own["start_s"]).sum(), own["probability"].mean(), own["probability"].min(),
+                            (own["probability"].dropna() < 0.5).mean()])
+
+
+def test_word_table_is_not_joined_with_itself(spark):
+    from cadence.operators import words as W
+
+    words = spark.range(10).select(F.lit(1).alias("clip"), F.col("id").alias("ord"), F.lit(0.0).alias("start_s"), F.lit(1.0).alias("end_s"), F.lit(0.5).alias("probability"))
+    plan = W.word_aggregates(words, ["clip"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_json_words_keep_their_space_unless_trimmed(spark):
+    from cadence.operators.words import words_from_json
+
+    text = spark.createDataFrame([('[{"word": " hi ", "start": 1.0, "probability": 0.5}, {"prob": 0.25}]',)], "js string")
+    kept, cut = text.select(words_from_json(F.col("js"), trim=False), words_from_json(F.col("js"))).first()
+    assert [w["word"] for w in kept] == [" hi ", ""] and [w["word"] for w in cut] == ["hi", ""]
+    assert [w["probability"] for w in kept] == [0.5, 0.25] and kept[0]["end"] == 0.0
+
+
+def test_density_equals_the_plain_sum(spark):
+    """Outliers, one value in most rows, a narrow bandwidth and grid points that nothing reaches."""
+    from cadence.operators import profile as P
+
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(0, 1, 500), np.full(800, 0.25), [40.0, -300.0], rng.uniform(5, 6, 50)])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
+    for h in (None, 0.01, 3.0):
+        got = P.kde(df, "v", grid_size=400, bandwidth=h).toPandas().sort_values("grid_i")
+        w = h or v.std(ddof=1) * len(v) ** -0.2
+        want = np.exp(-0.5 * ((got["x"].to_numpy()[:, None] - v[None, :]) / w) ** 2).sum(axis=1) / (len(v) * w * np.sqrt(2 * np.pi))
+        assert len(got) == 400 and P.kde_error_bound(w) < 5e-7
+        assert np.abs(got["density"] - want).max() <= P.kde_error_bound(w) + 1e-12 * want.max()
