@@ -27,7 +27,7 @@ def r1_incremental_ingest(spark, d):
     parts.where(F.col("split") == "train").write.mode("append").parquet(src)  # a re-delivered slice
     store, ckpt = scratch_path(spark, "ingest_store"), scratch_path(spark, "ingest_ckpt")
     schema = spark.read.parquet(src).schema
-    ingest_increment(spark, src, schema, store, ckpt, KEYS, ["doc_id"], _features, files_per_batch=2)
+    ingest_increment(spark, src, schema, store, ckpt, KEYS, ["doc_id"], _features, files_per_batch=2, buckets=16)
     out = read_store(spark, store)
     return out.select(*KEYS, big("doc_id"), big("num_words"))
 

@@ -509,3 +509,46 @@ def test_density_equals_the_plain_sum(spark):
         want = np.exp(-0.5 * ((got["x"].to_numpy()[:, None] - v[None, :]) / w) ** 2).sum(axis=1) / (len(v) * w * np.sqrt(2 * np.pi))
         assert len(got) == 400 and P.kde_error_bound(w) < 5e-7
         assert np.abs(got["density"] - want).max() <= P.kde_error_bound(w) + 1e-12 * want.max()
+
+
+def test_killed_write_leaves_the_old_version(spark):
+    """A write that dies after some of its tasks have written files, a write that reads the table it replaces, and a lost race."""
+    from cadence.session import scratch_path
+    from cadence.sources.store import FeatureStore
+
+    store = FeatureStore(spark, scratch_path(spark, "t_snapshots"), ["k"])
+    assert not store.exists("t")
+    with pytest.raises(FileNotFoundError):
+        store.read("t")
+    rows = spark.range(100).select(F.col("id").alias("k"), F.when(F.col("id") < 50, "train").otherwise("test").alias("split"))
+    assert store.write(rows.withColumn("v", F.lit(1)), "t") == 0
+    dying = rows.repartitionByRange(8, "k").withColumn("v", F.when(F.col("k") == 99, F.raise_error(F.lit("killed"))).otherwise(F.lit(2)).cast("int"))
+    with pytest.raises(Exception, match="killed"):
+        store.write(dying, "t")
+    assert store.versions("t") == [0] and {r["v"] for r in store.read("t").collect()} == {1} and store.read("t").count() == 100
+    assert store.write(store.read("t").withColumn("v", F.col("v") + 2), "t") == 1
+    assert {r["v"] for r in store.read("t").collect()} == {3} and {r["v"] for r in store.read("t", version=0).collect()} == {1}
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._commit("t", "lost", 1)
+    assert store.path("t") == store.path("t", 1) and store.read("t").where("split = 'train'").count() == 50
+    assert store.expire("t") == 2 and store.versions("t") == [1] and store.read("t").count() == 100   # version 0 and the dead write
+    with pytest.raises(FileNotFoundError):
+        store.read("t", version=0)
+
+
+def test_media_are_listed_by_tasks(spark, tmp_path):
+    from cadence.sources import media as M
+
+    for name, size in (("train/a.wav", 3), ("train/b c.wav", 0), ("test/a.wav", 7), ("train/deep/er/x.wav", 2), ("train/_SUCCESS", 1), ("test/.hidden", 1)):
+        path = tmp_path / "m" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * size)
+    (tmp_path / "m" / "empty").mkdir()
+    got = M.list_media(spark, str(tmp_path / "m"))
+    assert sorted((r.split, r.filename, r.length) for r in got.collect()) == [("er", "x.wav", 2), ("test", "a.wav", 7), ("train", "a.wav", 3), ("train", "b c.wav", 0)]
+    assert "binaryFile" not in got._jdf.queryExecution().toString()
+    manifest = spark.createDataFrame([("train", "a.wav"), ("test", "b.wav")], "split string, filename string")
+    inv = {(r.split, r.filename): (r.n_files, r.bytes, r.missing) for r in M.media_inventory(manifest, got).collect()}
+    assert inv == {("train", "a.wav"): (1, 3, False), ("test", "b.wav"): (0, 0, True)}
+    with pytest.raises(FileNotFoundError):
+        M.list_media(spark, str(tmp_path / "none"))
