@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadence.functions import signal as S
-from cadence.operators.signal import durations, signal_features
+from cadence.operators.signal import SUMMARY_COLUMNS, durations, signal_features
 from cadence.plans import fixtures as fx
 from cadence.plans.common import big, r6
 from cadence.plans.oracle_fixtures import with_fixtures
@@ -41,7 +41,7 @@ def g4_frame_zcr(spark, d):
 
 def g5_g6_spectral(spark, d):
     out = signal_features(fx.f8_signal(spark, d), ["clip_id"], frame=FRAME, hop=HOP, n_mels=N_MELS)
-    return out.select(big("clip_id"), *[r6(c) for c in out.columns if c != "clip_id"])
+    return out.select(big("clip_id"), *[r6(c) for c in SUMMARY_COLUMNS])
 
 
 def g5_spectral_centroid(spark, d):

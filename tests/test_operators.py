@@ -413,12 +413,69 @@ def test_stacker_moments_far_from_zero_and_incomplete_rows(spark):
     assert n == 400 and np.allclose(A, xc.T @ xc, rtol=1e-5) and np.allclose(b, xc.T @ yc, rtol=1e-4, atol=1e-4) and abs(yy - yc @ yc) < 1e-3
 
 
-def test_bad_signals_give_zeros(spark):
-    from cadence.operators.signal import signal_features
-
-    rows = [(1, 16000, [0.1, float("nan")] * 2000), (2, None, [0.1, -0.2] * 2000), (3, 16000, [0.1, -0.2] * 2000)]
-    got = {r.id: list(r)[1:] for r in signal_features(spark.createDataFrame(rows, "id long, sr int, samples array<double>"), ["id"]).collect()}
-    assert set(got[1]) == {0.0} and set(got[2]) == {0.0} and got[3][0] > 0
+def test_bad_signals_give_zeros_and_an_error(spark):
+    from cadence.operators.signal import signal_features, spectral_features
+
+    tone = [float(np.sin(i)) for i in range(64)]
+    rows = [(1, 64, tone), (2, None, tone), (3, 64, None), (4, 64, []), (5, 64, [1.0, None]), (6, 64, [1.0, float("nan")]), (7, 0, tone), (8, 64, [float("inf")])]
+    df = spark.createDataFrame(rows, "id long, sr int, samples array<double>")
+    why = {2: "no sample rate", 3: "no samples", 4: "no samples", 5: "a sample is missing or not finite", 6: "a sample is missing or not finite", 7: "no sample rate",
+           8: "a sample is missing or not finite"}
+    for out, names, needs_rate in ((signal_features(df, ["id"], frame=16, hop=8, n_mels=8), 32, True), (spectral_features(df, ["id"], n_fft=16, hop=8, n_mels=8), 28, True),
+                                   (signal_features(df, ["id"], frame=16, hop=8, spectral=False), 4, False)):
+        got = {r["id"]: r for r in out.collect()}
+        assert len(got) == len(rows)
+        for i, r in got.items():
+            wrong = i in why and (needs_rate or why[i] != "no sample rate")
+            assert r["error"] == (why[i] if wrong else None)
+            assert len(r) == names + 2 and all(v == 0.0 for v in list(r)[1:-1]) == wrong
+
+
+def plain_features(y, sr, frame, hop, n_mels, trim):
+    """The summary of one clip in one piece, from the array kernels and plain transforms."""
+    from cadence.operators.signal import cosine_basis, mel_filters
+
+    y = S.np_peak_normalize(y)
+    if trim:
+        a, b = S.np_trim_bounds(y, 30.0, frame, hop)
+        y = y[a:b]
+    r, z = S.np_frame_rms(y, frame, hop), S.np_frame_zcr(y, frame, hop)
+    p = np.pad(y, frame // 2)
+    f = np.stack([p[i * hop:i * hop + frame] for i in range(1 + len(y) // hop)])
+    m = np.abs(np.fft.rfft(f * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)), axis=1))
+    w = m.sum(axis=1)
+    c = np.where(w > 0, (m * np.fft.rfftfreq(frame, 1 / sr)).sum(axis=1) / np.where(w > 0, w, 1), 0)
+    db = 10 * np.log10(np.maximum(1e-10, (m ** 2) @ mel_filters(sr, frame, n_mels).T))
+    mfcc = np.maximum(db, db.max() - 80) @ cosine_basis(n_mels, 13).T
+    return [r.mean(), r.std(), z.mean(), z.std(), c.mean(), c.std(), *mfcc.mean(axis=0), *mfcc.std(axis=0)]
+
+
+def test_frames_across_blocks_equal_the_clip_in_one_piece(spark):
+    """Blocks of 32 samples, frames of 16 every 8: lengths below a block, on and around block and hop edges, with and without trimming."""
+    from cadence.operators import signal as G
+
+    rng = np.random.default_rng(10)
+    clips = {n: rng.normal(size=n) * np.where(np.abs(np.arange(n) - n / 2) < n / 5, 1.0, 0.003) for n in (1, 7, 8, 31, 32, 33, 40, 63, 64, 65, 96, 200, 256)}
+    clips[500] = np.zeros(50)
+    df = spark.createDataFrame([(i, 64, y.tolist()) for i, y in clips.items()], "id long, sr int, samples array<double>")
+    blocks = G.sample_blocks(df, ["id"], size=32)
+    assert blocks.count() == sum(-(-len(y) // 32) for y in clips.values())
+    for trim in (False, True):
+        got = {r["id"]: list(r)[1:-1] for r in G.block_features(blocks, df, ["id"], 16, 8, 8, trim=trim, size=32).collect()}
+        for i, y in clips.items():
+            assert np.allclose(got[i], plain_features(y, 64, 16, 8, 8, trim), atol=1e-9), (i, trim)
+    with pytest.raises(ValueError):
+        G.block_frames(blocks, ["id"], 16, 5, size=32)
+
+
+def test_mel_filters_have_unit_area_and_the_scale_bends_at_1_khz():
+    from cadence.operators import signal as G
+
+    assert [G._scale_of_hz(x) for x in (0.0, 200.0, 1000.0)] == [0.0, 3.0, 15.0] and abs(G._scale_of_hz(6400.0) - 42.0) < 1e-9
+    assert np.allclose(G._hz_of_scale(np.array([3.0, 15.0, 42.0])), [200.0, 1000.0, 6400.0])
+    f = G.mel_filters(16000, 8192, 40)
+    assert np.allclose(f.sum(axis=1) * 16000 / 8192, 1.0, atol=0.02)
+    assert np.allclose(G.cosine_basis(8, 8) @ G.cosine_basis(8, 8).T, np.eye(8))
 
 
 def test_signal_columns_match_the_kernels(spark):
