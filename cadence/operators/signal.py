@@ -169,9 +169,11 @@ def _kernel(keys: Sequence[str], frame: int, hop: int, n_mels: int, size: int, s
 
 
 def _joined(blocks: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every block with its clip's facts, met by (clip, block): a long clip's blocks stay spread."""
+    """Every block with its clip's facts, met by (clip, block): a long clip's blocks stay spread.
+
+    A merge join by hint: Spark's size estimate counts an array as one element, and would broadcast the samples."""
     per = facts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
-    return blocks.join(per, [*keys, "block"])
+    return blocks.hint("merge").join(per, [*keys, "block"])
 
 
 def block_frames(blocks: DataFrame, keys: Sequence[str], frame: int = 2048, hop: int = 512, n_mels: int = 128, trim: bool = False,
@@ -198,7 +200,7 @@ def block_frames(blocks: DataFrame, keys: Sequence[str], frame: int = 2048, hop:
         top = power.groupBy(*keys).agg(F.max("power").alias("top"))
         part = F.floor(F.col("t") * hop / size).cast("bigint")
         spread = facts.join(top, keys).select(*keys, "top", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks"))).alias("_part"))
-        loud = power.withColumn("_part", part).join(spread, [*keys, "_part"]).where(F.col("power") > F.col("top") * 10.0 ** (-top_db / 10.0))
+        loud = power.withColumn("_part", part).hint("merge").join(spread, [*keys, "_part"]).where(F.col("power") > F.col("top") * 10.0 ** (-top_db / 10.0))
         edges = loud.groupBy(*keys).agg((F.min("t") * hop).alias("begin"), ((F.max("t") + 1) * hop).alias("_end"))
         facts = facts.drop("begin").join(edges, keys).withColumn("end", F.least("end", "_end")).drop("_end")
     if spectral:
