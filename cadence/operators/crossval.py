@@ -9,7 +9,6 @@ test rows once per fold model in narrow passes.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -18,11 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.folds import FULL, assign_folds, fold_vectors, train_membership
-from cadence.operators.gram import emit_blocks, sum_blocks
+from cadence.operators.folds import FULL, assign_folds, fold_vectors
 from cadence.session import right_size
 from cadence.operators.models import (RIDGE_ALPHA, FoldFit, Layout, design_features, design_vector, dot, fit_folds,
                                       global_shifts, ridge_weights)
+from cadence.operators.svr import fourier_features
 
 # Boosted-tree profiles of the reference (rounds, learning rate, depth, min rows per leaf).
 GBT_PROFILES = {
@@ -30,6 +29,7 @@ GBT_PROFILES = {
     "b": {"maxIter": 100, "stepSize": 0.03, "maxDepth": 3, "minInstancesPerNode": 1, "seed": 43},
 }
 SVR_C, SVR_EPSILON = 1.0, 0.1
+SVR_TOLERANCE = 1e-3  # duality gap relative to the primal value
 
 
 class CrossValidation:
@@ -169,13 +169,17 @@ class CrossValidation:
         return oof, test, full
 
     # -- kernel model (V10) ---------------------------------------------------------------------------------
-    def rff_svr(self, C: float = SVR_C, epsilon: float = SVR_EPSILON, n_features: int = 64, max_iter: int = 25,
-                seed: int = 42, include_full: bool = False):
-        """RBF-kernel regression re-aimed: random Fourier features (gamma = 1/(q var(X)), per fold) and a
-        squared epsilon-insensitive linear fit by active-set Newton steps. Each step is one distributed
-        Gram pass for all folds at once; the solve is (D+1) x (D+1) on the driver."""
+    def rff_svr(self, C: float = SVR_C, epsilon: float = SVR_EPSILON, n_features: int = 64, max_passes: int = 200,
+                seed: int = 42, include_full: bool = False, tolerance: float = SVR_TOLERANCE):
+        """RBF-kernel support-vector regression re-aimed as random Fourier features (gamma = 1/(q var(X)), per fold) and the
+        linear epsilon-insensitive loss with an unpenalised intercept; see :mod:`cadence.operators.svr` for the solver.
+
+        All folds advance together, two passes a step over the rows as they are. ``svr_gaps`` holds each fold's (rows, primal, dual); a
+        fold whose duality gap is not below ``tolerance`` times its primal value after ``max_passes`` is an error."""
+        from cadence.operators.svr import fit_folds_svr
+
         keys = self.fit.fold_keys(include_full=include_full)
-        params = {}
+        projections = {}
         for rf in keys:
             t = self.fit.transforms[rf]
             G = self.fit.train_gram(*rf)
@@ -186,99 +190,41 @@ class CrossValidation:
             gamma = 1.0 / (q * max(msq - mean_all ** 2, 1e-12))
             rng = np.random.default_rng([seed, rf[0] + 2, rf[1] + 2])
             omega = rng.normal(0.0, np.sqrt(2 * gamma), size=(n_features, q))
-            phase = rng.uniform(0, 2 * np.pi, size=n_features)
-            theta = np.zeros(n_features + 1)
-            theta[-1] = t.ybar
-            params[rf] = [t.B, omega, phase, theta]
-        member = train_membership(self.folds, self.key, self.k, include_full).where(
-            F.struct("repeat", "fold").isin(*[F.struct(F.lit(r), F.lit(f)) for r, f in keys]))
-        rows = self.w_train.join(member, self.key).select("repeat", "fold", "y", "w")
-        # fold design columns computed once; each Newton step is then one pass with per-task Grams
-        q = next(iter(params.values()))[0].shape[0]
-        xcols = [f"x_{j}" for j in range(q)]
-        Bs = self.train.sparkSession.sparkContext.broadcast({rf: p[0] for rf, p in params.items()})
-
-        def design(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            projections[rf] = (t.B, omega, rng.uniform(0, 2 * np.pi, size=n_features), t.ybar)
+        thetas, self.svr_gaps = fit_folds_svr(self.w_rows.select("folds", "y", "w"), projections, C, epsilon, tolerance, max_passes)
+        return self._score_kernel({rf: [*projections[rf][:3], thetas[rf]] for rf in keys})
+
+    def _score_kernel(self, params):
+        bc = self.train.sparkSession.sparkContext.broadcast(params)      # folds x (width x features) weights
+        key, repeats, k = self.key, self.repeats, self.k
+        ktype = dict(self.w_rows.dtypes)[key]
+
+        def predict(rf: tuple, w: np.ndarray) -> np.ndarray:
+            B, omega, phase, theta = bc.value[rf]
+            return fourier_features(w @ B.T, omega, phase) @ theta
+
+        def out_of_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                outs = []
-                for (r, f), part in b.groupby(["repeat", "fold"], sort=False):
-                    X = np.stack(part["w"].to_numpy()) @ Bs.value[(r, f)].T
-                    out = pd.DataFrame(X, columns=xcols)
-                    out.insert(0, "y", part["y"].to_numpy())
-                    out.insert(0, "fold", f)
-                    out.insert(0, "repeat", r)
-                    outs.append(out)
-                if outs:
-                    yield pd.concat(outs, ignore_index=True)
-
-        xschema = "repeat int, fold int, y double, " + ", ".join(f"{c} double" for c in xcols)
-        xrows = right_size(rows.mapInPandas(design, xschema).checkpoint(eager=True))
-        dim = n_features + 2
-        sc = self.train.sparkSession.sparkContext
-        self.svr_converged = True
-        for _ in range(max_iter):
-            bc = sc.broadcast({rf: p[1:] for rf, p in params.items()})
-
-            def step(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-                ps = bc.value
-                acc: dict = {}
-                for b in batches:
-                    for (r, f), part in b.groupby(["repeat", "fold"], sort=False):
-                        om, ph, th = ps[(r, f)]
-                        Z = _rff(part[xcols].to_numpy(), om, ph)
-                        y = part["y"].to_numpy()
-                        res = y - Z @ th
-                        act = np.abs(res) > epsilon
-                        v = np.hstack([Z[act], (y - epsilon * np.sign(res))[act][:, None]])
-                        acc[(r, f)] = acc.get((r, f), 0.0) + v.T @ v
-                yield emit_blocks(acc, ["repeat", "fold"], dim)
-
-            grams = sum_blocks(xrows.mapInPandas(step, "repeat int, fold int, _block int, _v array<double>"),
-                               ["repeat", "fold"], dim)
-            moved = 0.0
-            for rf in keys:
-                G = grams.get(rf)
-                if G is None:
+                if b.empty:
                     continue
-                H = 2 * C * G[:-1, :-1]
-                H[np.arange(n_features), np.arange(n_features)] += 1.0
-                g = 2 * C * G[:-1, -1]
-                new = np.linalg.solve(H, g)
-                moved = max(moved, float(np.max(np.abs(new - params[rf][3]))))
-                params[rf][3] = new
-            bc.unpersist()
-            if moved < 1e-9:
-                break
-        else:
-            self.svr_converged = False
-            warnings.warn(f"the kernel model still moved by {moved:.1e} after {max_iter} steps", stacklevel=2)
-        return self._score_kernel(params, keys)
-
-    def _score_kernel(self, params, keys):
-        bc = self.train.sparkSession.sparkContext.broadcast(params)
-        key = self.key
-
-        def score(df: DataFrame, rf_col: bool) -> DataFrame:
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                ps = bc.value
-                for b in batches:
-                    outs = []
-                    groups = b.groupby(["repeat", "fold"], sort=False) if rf_col else [(k, b) for k in ps if k[0] != FULL]
-                    for rf, part in groups:
-                        B, om, ph, th = ps[tuple(rf)]
-                        Z = _rff(np.stack(part["w"].to_numpy()) @ B.T, om, ph)
-                        outs.append(pd.DataFrame({key: part[key].to_numpy(), "pred": Z @ th}))
-                    if outs:
-                        yield pd.concat(outs, ignore_index=True)
-            ktype = dict(df.dtypes)[key]
-            return df.mapInPandas(run, f"{key} {ktype}, pred double")
-
-        oof = score(self.frame.select(self.key, "repeat", "fold", "w"), True) \
-            .groupBy(self.key).agg(F.avg("pred").alias("pred")).withColumn("model", F.lit("svr"))
-        test = None
-        if self.w_test is not None:
-            test = score(self.w_test, False).groupBy(self.key).agg(F.avg("pred").alias("pred")) \
-                .withColumn("model", F.lit("svr"))
+                w, folds = np.stack(b["w"].to_numpy()), np.stack(b["folds"].to_numpy())
+                pred = np.zeros(len(b))
+                for r in range(repeats):
+                    for f in range(k):
+                        own = folds[:, r] == f
+                        if own.any():
+                            pred[own] += predict((r, f), w[own]) / repeats
+                yield pd.DataFrame({key: b[key].to_numpy(), "pred": pred})
+
+        def mean_model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not b.empty:
+                    w = np.stack(b["w"].to_numpy())
+                    yield pd.DataFrame({key: b[key].to_numpy(), "pred": np.mean([predict((r, f), w) for r in range(repeats) for f in range(k)], axis=0)})
+
+        schema = f"{key} {ktype}, pred double"
+        oof = self.w_rows.select(key, "folds", "w").mapInPandas(out_of_fold, schema).withColumn("model", F.lit("svr"))
+        test = self.w_test.select(key, "w").mapInPandas(mean_model, schema).withColumn("model", F.lit("svr")) if self.w_test is not None else None
         return oof, test, params.get((FULL, FULL))
 
 
@@ -292,17 +238,12 @@ def kernel_predict(df: DataFrame, key: str, params: list, w_col: str = "w") -> D
         for b in batches:
             if b.empty:
                 continue
-            Z = _rff(np.stack(b[w_col].to_numpy()) @ B.T, om, ph)
+            Z = fourier_features(np.stack(b[w_col].to_numpy()) @ B.T, om, ph)
             yield pd.DataFrame({key: b[key].to_numpy(), "pred": Z @ th})
 
     return df.select(key, w_col).mapInPandas(run, f"{key} {ktype}, pred double")
 
 
-def _rff(X: np.ndarray, omega: np.ndarray, phase: np.ndarray) -> np.ndarray:
-    Z = np.sqrt(2.0 / omega.shape[0]) * np.cos(X @ omega.T + phase)
-    return np.hstack([Z, np.ones((Z.shape[0], 1))])
-
-
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

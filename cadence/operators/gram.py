@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,27 +42,13 @@ def tree_sum_arrays(parts: DataFrame, keys: Sequence[str], values: Sequence[str]
         .select(*keys, *[_vector_sum(F.col(v)).alias(v) for v in values])
 
 
-def sum_blocks(parts: DataFrame, group_cols: Sequence[str], dim: int) -> dict[tuple, np.ndarray]:
-    """Sum per-task partial matrices emitted as (groups..., _block, _v) rows and collect them as d x d."""
+def sum_vectors(parts: DataFrame, group_cols: Sequence[str]) -> dict[tuple, np.ndarray]:
+    """Sum per-task partial vectors emitted as (groups..., _block, _v) rows and collect one vector per group."""
     g = list(group_cols)
-    nblocks = (dim * dim + BLOCK - 1) // BLOCK
-    summed = tree_sum_arrays(parts, [*g, "_block"], ["_v"])
-    out: dict[tuple, list] = {}
-    for r in summed.collect():
-        key = tuple(r[c] for c in g)
-        out.setdefault(key, [None] * nblocks)[r["_block"]] = r["_v"]
-    return {k: np.array([x for blk in v for x in blk], dtype=np.float64).reshape(dim, dim) for k, v in out.items()}
-
-
-def emit_blocks(acc: dict[tuple, np.ndarray], group_names: Sequence[str], dim: int) -> pd.DataFrame:
-    """Per-task partial matrices as fixed-size blocks (the input of :func:`sum_blocks`)."""
-    nblocks = (dim * dim + BLOCK - 1) // BLOCK
-    rows = []
-    for key, m in acc.items():
-        flat = m.reshape(-1)
-        for bi in range(nblocks):
-            rows.append((*key, bi, flat[bi * BLOCK:(bi + 1) * BLOCK].tolist()))
-    return pd.DataFrame(rows, columns=[*group_names, "_block", "_v"])
+    out: dict[tuple, dict] = {}
+    for r in tree_sum_arrays(parts, [*g, "_block"], ["_v"]).collect():
+        out.setdefault(tuple(r[c] for c in g), {})[r["_block"]] = r["_v"]
+    return {k: np.array([x for i in sorted(v) for x in v[i]]) for k, v in out.items()}
 
 
 def grouped_gram(df: DataFrame, group_cols: Sequence[str], w_col: str, dim: int,
@@ -90,4 +75,4 @@ def grouped_gram(df: DataFrame, group_cols: Sequence[str], w_col: str, dim: int,
                                           pa.array([r[-1] for r in rows], pa.list_(pa.float64()))], [*g, "_block", "_v"])
 
     schema = ", ".join([f"{c} long" for c in g] + ["_block int", "_v array<double>"])
-    return sum_blocks(src.mapInArrow(partial, schema), g, dim)
+    return {k: v.reshape(dim, dim) for k, v in sum_vectors(src.mapInArrow(partial, schema), g).items()}

@@ -123,6 +123,16 @@ def v10_rff_svr(spark, d):
     return oof.select(big("id"), r6("pred"))
 
 
+def v10_duality_gap(spark, d):
+    """Each fold's kernel model: training rows, and whether its duality gap is a bound (not negative) within the tolerance."""
+    from cadence.operators.crossval import SVR_TOLERANCE
+
+    cv = _cv(spark, d, test=False)
+    cv.rff_svr(include_full=True)
+    rows = [(int(r), int(f), n, bool(primal >= dual), bool(primal - dual <= SVR_TOLERANCE * primal)) for (r, f), (n, primal, dual) in cv.svr_gaps.items()]
+    return spark.createDataFrame(rows, "repeat bigint, fold bigint, n_train bigint, gap_is_a_bound boolean, gap_within_tolerance boolean")
+
+
 def v13_stacker(spark, d):
     f7 = fx.f7_preds(fx.f6_reg(spark, d))
     s = ST.fit_stacker(f7, ["p1", "p2"], "y", 1.0)
@@ -245,6 +255,7 @@ QUERIES = {
     "v9_gbt_profile_b": v9_gbt_profile_b,
     "v8_spark_ml_gbt": v8_spark_ml_gbt,
     "v10_rff_svr": v10_rff_svr,
+    "v10_duality_gap": v10_duality_gap,
     "v11_ridge_oof": v11_ridge_oof,
     "v12_ridge_test_average": v12_ridge_test_average,
     "v13_stacker": v13_stacker,
@@ -355,6 +366,8 @@ ORACLES = {
         SELECT CAST(id AS BIGINT) AS id, round(avg(pred), 6) AS pred FROM pr WHERE repeat >= 0 GROUP BY id"""),
     "v15_full_refit": _mo(_LONG + ",\n" + _RIDGE2 + """
         SELECT CAST(id AS BIGINT) AS id, round(pred, 6) AS pred FROM pr WHERE repeat = -1"""),
+    "v10_duality_gap": _mo("""n AS (SELECT repeat, fold, count(*) AS n FROM tf GROUP BY ALL)
+        SELECT CAST(repeat AS BIGINT) AS repeat, CAST(fold AS BIGINT) AS fold, CAST(n AS BIGINT) AS n_train, true AS gap_is_a_bound, true AS gap_within_tolerance FROM n"""),
     "v13_stacker": with_fixtures(_STACK2 + "SELECT round(w1, 6) AS w_p1, round(w2, 6) AS w_p2, round(b, 6) AS intercept FROM best", "f7_preds"),
     "v14_stack_predict": with_fixtures(_STACK2 + """SELECT CAST(id AS BIGINT) AS id,
         round(least(greatest(b + w1 * p1 + w2 * p2, 0.0), 5.0), 6) AS pred FROM f7_preds, best""", "f7_preds"),

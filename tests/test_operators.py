@@ -335,7 +335,7 @@ def test_every_base_model_beats_baseline_out_of_fold(spark):
     assert oof_rmse(cv.linear_predictions(cv.ridge(), "ridge")[0]) < 0.7 * base
     assert oof_rmse(cv.boost("a", rounds=30)[0]) < base
     assert oof_rmse(cv.boost("b", rounds=30)[0]) < base
-    assert oof_rmse(cv.rff_svr(n_features=32, max_iter=10)[0]) < 0.8 * base
+    assert oof_rmse(cv.rff_svr(n_features=32)[0]) < 0.8 * base
 
 
 def test_feature_store_reuses_only_exact_key_sets(spark):
@@ -495,15 +495,42 @@ def test_signal_columns_match_the_kernels(spark):
                 assert (got[i].b["start"], got[i].b["end"]) == S.np_trim_bounds(y, 30.0, 16, 5)
 
 
-def test_unconverged_kernel_model_warns_and_shuffled_manifest_fails(spark):
+def test_kernel_model_reaches_its_duality_gap_or_raises(spark):
+    """The reported primal value is the model's own linear loss, the dual bounds every other model, and few passes are an error."""
     from cadence.operators.crossval import CrossValidation
+    from cadence.operators.svr import fourier_features
+
+    rng = np.random.default_rng(12)
+    n = 300
+    X = rng.normal(size=(n, 2))
+    y = np.sin(2 * X[:, 0]) + 0.3 * X[:, 1] + 0.2 * rng.standard_t(2, n)
+    pdf = pd.DataFrame({"id": np.arange(n), "a": X[:, 0], "b": X[:, 1], "y": y})
+    cv = CrossValidation(spark.createDataFrame(pdf), "id", Layout(["a", "b"]), k=3, repeats=2)
+    oof, _, full = cv.rff_svr(n_features=12, include_full=True, tolerance=1e-4)
+    assert set(cv.svr_gaps) == {(r, f) for r in range(2) for f in range(3)} | {(FULL, FULL)}
+    rows = cv.w_rows.toPandas()
+    w, folds, target = np.stack(rows["w"]), np.stack(rows["folds"]), rows["y"].to_numpy()
+
+    def primal(theta, z, t):
+        return 0.5 * theta[:-1] @ theta[:-1] + np.maximum(np.abs(t - z @ theta) - 0.1, 0).sum()
+
+    B, omega, phase, theta = full
+    z = fourier_features(w @ B.T, omega, phase)
+    got_n, p, d = cv.svr_gaps[FULL, FULL]
+    assert got_n == n and abs(p - primal(theta, z, target)) <= 1e-9 * p and 0 <= p - d <= 1e-4 * p
+    for scale in (1e-3, 1e-2, 0.1, 1.0):
+        for _ in range(50):
+            assert primal(theta + scale * rng.normal(size=len(theta)), z, target) >= d
+    for (r, f), (rows_in, p, d) in cv.svr_gaps.items():
+        assert rows_in == (n if r == FULL else (folds[:, r] != f).sum()) and 0 <= p - d <= 1e-4 * p
+    assert np.sqrt(np.mean((oof.toPandas().set_index("id").sort_index()["pred"] - y) ** 2)) < 0.9 * y.std()
+    with pytest.raises(RuntimeError, match="duality gap"):
+        cv.rff_svr(n_features=12, max_passes=2)
+
+
+def test_shuffled_manifest_fails(spark):
     from cadence.operators.publish import IntegrityError, check_predictions
 
-    rows = spark.createDataFrame([(i, float(i % 6), float(i % 6) + 0.1 * (i % 3), float(i % 5)) for i in range(120)], "id long, y double, a double, b double")
-    cv = CrossValidation(rows, "id", Layout(["a", "b"]), k=3, repeats=1)
-    with pytest.warns(UserWarning, match="still moved"):
-        cv.rff_svr(n_features=8, max_iter=1)
-    assert not cv.svr_converged
     preds = spark.createDataFrame([(0, "a", 1.0), (1, "b", 2.0)], "position long, filename string, label double")
     shuffled = spark.createDataFrame([(0, "b"), (1, "a")], "position long, filename string")
     with pytest.raises(IntegrityError, match="C4"):
