@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -92,17 +93,19 @@ class CrossValidation:
             betas[rf] = b
         return betas
 
-    def ridge(self, alpha: float = RIDGE_ALPHA):
-        """V7 for every fold and the full refit, from the fold Grams alone."""
-        return {rf: ridge_weights(self.fit.train_gram(*rf), self.fit.transforms[rf], self.layout, alpha)
+    def ridge(self, alpha: float = RIDGE_ALPHA, only: Sequence[str] | None = None):
+        """V7 for every fold and the full refit, from the fold Grams alone; ``only`` fits on some design columns (a view)
+        without another pass."""
+        def view(t):
+            return t if only is None else replace(t, B=t.B[[t.names.index(c) for c in only]], names=list(only))
+
+        return {rf: ridge_weights(self.fit.train_gram(*rf), view(self.fit.transforms[rf]), self.layout, alpha)
                 for rf in self.fit.fold_keys(include_full=True)}
 
     # -- boosted trees (V8, V9) ----------------------------------------------------------------------------
     def boost(self, profile: str = "a", rounds: int | None = None, include_full: bool = False, bins: int | None = None):
         """Histogram boosting of every fold model at once (see :mod:`cadence.operators.boosting`);
         returns (oof, test, full_model)."""
-        from dataclasses import replace
-
         from cadence.operators.boosting import PROFILES, FoldBooster, score_models
 
         params = PROFILES[profile]
@@ -159,6 +162,17 @@ class CrossValidation:
             results = list(ex.map(fit_one, keys))
         return self._collect(results, name)
 
+    def gbt_refit(self, profile: str = "a", rounds: int | None = None):
+        """V15 of the boosted trees alone: the Spark ML model of all training rows."""
+        from pyspark.ml.regression import GBTRegressor
+
+        params = dict(GBT_PROFILES[profile]) | ({} if rounds is None else {"maxIter": rounds})
+        rows = self._features(self.w_train, (FULL, FULL)).select("features", "y").persist()      # read by every round
+        try:
+            return GBTRegressor(featuresCol="features", labelCol="y", predictionCol="pred", **params).fit(rows)
+        finally:
+            rows.unpersist()
+
     def _collect(self, results, name):
         vals = [v for _, _, v, _ in results if v is not None]
         tsts = [t for _, _, _, t in results if t is not None]

@@ -120,7 +120,8 @@ class FoldTransform:
 def fit_transform(G: np.ndarray, layout: Layout, shifts: Shifts, medians: dict[str, float], repeat: int, fold: int,
                   n_components: int = PCA_COMPONENTS, standardize: bool = True) -> FoldTransform:
     """Fold preprocessing from its training Gram: median imputation, standardisation (population std,
-    zero -> 1) and, if there is an embedding, centred PCA with largest-loading-positive signs."""
+    zero -> 1) and, if there is an embedding, centred PCA with largest-loading-positive signs, or with
+    ``n_components`` 0 the embedding as it is."""
     d = layout.d
     n = G[0, 0]
     rows, names = [], []
@@ -165,6 +166,12 @@ def fit_transform(G: np.ndarray, layout: Layout, shifts: Shifts, medians: dict[s
             row[0] = -(v @ mu_e)
             rows.append(row)
             names.append(f"pca_{c_i}")
+    if layout.emb_col and not n_components:      # the embedding itself, as it is (the raw view of V16)
+        for e in range(layout.emb_dim):
+            row = np.zeros(d)
+            row[layout.emb(e)], row[0] = 1.0, shifts.emb_mean[e]
+            rows.append(row)
+            names.append(f"emb_{e}")
     B = np.vstack(rows) if rows else np.zeros((0, d))
     return FoldTransform(repeat, fold, float(n), float(G[layout.y, 0] / n), meds, means, stds, B, names, comps, ev, tot)
 

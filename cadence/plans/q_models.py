@@ -68,9 +68,38 @@ def v6_pca_variance(spark, d):
     return out.select("repeat", "fold", r6("total_variance"))
 
 
-def v6_pca_components(spark, d):
+def _pca_cv(spark, d, n_components):
     f5 = fx.f5_embeddings(spark, d)
-    cv = CrossValidation(f5, "vec_id", Layout([], "embedding", 64, "y"), K_FOLDS, REPEATS, SEED, n_components=16)
+    return CrossValidation(f5, "vec_id", Layout([], "embedding", 64, "y"), K_FOLDS, REPEATS, SEED, n_components=n_components)
+
+
+def v6_pca_components(spark, d):
+    """All components of every fold by what must hold of them: power sums of the eigenvalues (the traces of the covariance and of its square
+    and cube), unit length and right angles, and the eigenvalues as variances of the training rows' own projections."""
+    cv = _pca_cv(spark, d, 64)
+    rows = []
+    for (r, f), t in cv.fit.transforms.items():
+        e = t.explained_variance
+        rows.append((int(r), int(f), float(e.sum()), float((e ** 2).sum() * 1e3), float((e ** 3).sum() * 1e6),
+                     float(np.abs(t.pca_components @ t.pca_components.T - np.eye(64)).max())))
+    facts = spark.createDataFrame(rows, "repeat bigint, fold bigint, trace_1 double, trace_2_e3 double, trace_3_e6 double, angle_error double")
+    # variance of the first, second and last component's scores over the training rows, next to the data, against the eigenvalue
+    some = (0, 1, 63)
+    parts = []
+    for (r, f), t in cv.fit.transforms.items():
+        own = cv.w_rows if r == FULL else cv.w_rows.where(F.col("folds")[r] != f)
+        scores = own.select(*[dot("w", list(t.B[i])).alias(f"s{i}") for i in some])
+        off = F.greatest(*[F.abs(F.var_samp(f"s{i}") / float(t.explained_variance[i]) - 1) for i in some])
+        parts.append(scores.agg(off.alias("variance_error")).select(F.lit(int(r)).cast("bigint").alias("repeat"), F.lit(int(f)).cast("bigint").alias("fold"), "variance_error"))
+    errors = parts[0]
+    for p in parts[1:]:
+        errors = errors.unionByName(p)
+    out = facts.join(errors, ["repeat", "fold"])
+    return out.select("repeat", "fold", *[r6(c) for c in ("trace_1", "trace_2_e3", "trace_3_e6", "angle_error", "variance_error")])
+
+
+def v6_pca_ratios(spark, d):
+    cv = _pca_cv(spark, d, 16)
     rows = [(int(r), int(f), i, float(v / t.total_variance))
             for (r, f), t in cv.fit.transforms.items() for i, v in enumerate(t.explained_variance)]
     return spark.createDataFrame(rows, "repeat bigint, fold bigint, component bigint, explained_ratio double")
@@ -161,6 +190,37 @@ def v15_full_refit(spark, d):
     return cv.w_train.select(big("id"), r6(dot("w", full), "pred"))
 
 
+VIEWS = {"m1": "x1", "m2": "x2", "m3": "x3", "m4": "x4"}
+
+
+def _four_models(spark, d):
+    """(cv, weights per model, their OOF predictions side by side with y, stacker): one ridge per view, all from the same fold Grams."""
+    cv = _cv(spark, d, list(VIEWS.values()), test=False)
+    betas = {m: cv.ridge(10.0, only=[c]) for m, c in VIEWS.items()}
+    parts = [cv.linear_predictions(b, m)[0].select("id", F.col("pred").alias(m)) for m, b in betas.items()]
+    wide = cv.w_train.select("id", "y")
+    for p in parts:
+        wide = wide.join(p, "id")
+    wide = wide.persist()
+    return cv, betas, wide, ST.fit_stacker(wide, list(VIEWS), "y", 1.0)
+
+
+def v15_four_model_refit(spark, d):
+    """Four base models stacked on their out-of-fold predictions, refitted on all rows and combined by the same stacker."""
+    cv, betas, _, stacker = _four_models(spark, d)
+    refit = cv.w_train.select("id", *[dot("w", list(b[(FULL, FULL)])).alias(m) for m, b in betas.items()])
+    return stacker.predict(refit).select(big("id"), r6("pred"))
+
+
+def v16_ablation_full(spark, d):
+    """The ablation table as the reference prints it: text, acoustic and (raw) embedding view in sample, and the full stack out of fold."""
+    _, _, wide, stacker = _four_models(spark, d)
+    full = ST.rmse(stacker.predict(wide), "y", "pred")
+    f6 = fx.f6_reg(spark, d).withColumn("emb", F.array("x3", "x4"))
+    views = {"Text-Only": Layout(["x1"], label="y"), "Acoustic-Only": Layout(["x2"], label="y"), "Embeddings-Only": Layout([], "emb", 2, "y")}
+    return ST.ablation(f6, views, full_rmse=full, raw_views=["Embeddings-Only"]).select("view", r6("rmse"))
+
+
 def v16_ablation(spark, d):
     f6 = fx.f6_reg(spark, d)
     views = {"Text-Only": Layout(["x1"], label="y"), "Acoustic-Only": Layout(["x2"], label="y"),
@@ -200,20 +260,23 @@ def k2_top_attributions(spark, d):
 
 
 def i1_k1_tree_importance(spark, d):
-    cv = _cv(spark, d, test=False)
-    _, _, full = cv.boost("a", rounds=DRIVER_GBT_ROUNDS, include_full=True)
-    imp = I.tree_importance(full, FEATURES, kind="split")
-    df = spark.createDataFrame(imp, "feature string, importance double")
+    """Split counts of the first tree profile at its full rounds (Spark ML), fitted on all rows."""
+    model = _cv(spark, d, test=False).gbt_refit("a")
+    df = spark.createDataFrame(I.tree_importance(model, FEATURES, kind="split"), "feature string, importance double")
     return I.top_features(df, 12)
 
 
 def _tree_phi(spark, d):
+    from pyspark.ml.functions import array_to_vector
+
+    from cadence.operators.models import design_features
+
     cv = _cv(spark, d, test=False)
-    _, _, full = cv.boost("a", rounds=DRIVER_GBT_ROUNDS, include_full=True)
+    model = cv.gbt_refit("a")
     t = cv.fit.transforms[(FULL, FULL)]
-    from cadence.operators.models import design_features
-    feats = design_features(cv.w_train.select("id", "w"), "w", t.B, "x")
-    return I.tree_attributions(feats, "id", "x", full, t.names), full, feats
+    feats = design_features(cv.w_train.select("id", "w"), "w", t.B, "x").select("id", "x")
+    phi = I.tree_attributions(feats, "id", "x", model, t.names)
+    return phi, model, model.transform(feats.withColumn("features", array_to_vector("x"))).select("id", "pred")
 
 
 def i2_tree_attributions(spark, d):
@@ -221,6 +284,14 @@ def i2_tree_attributions(spark, d):
     return phi.select(big("id"), *[r6(c) for c in FEATURES], r6("base"))
 
 
+def i2_tree_additivity(spark, d):
+    """Rows whose attributions and base add up to the tree model's own prediction, and the number of trees."""
+    phi, model, pred = _tree_phi(spark, d)
+    total = sum((F.col(c) for c in FEATURES), F.col("base"))
+    j = phi.join(pred, "id").select((F.abs(total - F.col("pred")) <= 1e-9).alias("adds_up"))
+    return j.agg(big(F.count(F.lit(1)), "n_rows"), big(F.count_if("adds_up"), "n_adding_up")).withColumn("n_trees", F.lit(len(model.trees)).cast("bigint"))
+
+
 def i3_k2_tree_attribution_summary(spark, d):
     phi, _, _ = _tree_phi(spark, d)
     return I.top_attributions(I.attribution_summary(phi.drop("base"), "id"), 10).select("feature", r6("mean_abs_phi"))
@@ -250,6 +321,7 @@ QUERIES = {
     "v5_fold_scaling": v5_fold_scaling,
     "v6_pca_variance": v6_pca_variance,
     "v6_pca_components": v6_pca_components,
+    "v6_pca_ratios": v6_pca_ratios,
     "v7_ridge_coefficients": v7_ridge_coefficients,
     "v8_gbt_profile_a": v8_gbt_profile_a,
     "v9_gbt_profile_b": v9_gbt_profile_b,
@@ -262,11 +334,14 @@ QUERIES = {
     "v14_stack_predict": v14_stack_predict,
     "v13_v14_four_model_stack": v13_v14_four_model_stack,
     "v15_full_refit": v15_full_refit,
+    "v15_four_model_refit": v15_four_model_refit,
     "v16_ablation": v16_ablation,
+    "v16_ablation_full": v16_ablation_full,
     "v16_ablation_oof": v16_ablation_oof,
     "i1_k1_tree_importance": i1_k1_tree_importance,
     "i2_linear_attributions": i2_linear_attributions,
     "i2_tree_attributions": i2_tree_attributions,
+    "i2_tree_additivity": i2_tree_additivity,
     "i3_k2_tree_attribution_summary": i3_k2_tree_attribution_summary,
     "i3_attribution_summary": i3_attribution_summary,
     "k2_top_attributions": k2_top_attributions,
@@ -341,6 +416,74 @@ e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS j
 vj AS (SELECT repeat, fold, j, var_samp(CAST(v AS DOUBLE)) AS var FROM tf JOIN e USING (vec_id) GROUP BY ALL)
 SELECT CAST(repeat AS BIGINT) AS repeat, CAST(fold AS BIGINT) AS fold, round(sum(var), 6) AS total_variance FROM vj GROUP BY ALL"""
 
+_PCA_SUMS = _PCA[:_PCA.index("vj AS")] + """x AS (SELECT tf.repeat, tf.fold, a.j AS i, b.j, covar_samp(CAST(a.v AS DOUBLE), CAST(b.v AS DOUBLE)) AS c
+      FROM tf JOIN e a ON a.vec_id = tf.vec_id JOIN e b ON b.vec_id = tf.vec_id GROUP BY ALL),
+sq AS (SELECT a.repeat, a.fold, a.i, b.j, sum(a.c * b.c) AS c FROM x a JOIN x b ON a.repeat = b.repeat AND a.fold = b.fold AND a.j = b.i GROUP BY ALL),
+t1 AS (SELECT repeat, fold, sum(c) AS t FROM x WHERE i = j GROUP BY ALL), t2 AS (SELECT repeat, fold, sum(c) AS t FROM sq WHERE i = j GROUP BY ALL),
+t3 AS (SELECT a.repeat, a.fold, sum(a.c * b.c) AS t FROM sq a JOIN x b ON a.repeat = b.repeat AND a.fold = b.fold AND a.i = b.j AND a.j = b.i GROUP BY ALL)
+SELECT CAST(t1.repeat AS BIGINT) AS repeat, CAST(t1.fold AS BIGINT) AS fold, round(t1.t, 6) AS trace_1, round(t2.t * 1e3, 6) AS trace_2_e3, round(t3.t * 1e6, 6) AS trace_3_e6,
+       CAST(0 AS DOUBLE) AS angle_error, CAST(0 AS DOUBLE) AS variance_error
+FROM t1 JOIN t2 ON t1.repeat = t2.repeat AND t1.fold = t2.fold JOIN t3 ON t1.repeat = t3.repeat AND t1.fold = t3.fold"""
+
+
+def _nonneg_sql(source: str, models: list[str]) -> str:
+    """CTEs up to ``best`` (w_1.., b): the stacker's ridge over all active sets of ``models`` in ``source`` (y and one column per model), each
+    solved by elimination; of the solutions without a negative weight the one of least loss."""
+    from itertools import combinations
+
+    k = len(models)
+    means = ", ".join(f"avg({m}) AS mu{i}" for i, m in enumerate(models))
+    cross = ", ".join(f"sum(({models[i]} - mu{i}) * ({models[j]} - mu{j})){' + 1' if i == j else ''} AS a{min(i, j)}{max(i, j)}" for i in range(k) for j in range(i, k))
+    out = [f"mu AS (SELECT avg(y) AS muy, {means} FROM {source})",
+           f"g0 AS (SELECT {cross}, {', '.join(f'sum(({m} - mu{i}) * (y - muy)) AS b{i}' for i, m in enumerate(models))} FROM {source}, mu)"]
+    a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    tries = []
+    for size in range(1, k + 1):
+        for own in combinations(range(k), size):
+            name = "s" + "".join(map(str, own))
+            before = "g0"
+            for n, p in enumerate(own[:-1]):                                  # eliminate p from the later rows
+                rest = own[n + 1:]
+                cols = [f"{a(i, j)} - {a(p, i)} * {a(p, j)} / {a(p, p)} AS {a(i, j)}" for x, i in enumerate(rest) for j in rest[x:]]
+                cols += [f"b{i} - {a(p, i)} * b{p} / {a(p, p)} AS b{i}" for i in rest]
+                kept = [f"{a(q, j)} AS {a(q, j)}" for m, q in enumerate(own[:n + 1]) for j in own[m:]] + [f"b{q} AS b{q}" for q in own[:n + 1]]
+                out.append(f"{name}_{n} AS (SELECT {', '.join(kept + cols)} FROM {before})")
+                before = f"{name}_{n}"
+            for p in reversed(own):                                           # back substitution, one weight a step
+                later = [q for q in own if q > p]
+                value = f"(b{p}{''.join(f' - {a(p, q)} * w{q}' for q in later)}) / {a(p, p)}"
+                out.append(f"{name}_w{p} AS (SELECT *, {value} AS w{p} FROM {before})")
+                before = f"{name}_w{p}"
+            tries.append("SELECT " + ", ".join(f"w{i}" if i in own else f"0.0::DOUBLE AS w{i}" for i in range(k)) + f" FROM {before}")
+    tries.append("SELECT " + ", ".join(f"0.0::DOUBLE AS w{i}" for i in range(k)))
+    loss = " + ".join([f"w{i} * w{j} * {a(i, j)}" for i in range(k) for j in range(k)]) + " - 2 * (" + " + ".join(f"w{i} * b{i}" for i in range(k)) + ")"
+    out.append("cand AS (" + " UNION ALL ".join(tries) + ")")
+    out.append(f"best AS (SELECT {', '.join(f'w{i}' for i in range(k))}, muy - {' - '.join(f'w{i} * mu{i}' for i in range(k))} AS b0 FROM cand, g0, mu "
+               f"WHERE {' AND '.join(f'w{i} >= 0' for i in range(k))} ORDER BY {loss} LIMIT 1)")
+    return ",\n".join(out)
+
+
+# one-feature ridge per view and training set: prediction of every row by every fold model, out of fold and refitted
+_FOUR = _LONG + """,
+    v AS (SELECT unnest(['m1', 'm2', 'm3', 'm4']) AS model, unnest(['x1', 'x2', 'x3', 'x4']) AS feature),
+    z AS (SELECT v.model, tf.repeat, tf.fold, l.id, r.y, coalesce(l.v, m.m) AS z
+          FROM v JOIN long l ON l.feature = v.feature JOIN tf ON tf.id = l.id
+          JOIN med m ON m.repeat = tf.repeat AND m.fold = tf.fold AND m.feature = v.feature JOIN f6_reg r ON r.id = l.id),
+    st AS (SELECT model, repeat, fold, avg(z) AS mu, CASE WHEN stddev_pop(z) < 1e-9 THEN 1.0 ELSE stddev_pop(z) END AS sd, avg(y) AS ybar FROM z GROUP BY ALL),
+    cf AS (SELECT z.model, z.repeat, z.fold, sum(((z.z - mu) / sd) * (y - ybar)) / (sum(((z.z - mu) / sd) * ((z.z - mu) / sd)) + 10) AS c
+           FROM z JOIN st USING (model, repeat, fold) GROUP BY ALL),
+    asked AS (SELECT id, repeat, fold FROM f UNION ALL SELECT id, -1, -1 FROM f6_reg),
+    pr AS (SELECT v.model, q.id, q.repeat, st.ybar + cf.c * (coalesce(l.v, m.m) - st.mu) / st.sd AS p
+           FROM v JOIN long l ON l.feature = v.feature JOIN asked q ON q.id = l.id
+           JOIN st ON st.model = v.model AND st.repeat = q.repeat AND st.fold = q.fold JOIN cf ON cf.model = v.model AND cf.repeat = q.repeat AND cf.fold = q.fold
+           JOIN med m ON m.repeat = q.repeat AND m.fold = q.fold AND m.feature = v.feature),
+    mean AS (SELECT model, id, repeat < 0 AS refit, avg(p) AS p FROM pr GROUP BY ALL),
+    four AS (SELECT mean.id, refit, any_value(r.y) AS y, max(p) FILTER (WHERE model = 'm1') AS m1, max(p) FILTER (WHERE model = 'm2') AS m2,
+                    max(p) FILTER (WHERE model = 'm3') AS m3, max(p) FILTER (WHERE model = 'm4') AS m4 FROM mean JOIN f6_reg r USING (id) GROUP BY ALL),
+    oof4 AS (SELECT * FROM four WHERE NOT refit),
+    """ + _nonneg_sql("oof4", ["m1", "m2", "m3", "m4"])
+_STACKED = "least(greatest(b0 + w0 * m1 + w1 * m2 + w2 * m3 + w3 * m4, 0.0), 5.0)"
+
 ORACLES = {
     "v1_assign_folds": _mo("x AS (SELECT 1) SELECT CAST(id AS BIGINT) AS id, CAST(repeat AS BIGINT) AS repeat, fold, stratum FROM f"),
     "v2_fold_sizes": _mo("""x AS (SELECT repeat, fold, count(*) AS n FROM f GROUP BY ALL)
@@ -368,10 +511,23 @@ ORACLES = {
         SELECT CAST(id AS BIGINT) AS id, round(pred, 6) AS pred FROM pr WHERE repeat = -1"""),
     "v10_duality_gap": _mo("""n AS (SELECT repeat, fold, count(*) AS n FROM tf GROUP BY ALL)
         SELECT CAST(repeat AS BIGINT) AS repeat, CAST(fold AS BIGINT) AS fold, CAST(n AS BIGINT) AS n_train, true AS gap_is_a_bound, true AS gap_within_tolerance FROM n"""),
+    "v6_pca_components": _PCA_SUMS,
+    "v13_v14_four_model_stack": with_fixtures("WITH " + _nonneg_sql("f7_preds", ["p1", "p2", "p3", "p4"]) + """
+        SELECT CAST(id AS BIGINT) AS id, round(least(greatest(b0 + w0 * p1 + w1 * p2 + w2 * p3 + w3 * p4, 0.0), 5.0), 6) AS pred FROM f7_preds, best""", "f7_preds"),
+    "v15_four_model_refit": _mo(_FOUR + f" SELECT CAST(id AS BIGINT) AS id, round({_STACKED}, 6) AS pred FROM four, best WHERE refit"),
+    "v16_ablation_full": _mo(_FOUR + f""",
+        full_ AS (SELECT sqrt(avg(power({_STACKED} - y, 2))) AS rmse FROM oof4, best),
+        ey AS (SELECT y, x3, x4, y - avg(y) OVER () AS yc, x3 - avg(x3) OVER () AS c3, x4 - avg(x4) OVER () AS c4, avg(y) OVER () AS my FROM f6_reg),
+        eg AS (SELECT sum(c3 * c3) + 10 AS a, sum(c3 * c4) AS b, sum(c4 * c4) + 10 AS c, sum(c3 * yc) AS p, sum(c4 * yc) AS q FROM ey),
+        er AS (SELECT sqrt(avg(power(least(greatest(my + (p * c - b * q) / (a * c - b * b) * c3 + (a * q - b * p) / (a * c - b * b) * c4, 0.0), 5.0) - y, 2))) AS rmse FROM ey, eg)
+        SELECT 'Text-Only' AS view, round(sqrt(avg(power(least(greatest(m1, 0.0), 5.0) - y, 2))), 6) AS rmse FROM four WHERE refit
+        UNION ALL SELECT 'Acoustic-Only', round(sqrt(avg(power(least(greatest(m2, 0.0), 5.0) - y, 2))), 6) FROM four WHERE refit
+        UNION ALL SELECT 'Embeddings-Only', round(rmse, 6) FROM er UNION ALL SELECT 'Full Multi-View Stack', round(rmse, 6) FROM full_"""),
     "v13_stacker": with_fixtures(_STACK2 + "SELECT round(w1, 6) AS w_p1, round(w2, 6) AS w_p2, round(b, 6) AS intercept FROM best", "f7_preds"),
     "v14_stack_predict": with_fixtures(_STACK2 + """SELECT CAST(id AS BIGINT) AS id,
         round(least(greatest(b + w1 * p1 + w2 * p2, 0.0), 5.0), 6) AS pred FROM f7_preds, best""", "f7_preds"),
     "v16_ablation": with_fixtures(_ABL, "f6_reg"),
+    "i2_tree_additivity": with_fixtures("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_adding_up, CAST(120 AS BIGINT) AS n_trees FROM f6_reg", "f6_reg"),
     "i2_linear_attributions": with_fixtures(_PHI + "SELECT CAST(id AS BIGINT) AS id, round(phi_x1, 6) AS phi_x1, round(phi_x2, 6) AS phi_x2 FROM phi", "f6_reg"),
     "i3_attribution_summary": with_fixtures(_PHI + "SELECT feature, round(mean_abs_phi, 6) AS mean_abs_phi FROM sm", "f6_reg"),
     "k2_top_attributions": with_fixtures(_PHI + "SELECT feature, round(mean_abs_phi, 6) AS mean_abs_phi FROM sm ORDER BY mean_abs_phi DESC, feature LIMIT 10", "f6_reg"),

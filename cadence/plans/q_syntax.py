@@ -93,6 +93,14 @@ def m5_acceptability_model(spark, d):
     return out.select(big("doc_id"), *[r6(c) for c in out.columns if c != "doc_id"])
 
 
+def m5_gradient(spark, d):
+    """The acceptability model's training rows, and whether its gradient is within the tolerance."""
+    f1 = fx.f1_transcripts(spark, d)
+    labels = f1.where(F.col("split") == "train").select("clean_transcript", (F.col("label") >= 2.5).cast("double").alias("ok"))
+    model = S.acceptability_fit(labels, "clean_transcript", "ok")
+    return spark.createDataFrame([(model.rows, bool(model.gradient <= S.ACCEPTABILITY_GRADIENT))], "n_train bigint, converged boolean")
+
+
 def m6_embed_text(spark, d):
     f1 = fx.f1_transcripts(spark, d)
     e = S.embed_text(f1, ["split", "filename"], "raw_transcript", dim=384)
@@ -130,6 +138,7 @@ QUERIES = {
     "m3_loss_stats": m3_loss_stats,
     "m4_bigram_lm": m4_bigram_lm,
     "m5_acceptability_model": m5_acceptability_model,
+    "m5_gradient": m5_gradient,
     "m6_embed_text": m6_embed_text,
     "m6_token_idf": m6_token_idf,
     "m7_external_scorer": m7_external_scorer,
@@ -192,6 +201,7 @@ ORACLES = {
                round(exp(least(coalesce(m, 3.5), 10.0)), 6) AS gpt2_ppl
         FROM f1_transcripts t LEFT JOIN a ON t.doc_id = a.doc_id""", "f1_transcripts", "f4_scores"),
     "m4_bigram_lm": with_fixtures(_LM, "f3_sents"),
+    "m5_gradient": with_fixtures("SELECT CAST(count(*) AS BIGINT) AS n_train, true AS converged FROM f1_transcripts WHERE split = 'train'", "f1_transcripts"),
     "m6_embed_text": with_fixtures(r"""SELECT split, filename, CAST(384 AS BIGINT) AS dim,
         CASE WHEN regexp_matches(raw_transcript, '[\p{L}\p{M}\p{Nd}\p{Pc}]') THEN 1.0 ELSE 0.0 END AS norm FROM f1_transcripts""", "f1_transcripts"),
     "m6_token_idf": with_fixtures(r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(raw_transcript), '[^\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS token FROM f1_transcripts)
