@@ -38,7 +38,7 @@ PACK_ANCHORS = 256
 CELL_ZONES, CELL_PACKS = 512, 32
 TASK_BLOCKS = 64
 CURVE_DIMS, CURVE_BITS = 16, 4
-NONE = -(2 ** 63)
+NONE = -(2 ** 63 - 1)          # no score; its negative is a long too
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:

@@ -287,7 +287,7 @@ def _histogram(order: int, tokens: tuple[int, int]):
         cell = np.concatenate(cells)
         u, inv = np.unique(cell, return_inverse=True)
         return pa.table([pa.array(u), pa.array(np.bincount(inv, minlength=len(u)).astype(np.int64)),
-                         *(pa.array(np.bincount(inv, weights=np.concatenate([x[j] for x in logs]), minlength=len(u))) for j in range(order))],
+                         *(pa.array(np.bincount(inv, weights=np.concatenate([x[j] for x in logs]), minlength=len(u)).astype(np.float64)) for j in range(order))],
                         names=["cell", "n", *(f"ln{j + 1}" for j in range(order))])
     return run
 
