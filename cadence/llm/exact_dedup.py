@@ -139,17 +139,18 @@ def arrival(doc_id: Column, batches: int = BATCHES) -> Column:
                   F.lit(batches)).cast("int")
 
 
+UNDATED = -(2 ** 31)      # rows whose batch is NULL are a batch of their own, the first
+
+
 def exact_groups(docs: DataFrame, batch: Column | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
     batch = arrival(F.col("doc_id")) if batch is None else batch
-    rows = docs.select("doc_id", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256).alias("sha"), batch.cast("int").alias("batch"))
+    rows = docs.select("doc_id", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256).alias("sha"), F.coalesce(batch.cast("int"), F.lit(UNDATED)).alias("batch"))
     rows = written(rows, "op7-rows")
     per_batch = rows.groupBy("sha", "batch").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
     per_batch = written(per_batch.withColumn("key", F.xxhash64("sha")), "op7-digests")
-    buckets = 1
-    while buckets * DIGESTS_PER_BUCKET < per_batch.count():
-        buckets *= 2
-    digests = per_batch.withColumn("bucket", F.pmod(F.hash("key"), F.lit(max(buckets, 16))).cast("int"))
+    buckets = 1 << max(4, (-(-per_batch.count() // DIGESTS_PER_BUCKET) - 1).bit_length())
+    digests = per_batch.withColumn("bucket", F.pmod(F.hash("key"), F.lit(buckets)).cast("int"))
 
     maybe = positives(digests, snapshot_filters(digests))
     earlier = per_batch.select("sha", F.col("batch").alias("snapshot"), F.col("top").alias("old_id"))

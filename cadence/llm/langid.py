@@ -6,7 +6,7 @@ counts; the sums come from one partial aggregate, and at most languages x 81,920
 (``MOST_LANGUAGES`` bounds it; more is an error).
 
 Inference, per whole text: each word has a likelihood under every language. Expectation-maximisation estimates the
-document's language proportions (words are drawn from the mixture); the languages, ordered by proportion, give
+document's language proportions (words are drawn from the mixture), until none moves by a thousandth; the languages, ordered by proportion, give
 nested sets, each fitted again, and the set with the best likelihood less half a log(words) per extra language is
 selected. The prediction is the largest proportion in it, the score that proportion. A flat background takes
 part as one more component, so that ``other`` says how much of the text no language explains.
@@ -34,7 +34,7 @@ GRAMS, CONTEXTS = 1 << 16, 1 << 14
 SMOOTH = 0.05
 SYMBOLS = 60.0
 BACKGROUND = np.log(1.0 / SYMBOLS)
-ROUNDS, REFIT_ROUNDS = 8, 4
+TOLERANCE, MOST_ROUNDS = 1e-3, 10_000
 
 
 def _classes() -> np.ndarray:
@@ -105,13 +105,25 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return langs, np.log(table[:, :GRAMS] + SMOOTH), np.log(table[:, GRAMS:] + SMOOTH * SYMBOLS)
 
 
-def _fit(share: np.ndarray, like: np.ndarray, row: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM for all rows of a chunk; zero shares stay zero. Returns (shares, log likelihood per row)."""
-    words = np.diff(np.append(first, len(row)))[:, None]
-    for _ in range(rounds):
-        part = like * share[row]
+def _fit(share: np.ndarray, like: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM for all rows of a chunk until no share of a row moves by ``TOLERANCE``; rows that have settled take no further part. Zero
+    shares stay zero. Returns (shares, log likelihood per row)."""
+    share = share.copy()
+    words = np.diff(np.append(first, len(row)))
+    open_, part_like, part_row, part_first = np.arange(len(share)), like, row, first
+    for _ in range(MOST_ROUNDS):
+        part = part_like * share[open_][part_row]
         part /= part.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(part, first, axis=0) / words
+        new = np.add.reduceat(part, part_first, axis=0) / words[open_][:, None]
+        moving = np.abs(new - share[open_]).max(axis=1) >= TOLERANCE
+        share[open_] = new
+        if not moving.any():
+            break
+        if moving.mean() < 0.7:                                     # go on with the rows that still move
+            keep = moving[part_row]
+            open_, part_like = open_[moving], part_like[keep]
+            part_row = (np.cumsum(moving) - 1)[part_row[keep]]
+            part_first = np.searchsorted(part_row, np.arange(len(open_)))
     return share, np.add.reduceat(np.log((like * share[row]).sum(axis=1)), first)
 
 
@@ -120,7 +132,7 @@ def _mixture(like: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     first = np.searchsorted(row, np.arange(rows))
     words = np.diff(np.append(first, len(row)))
     width = like.shape[1]
-    share, best_ll = _fit(np.full((rows, width), 1.0 / width), like, row, first, ROUNDS)
+    share, best_ll = _fit(np.full((rows, width), 1.0 / width), like, row, first)
     order = np.argsort(-share, axis=1, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(width)[None, :], axis=1)
@@ -128,7 +140,7 @@ def _mixture(like: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     for size in range(width - 1, 0, -1):
         start = np.where(rank < size, share + 1e-9, 0.0)
         start /= start.sum(axis=1, keepdims=True)
-        fitted, ll = _fit(start, like, row, first, REFIT_ROUNDS if size > 1 else 0)
+        fitted, ll = _fit(start, like, row, first)
         score = ll - 0.5 * np.log(words + 1.0) * (size - 1)
         better = score >= best_score
         best = np.where(better[:, None], fitted, best)

@@ -84,15 +84,15 @@ FROM t
 # every capture against every interval of its patterns, without the as-of window
 OP2 = r"""
 WITH p AS (
-  SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+  SELECT page_id, url, lower(rtrim(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '.')) AS host,
          list_filter(string_split(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS seg,
          DATE '2024-01-01' + (('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), 'null') || '|' || coalesce(url, '')), 1, 7))::INT % 366) AS day
   FROM pages),
-l AS (SELECT *, string_split(host, '.') AS lab FROM p),
+l AS (SELECT *, CASE WHEN regexp_matches(host, '^[0-9]+([.][0-9]+){3}$') OR host LIKE '[%' THEN [host] ELSE string_split(host, '.') END AS lab FROM p),
 k AS (
   SELECT page_id, url, day, host AS pattern FROM l WHERE host <> ''
   UNION SELECT page_id, url, day, array_to_string(lab[i:len(lab)], '.') FROM l, range(1, 20) r(i) WHERE host <> '' AND i <= greatest(len(lab) - 1, 1)
-  UNION SELECT page_id, url, day, host || '/' || array_to_string(seg[1:i], '/') FROM l, range(1, 3) r(i) WHERE host <> '' AND i <= len(seg)),
+  UNION SELECT page_id, url, day, host || '/' || array_to_string(seg[1:i], '/') FROM (SELECT *, unnest(range(1, len(seg) + 1)) AS i FROM l) WHERE host <> ''),
 s AS (SELECT DISTINCT pattern FROM k WHERE ('0x' || substr(md5('listed:' || pattern), 1, 7))::INT % 3 = 0),
 e AS (
   SELECT CASE WHEN ('0x' || substr(md5('list:' || pattern), 1, 7))::INT % 2 = 0 THEN 'spam' ELSE 'adult' END AS list, pattern,

@@ -12,6 +12,8 @@ entries of a pattern in date order, whose size is days + entries and never captu
 the captures on (pattern, date): one row per key on that side, so a hot key is split by adaptive execution, and the
 patterns of one capture are put together by a partial aggregate.
 
+User info, port and trailing dots are not part of a host; an address literal has no parents.
+
 Edge cases: a NULL or odd url has the empty host and matches nothing; a NULL date is never active (kept); entries with NULL in
 any column are ignored; repeated entries count once; repeated captures are decided alike; empty lists keep all;
 empty captures give no rows. ``decide`` ignores extra columns.
@@ -24,7 +26,14 @@ from pyspark.sql import functions as F
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
+    """Host in lower case, without user info (up to the last @ of the authority), port and trailing dots."""
+    authority = F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), r"^.*@", "")
+    return F.lower(F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:]*?)\.*(:.*)?$", 1))
+
+
+def is_address(host: Column) -> Column:
+    """IPv4 or bracketed IPv6 literal: it has no parent domain."""
+    return host.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$")
 
 
 def path_of(url: Column) -> Column:
@@ -34,7 +43,7 @@ def path_of(url: Column) -> Column:
 def patterns_of(url: Column) -> Column:
     """Patterns a URL is looked up under: host, parent domains of two labels or more, host plus leading path segments."""
     host = host_of(url)
-    labels = F.split(host, r"\.")
+    labels = F.when(is_address(host), F.array(host)).otherwise(F.split(host, r"\."))
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
                           lambda i: F.array_join(F.slice(labels, i, F.greatest(F.size(labels) - i + 1, F.lit(0))), "."))
     segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")

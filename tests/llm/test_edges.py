@@ -117,6 +117,12 @@ def test_exact_dedup(edge_docs, no_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0
 
 
+def test_exact_dedup_with_a_batch_that_is_null(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "A", 3), (3, "b", None), (4, "a", None)], "doc_id long, text string, day int")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(rows, F.col("day")).collect()}
+    assert got == {1: (4, 3, False), 2: (4, 3, False), 4: (4, 3, True), 3: (3, 1, True)}
+
+
 def test_binary_fuse_filter():
     rng = np.random.default_rng(5)
     for n in (1, 2, 3, 10, 1000, 40_000):
@@ -172,7 +178,7 @@ def test_suffix_dedup_sends_copies_once():
     shas = [hashlib.sha256(t.encode()).hexdigest() for t in rows]
     batch = pa.RecordBatch.from_arrays([pa.array(shas), pa.array([int(s[:15], 16) for s in shas]), pa.array(rows)], ["sha", "key", "text"])
     task = [b for b in suffix_dedup._emit(iter([batch, batch]), 1)]
-    assert sum(len(suffix_dedup.unpack(k, 8)) for b in task for k in b.column("keys").to_pylist()) == 2
+    assert sum(n for b in task for n in b.column("docs").to_pylist()) == 2
     sent = pd.concat([b.to_pandas() for _ in range(20) for b in task])  # twenty tasks that hold the same texts
     for blob in suffix_dedup._mark(sent)["places"]:
         places = np.frombuffer(blob, "<i4")
@@ -190,6 +196,25 @@ def test_url_filter_deep_paths(spark):
     assert got == {0: deep, 1: deep, 2: none, 3: page, 4: none, 5: none}
 
 
+def test_url_filter_hosts(spark):
+    """User info, ports, trailing dots, address literals, upper case, and what only looks like a host."""
+    hosts = {"http://user:pw@evil.com/x": "evil.com", "http://user@evil.com/x": "evil.com", "http://a@b@evil.com": "evil.com", "http://evil.com./x": "evil.com", "HTTP://EVIL.com:8080?q": "evil.com",
+             "http://10.0.0.1:80/x": "10.0.0.1", "http://[2001:DB8::1]:80/x": "[2001:db8::1]", "http://u:p@[::1]/": "[::1]", "http://x/@evil.com": "x", "http://x?@evil.com": "x",
+             "evil.com/x": "", "http:///x": "", "": "", None: ""}
+    urls = spark.createDataFrame([(u,) for u in hosts], "url string")
+    got = {r.url: (r.h, r.p) for r in urls.select("url", url_filter.host_of(F.col("url")).alias("h"), url_filter.patterns_of(F.col("url")).alias("p")).collect()}
+    assert {u: h for u, (h, _) in got.items()} == hosts
+    assert got["http://10.0.0.1:80/x"][1] == ["10.0.0.1", "10.0.0.1/x"] and got["http://[2001:DB8::1]:80/x"][1] == ["[2001:db8::1]", "[2001:db8::1]/x"]
+    assert got["http://user:pw@evil.com/x"][1] == ["evil.com", "evil.com/x"] and got[""][1] == []
+    day = F.lit("2024-05-01").cast("date")
+    entries = spark.createDataFrame([("bad", "evil.com"), ("bad", "0.0.1")], "list string, pattern string").select("list", "pattern", day.alias("day"), F.lit("add").alias("action"))
+    long = "http://evil.com/" + "/".join(f"s{i}" for i in range(300))
+    captures = urls.union(spark.createDataFrame([(long,), ("http://sub.evil.com/y",)], "url string")).select(F.monotonically_increasing_id().alias("id"), "url", day.alias("day"))
+    blocked = {r.url for r in url_filter.decide(captures, entries).collect() if r.blocked}
+    assert blocked == {u for u, h in hosts.items() if h == "evil.com"} | {long, "http://sub.evil.com/y"}
+    assert url_filter.url_decisions(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_url_filter(spark):
     entries = spark.createDataFrame([("spam", "bad.example", "2024-01-10", "add"), ("spam", "bad.example", "2024-02-01", "drop"),
                                      ("spam", "bad.example", "2024-03-01", "add"), ("spam", "bad.example", "2024-03-01", "add"), ("adult", "ok.example/x", "2024-01-01", "add"),
@@ -412,3 +437,45 @@ def test_pipeline_against_brute_force(spark, sf_small):
     got = sorted((i, len(re.findall(r"[^\x20\x09-\x0D]+", t))) for i, t in zip(rows["doc_id"], rows["text"]))
     assert got == sorted(want)
     assert set(rows["shard"]) <= set(range(8)) and rows.groupby("doc_id")["shard"].nunique().max() == 1
+
+
+def test_suffix_dedup_sends_only_the_documents_of_a_bucket():
+    """What a task sends stays near the size of its minimizers, however many buckets there are."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]), pa.array(rng.integers(0, 2 ** 60, len(texts))), pa.array(texts)], ["sha", "key", "text"])
+    size, found = sum(map(len, texts)), []
+    for buckets, most in ((12, 0.6), (625, 1.2), (6250, 1.2)):
+        out = list(suffix_dedup._emit(iter([batch, batch]), buckets))
+        sent = sum(len(x.as_py()) + 24 for b in out for x in b.column("data"))
+        assert sent <= most * size, (buckets, sent / size)
+        found.append(sum(sum(b.column("n").to_pylist()) for b in out))
+        for b in out[:1]:
+            for d, n, blob in list(zip(b.column("docs").to_pylist(), b.column("n").to_pylist(), b.column("data").to_pylist()))[:20]:
+                keys, each, at, _ = suffix_dedup.unpacked_planes(blob, (d, 8), (d, 4), (n, 4), (n, 4))
+                assert int(each.sum()) == n and len(np.unique(keys)) == d and at.max() < 2000
+    assert len(set(found)) == 1
+
+
+def test_language_proportions_equal_plain_em():
+    """The batched EM with rows that settle early against one row at a time in plain Python."""
+    rng = np.random.default_rng(7)
+    sizes = [1, 2, 5, 40, 300, 3]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum([0, *sizes[:-1]])
+    like = rng.random((len(row), 4)) ** np.repeat(rng.integers(1, 6, len(sizes)), sizes)[:, None]
+    share, ll = langid._fit(np.full((len(sizes), 4), 0.25), like, row, first)
+    for i, n in enumerate(sizes):
+        own, s = like[first[i]:first[i] + n].tolist(), [0.25] * 4
+        while True:
+            new = [0.0] * 4
+            for w in own:
+                total = sum(a * b for a, b in zip(w, s))
+                new = [x + a * b / total / n for x, a, b in zip(new, w, s)]
+            moved, s = max(abs(a - b) for a, b in zip(new, s)), new
+            if moved < langid.TOLERANCE:
+                break
+        assert np.allclose(share[i], s, atol=1e-12)
+        assert abs(ll[i] - sum(np.log(sum(a * b for a, b in zip(w, s))) for w in own)) < 1e-9
