@@ -111,19 +111,22 @@ def _fit(share: np.ndarray, like: np.ndarray, row: np.ndarray, first: np.ndarray
     share = share.copy()
     words = np.diff(np.append(first, len(row)))
     open_, part_like, part_row, part_first = np.arange(len(share)), like, row, first
+    live = np.ones(len(share), bool)
     for _ in range(MOST_ROUNDS):
         part = part_like * share[open_][part_row]
         part /= part.sum(axis=1, keepdims=True)
         new = np.add.reduceat(part, part_first, axis=0) / words[open_][:, None]
-        moving = np.abs(new - share[open_]).max(axis=1) >= TOLERANCE
-        share[open_] = new
-        if not moving.any():
+        moved = np.abs(new - share[open_]).max(axis=1)
+        share[open_[live]] = new[live]                              # settled rows stay: a row does not depend on its chunk
+        live &= moved >= TOLERANCE
+        if not live.any():
             break
-        if moving.mean() < 0.7:                                     # go on with the rows that still move
-            keep = moving[part_row]
-            open_, part_like = open_[moving], part_like[keep]
-            part_row = (np.cumsum(moving) - 1)[part_row[keep]]
+        if live.mean() < 0.7:                                       # go on with the rows that still move
+            keep = live[part_row]
+            open_, part_like = open_[live], part_like[keep]
+            part_row = (np.cumsum(live) - 1)[part_row[keep]]
             part_first = np.searchsorted(part_row, np.arange(len(open_)))
+            live = np.ones(len(open_), bool)
     return share, np.add.reduceat(np.log((like * share[row]).sum(axis=1)), first)
 
 
