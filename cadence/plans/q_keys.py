@@ -15,6 +15,7 @@ from cadence.session import scratch_path
 from cadence.sources.manifest import read_manifest, union_splits, write_manifest
 from cadence.sources.media import list_media, media_inventory, qualified
 from cadence.sources.sinks import write_predictions
+from cadence.functions.text import FILLERS
 from cadence.sources.store import FeatureStore, embedding_rows
 from cadence.sources.tables import read_table
 
@@ -88,6 +89,35 @@ def _write_media(clips, root):
     clips.foreachPartition(write)
 
 
+def feature_run_incremental(spark, d):
+    """The feature-building flow in two runs over one store: the train clips first, then all of them (only the test clips are transcribed, the
+    views are rebuilt), then once more (everything is reused). Empty transcripts are error rows."""
+    from cadence.functions.text import num_words, text_features
+    from cadence.plans.feature_run import build_features
+
+    f1 = fx.f1_transcripts(spark, d)
+    store = FeatureStore(spark, scratch_path(spark, "feature_run"))
+
+    def transcribe(clips):
+        said = f1.select(*KEYS, "raw_transcript", "clean_transcript")
+        return clips.join(said, KEYS).withColumn("error", F.when(F.col("clean_transcript") == "", "no words"))
+
+    def text_view(t):
+        return t.select(*KEYS, *[c.alias(n) for n, c in text_features("clean_transcript").items() if n.startswith("disfluency_filler")])
+
+    def length_view(t):
+        return t.select(*KEYS, num_words("clean_transcript").alias("num_words"), F.length("raw_transcript").alias("n_raw"))
+
+    views = {"text": text_view, "length": length_view}
+    manifest = f1.select(*KEYS, "label")
+    ran = [build_features(store, m, transcribe, views) for m in (manifest.where("split = 'train'"), manifest, manifest.union(manifest.limit(5)))]
+    versions = [len(store.versions(t)) for t in ("transcripts", "text", "length")]
+    steps = F.lit(",".join(str(r.transcribed) for r in ran) + ";" + ",".join(map(str, versions)))
+    out = ran[-1].table.join(store.read("transcripts").select(*KEYS, "error"), KEYS)
+    return out.select(*KEYS, r6("label"), big("disfluency_filler_count"), r6("disfluency_filler_rate"), big("num_words"), big("n_raw"),
+                      F.col("error").isNotNull().alias("failed"), steps.alias("steps"))
+
+
 def s7_prediction_sink(spark, d):
     f7 = fx.f7_preds(fx.f6_reg(spark, d))
     preds = ordinal_within(f7.select(F.concat(F.lit("ord_"), F.col("id").cast("string")).alias("filename"),
@@ -172,6 +202,7 @@ QUERIES = {
     "s3_s4_feature_store": s3_s4_feature_store,
     "s5_embedding_store": s5_embedding_store,
     "s6_media_inventory": s6_media_inventory,
+    "feature_run_incremental": feature_run_incremental,
     "s7_prediction_sink": s7_prediction_sink,
     "u1_dedupe_first": u1_dedupe_first,
     "u2_expected_keys": u2_expected_keys,
@@ -194,6 +225,12 @@ ORACLES = {
     "s5_embedding_store": """SELECT CAST(count(*) AS BIGINT) AS rows_a, CAST(count(*) + count(*) FILTER (WHERE label >= 9) AS BIGINT) AS rows_b,
         CAST(0 AS BIGINT) AS only_a, CAST(count(*) FILTER (WHERE label >= 9) AS BIGINT) AS only_b,
         count(*) FILTER (WHERE label >= 9) = 0 AS same FROM embeddings""",
+    "feature_run_incremental": with_fixtures("""WITH w AS (SELECT *, list_filter(string_split(clean_transcript, ' '), lambda x: x <> '') AS ws FROM f1_transcripts),
+        x AS (SELECT *, greatest(len(ws), 1) AS nw, len(list_filter(ws, lambda t: t IN (""" + ", ".join(f"'{f}'" for f in FILLERS if " " not in f) + """))) AS fill FROM w)
+        SELECT split, filename, round(label, 6) AS label, CAST(fill AS BIGINT) AS disfluency_filler_count, round(fill / nw * 100.0, 6) AS disfluency_filler_rate,
+               CAST(nw AS BIGINT) AS num_words, CAST(length(raw_transcript) AS BIGINT) AS n_raw, clean_transcript = '' AS failed,
+               (SELECT CAST(count(*) FILTER (WHERE split = 'train') AS VARCHAR) || ',' || CAST(count(*) FILTER (WHERE split = 'test') AS VARCHAR) || ',0;2,2,2' FROM f1_transcripts) AS steps
+        FROM x""", _F1),
     "s7_prediction_sink": with_fixtures("SELECT 'ord_' || CAST(id AS VARCHAR) AS filename, round(least(greatest(p4, 0.0), 5.0), 6) AS label FROM f7_preds", "f7_preds"),
     "u1_dedupe_first": """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
         CAST(l_partkey AS BIGINT) AS l_partkey, CAST(l_suppkey AS BIGINT) AS l_suppkey, round(l_quantity, 6) AS l_quantity,

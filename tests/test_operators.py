@@ -636,3 +636,85 @@ def test_media_are_listed_by_tasks(spark, tmp_path):
     assert inv == {("train", "a.wav"): (1, 3, False), ("test", "b.wav"): (0, 0, True)}
     with pytest.raises(FileNotFoundError):
         M.list_media(spark, str(tmp_path / "none"))
+
+
+def test_feature_run_transcribes_what_is_new_and_keeps_failures(spark):
+    from cadence.plans.feature_run import build_features, failed_clips, update_transcripts
+    from cadence.session import scratch_path
+    from cadence.sources.store import FeatureStore
+
+    store, asked = FeatureStore(spark, scratch_path(spark, "t_feature_run")), []
+
+    def transcribe(clips):
+        asked.append(sorted(r["filename"] for r in clips.collect()))
+        return clips.select("split", "filename", F.length("filename").alias("n"), F.when(F.col("filename") == "bad", "unreadable").alias("error"))
+
+    views = {"v": lambda t: t.select("split", "filename", (F.col("n") * 2.0).alias("twice"))}
+    rows = [("train", "a", 1.0), ("train", "bad", 2.0), ("train", "a", 3.0)]
+    first = spark.createDataFrame(rows, "split string, filename string, label double")
+    out = build_features(store, first, transcribe, views)
+    assert out.transcribed == 2 and asked == [["a", "bad"]] and out.views == {"v": ["twice"]} and out.features == ["twice"]
+    assert sorted((r.filename, r.label, r.twice) for r in out.table.collect()) == [("a", 1.0, 2.0), ("bad", 2.0, 6.0)]
+    assert [r["filename"] for r in failed_clips(store).collect()] == ["bad"]
+    more = first.union(spark.createDataFrame([("test", "ccc", None)], first.schema))
+    out = build_features(store, more, transcribe, views)
+    assert out.transcribed == 1 and asked[1:] == [["ccc"]] and out.table.count() == 3 and store.versions("v") == [0, 1]
+    assert update_transcripts(store, more, transcribe) == 0 and len(asked) == 2 and store.versions("transcripts") == [0, 1]
+    assert build_features(store, first, transcribe, views).table.count() == 2          # only the manifest's clips
+    twice = {"v": lambda t: t.select("split", "filename", F.explode(F.array(F.lit(1), F.lit(2))).alias("x"))}
+    other = FeatureStore(spark, scratch_path(spark, "t_feature_run"))
+    assert build_features(other, first, transcribe, twice).table.count() == 4
+    assert build_features(other, first, transcribe, twice, dedupe_after_join=True).table.count() == 2
+
+
+def test_raw_embedding_view_is_fitted(spark):
+    from cadence.operators.stack import ablation
+
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=(300, 3)) + 5
+    y = 2.5 + 0.5 * (e[:, 0] - 5) - 0.3 * (e[:, 2] - 5)
+    df = spark.createDataFrame([(float(a), v.tolist()) for a, v in zip(y, e)], "y double, emb array<double>")
+    got = {r.view: r.rmse for r in ablation(df, {"Embeddings-Only": Layout([], "emb", 3, "y")}, raw_views=["Embeddings-Only"], full_rmse=0.25).collect()}
+    ec, yc = e - e.mean(axis=0), y - y.mean()
+    w = np.linalg.solve(ec.T @ ec + 10 * np.eye(3), ec.T @ yc)
+    assert abs(got["Embeddings-Only"] - np.sqrt(np.mean((np.clip(y.mean() + ec @ w, 0, 5) - y) ** 2))) < 1e-9
+    assert got["Full Multi-View Stack"] == 0.25
+
+
+def test_acceptability_model_converges_or_raises(spark, monkeypatch):
+    from cadence.operators import scores as SC
+
+    rows = spark.createDataFrame([(f"the {a} {b} dog", float((i * 7) % 3 > 0)) for i, (a, b) in enumerate([(x, y) for x in ("red", "old", "big") for y in ("wet", "sad", "shy", "red")])],
+                                 "t string, ok double")
+    model = SC.acceptability_fit(rows, "t", "ok", num_features=1 << 10)
+    assert model.rows == 12 and model.gradient <= SC.ACCEPTABILITY_GRADIENT
+    # the gradient by numpy, on the features as the model hashes them
+    got = [(np.asarray(r["_features"].toArray()), r["ok"], r["_prob"][1]) for r in model.transform(rows.select(F.col("t").alias("_text"), "ok")).collect()]
+    x, y, p = (np.array(v) for v in zip(*got))
+    sd = x.std(axis=0, ddof=1)
+    use = sd > 0
+    g = ((p - y) @ x[:, use] / 12 + SC.ACCEPTABILITY_REG * sd[use] ** 2 * model.stages[-1].coefficients.toArray()[use]) / sd[use]
+    assert max(np.abs(g).max(), abs((p - y).sum()) / 12) == pytest.approx(model.gradient, rel=1e-6, abs=1e-12)
+    monkeypatch.setattr(SC, "ACCEPTABILITY_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="gradient"):
+        SC.acceptability_fit(rows, "t", "ok", num_features=1 << 10)
+
+
+def test_entry_hides_only_a_missing_subpackage(tmp_path):
+    """Without llm and the pipeline the entry imports; a broken import inside llm is not hidden."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = tmp_path / "r"
+    src = __import__("pathlib").Path(__file__).resolve().parents[1]
+    shutil.copytree(src / "cadence", root / "cadence", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(src / "__spark_entry__.py", root)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    bare = run()
+    assert bare.returncode == 0 and int(bare.stdout) > 100
+    (root / "cadence" / "llm").mkdir()
+    (root / "cadence" / "llm" / "__init__.py").write_text("")
+    (root / "cadence" / "llm" / "oracles.py").write_text("import no_such_module\n")
+    (root / "corpus_pipeline.py").write_text("from cadence.llm import oracles\n")
+    assert run().returncode != 0
