@@ -6,7 +6,8 @@ break, question mark, length class). Hidden states are (role, turn start or cont
 counts over labelled conversations with additive smoothing, gathered by one aggregate each (at most states x
 symbols rows reach the driver).
 
-Viterbi runs over conversations of any length: lines are cut into chunks of ``CHUNK`` consecutive orders. Since
+Viterbi runs over conversations of any length: lines are cut into chunks of ``CHUNK`` consecutive orders, or of ``CHUNK_LINES`` lines
+where a block is longer. Since
 the recursion is a product of max-plus matrices, (1) every chunk reduces to a states x states matrix (only for conversations of more than one chunk), (2) the matrices of a
 conversation, one small row a chunk, fix the states at its chunk borders, (3) every chunk is decoded alone between
 its borders. Chunks of many conversations are decoded side by side in numpy. A conversation that holds a third of all lines is
@@ -35,6 +36,7 @@ MARKS = len(ROLES) + 1       # the role a marker names, or none
 FEATURES = 8                 # first after a break, question mark, long line
 SYMBOLS = MARKS * FEATURES
 CHUNK = 4096                 # orders per chunk
+CHUNK_LINES = 20_000         # lines of one block per chunk
 ROWS_PER_GROUP = 200_000
 SMOOTH = 0.5
 LONG_LINE = 60
@@ -71,7 +73,17 @@ def lines_of(messages: DataFrame, conv: str, order: str, text: str, *carried: st
 
 
 def _seen(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("sym", symbol(F.col("line"), F.col("line_no") == 0)).withColumn("chunk", F.floor(F.col("ord") / CHUNK))
+    return lines.withColumn("sym", symbol(F.col("line"), F.col("line_no") == 0))
+
+
+def _chunked(seen: DataFrame) -> DataFrame:
+    """``chunk``: numbers that rise with (ord, line_no). ``CHUNK`` orders are one, unless a block among them has more than ``CHUNK_LINES`` lines: then each
+    order is cut after every ``CHUNK_LINES`` lines."""
+    rows = seen.withColumn("_g", F.floor(F.col("ord") / CHUNK))
+    long = rows.where(F.col("line_no") == CHUNK_LINES).select("c", "_g").distinct().withColumn("_long", F.lit(True))   # has a line beyond the first CHUNK_LINES
+    base = F.col("_g") * (1 << 40)
+    own = base + (F.col("ord") - F.col("_g") * CHUNK) * (1 << 24) + F.floor(F.col("line_no") / CHUNK_LINES)
+    return rows.join(long, ["c", "_g"], "left").withColumn("chunk", F.when(F.col("_long"), own).otherwise(base)).drop("_g", "_long")
 
 
 class Model:
@@ -183,7 +195,7 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
     """lines (conv, c, ord, line_no, line) with their Viterbi state and the turn they belong to."""
     spark = lines.sparkSession
     conv = lines.schema["conv"].dataType.simpleString()
-    rows = written(_seen(lines).select("conv", "c", "ord", "line_no", "line", "sym", "chunk"), "op9-lines")
+    rows = written(_chunked(_seen(lines)).select("conv", "c", "ord", "line_no", "line", "sym", "chunk"), "op9-lines")
     groups = max(shuffle_partitions(spark), -(-rows.count() // ROWS_PER_GROUP))
     part = F.pmod(F.hash("c", "chunk"), F.lit(groups))
     spread = rows.groupBy("c").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low < high").select("c")

@@ -479,3 +479,48 @@ def test_language_proportions_equal_plain_em():
                 break
         assert np.allclose(share[i], s, atol=1e-12)
         assert abs(ll[i] - sum(np.log(sum(a * b for a, b in zip(w, s))) for w in own)) < 1e-9
+
+
+def plain_viterbi(model, symbols):
+    """(best log probability, one path) by the textbook recursion over Python lists."""
+    score = [model.enter[chat.STATES][s] + model.shows[s][symbols[0]] for s in range(chat.STATES)]
+    back = []
+    for x in symbols[1:]:
+        best = [max(range(chat.STATES), key=lambda p: score[p] + model.step[p][s]) for s in range(chat.STATES)]
+        score = [score[best[s]] + model.step[best[s]][s] + model.shows[s][x] for s in range(chat.STATES)]
+        back.append(best)
+    path = [max(range(chat.STATES), key=lambda s: score[s])]
+    for best in reversed(back):
+        path.append(best[path[-1]])
+    return max(score), path[::-1]
+
+
+def path_score(model, path, symbols):
+    before = [chat.STATES, *path[:-1]]
+    return sum(model.enter[b][s] + model.shows[s][x] for b, s, x in zip(before, path, symbols))
+
+
+def test_chat_equals_plain_viterbi_also_in_one_long_block(spark, monkeypatch):
+    """Random models and lines: one line, ties, repeated rows, many orders, and blocks of many lines cut inside the block."""
+    monkeypatch.setattr(chat, "CHUNK", 5)
+    monkeypatch.setattr(chat, "CHUNK_LINES", 7)
+    rng = np.random.default_rng(11)
+    lines = ["User: hi", "plain text", "### Assistant", "what is it?", "x" * 200, "", "[System] be kind"]
+    say = lambda n: "\n".join(rng.choice(lines, n))
+    rows = [(1, 0, say(1)), (2, 0, say(60)), (3, 0, say(3)), (3, 1, say(40)), (3, 2, say(2)), (3, 9, say(15)), (3, 10, None), *[(4, i, say(int(rng.integers(1, 4)))) for i in range(33)],
+            (5, 0, "same"), (5, 0, "same"), (5, 1, "\n".join(["same"] * 30)), (6, 0, "User: " + "very long " * 20_000)]
+    table = chat.lines_of(spark.createDataFrame(rows, "conv_id long, turn long, text string"), "conv_id", "turn", "text")
+    chunks = chat._chunked(chat._seen(table)).toPandas()
+    assert chunks.groupby(["c", "chunk"]).size().max() <= 5 * 7
+    for _, own in chunks.sort_values(["ord", "line_no"], kind="stable").groupby("c"):
+        assert own["chunk"].is_monotonic_increasing
+    for seed in (1, 2):
+        r = np.random.default_rng(seed)
+        model = chat.Model(r.integers(0, 9, chat.STATES).astype(float), r.integers(0, 9, (chat.STATES, chat.STATES)).astype(float), r.integers(0, 9, (chat.STATES, chat.SYMBOLS)).astype(float))
+        got = chat.decode(table, model).toPandas()
+        symbols = chat._seen(table).toPandas()
+        assert len(got) == len(symbols)
+        for c, own in got.groupby("c"):
+            seen = symbols[symbols["c"] == c].sort_values(["ord", "line_no", "line"], kind="stable")["sym"].tolist()
+            path = own.sort_values(["ord", "line_no", "line"], kind="stable")["state"].tolist()
+            assert abs(path_score(model, path, seen) - plain_viterbi(model, seen)[0]) < 1e-9
