@@ -25,6 +25,7 @@ from cadence.operators.gram import BLOCK, sum_vectors
 
 STEPS = (1.0, 0.5, 0.25, 0.125, 1 / 16, 1 / 64, 1 / 256, 1 / 4096)
 FIRST_WIDTH, SHRINK = 1.0, 4.0
+LEAST_DAMPING, MOST_DAMPING = 1e-6, 10.0   # added to the Hessian, times C and the rows
 
 
 def fourier_features(x: np.ndarray, omega: np.ndarray, phase: np.ndarray) -> np.ndarray:
@@ -68,6 +69,7 @@ def fit_folds_svr(rows: DataFrame, projections: dict[tuple, tuple], C: float, ep
     theta = {rf: np.append(np.zeros(dim - 1), p[3]) for rf, p in projections.items()}
     mu = dict.fromkeys(theta, FIRST_WIDTH)
     active, gaps = list(theta), {}
+    damping = dict.fromkeys(theta, 0.0)
     penal = np.append(np.ones(dim - 1), 0.0)
     for _ in range(max_passes // 2):
         now, widths = dict(theta), dict(mu)
@@ -103,10 +105,12 @@ def fit_folds_svr(rows: DataFrame, projections: dict[tuple, tuple], C: float, ep
             g = penal * theta[rf] - C * (up - down)
             if np.abs(g).max() <= 1e-3 * tolerance * C * n:              # solved at this width
                 mu[rf] /= SHRINK
-                H = H * 0
+                steps[rf] = np.zeros(dim)
+                continue
             hessian = np.diag(penal) + (C / widths[rf]) * H
+            hessian[np.arange(dim), np.arange(dim)] += damping[rf] * C * n
             hessian[-1, -1] += 1e-9 * C * n
-            steps[rf] = np.linalg.solve(hessian, -g) if H.any() else np.zeros(dim)
+            steps[rf] = np.linalg.solve(hessian, -g)
         if not active:
             return theta, gaps
         moving = [rf for rf in active if steps[rf].any()]
@@ -120,7 +124,13 @@ def fit_folds_svr(rows: DataFrame, projections: dict[tuple, tuple], C: float, ep
                 at = [theta[rf] + t * steps[rf] for t in (0.0, *STEPS)]
                 values = [0.5 * float(p[:-1] @ p[:-1]) + C * x for p, x in zip(at, losses[rf])]
                 best = int(np.argmin(values))
-                if best == 0 or values[0] - values[best] <= 1e-6 * tolerance * abs(values[0]):
+                if best == 0:                                            # too long a step: the loss bends inside it
+                    damping[rf] = max(10 * damping[rf], LEAST_DAMPING)
+                    if damping[rf] > MOST_DAMPING:                       # no way down left: solved at this width
+                        mu[rf], damping[rf] = mu[rf] / SHRINK, 0.0
+                    continue
+                damping[rf] = damping[rf] / 10 if damping[rf] > LEAST_DAMPING else 0.0
+                if values[0] - values[best] <= 1e-3 * tolerance * abs(values[0]):
                     mu[rf] /= SHRINK                                     # as good as solved at this width
                 theta[rf] = at[best]
     worst = max((gaps[rf][1] - gaps[rf][2]) / gaps[rf][1] for rf in active)
