@@ -1,27 +1,28 @@
 """Histogram gradient boosting for all folds at once (V8, V9; split counts for I1).
 
-Rows are expanded to the folds they train, their fold design features (``B @ w``) are binned with
-fold-train quantile sketches, and boosting state (the current prediction per row and fold) is a column.
-One pass over that table builds gradient histograms for the pending leaves of every fold's current
-tree: each task adds into a numpy array bounded by folds x leaves x features x bins and emits it;
+Rows stay as they are, one per example: every fold model's design features (``B @ w``) are binned with
+fold-train quantile sketches and kept, one byte per feature, for the rows that the fold trains, in blocks
+of rows. One pass over the blocks builds gradient histograms for the pending leaves of every fold's
+current tree: each task adds into a numpy array bounded by folds x leaves x features x bins and emits it;
 the partials are summed per key and the (small) result picks splits on the driver. Leaf values come from
-the same sums, so a tree costs one pass per split (leaf-wise) or per level (depth-wise), shared by all
-folds. Squared loss: gradient = residual, hessian = 1.
+the same sums, so a tree costs one pass per level, shared by all folds, whether it grows leaf by leaf or
+level by level. Squared loss: gradient = residual, hessian = 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.folds import FULL, train_membership
+from cadence.operators.folds import FULL
 from cadence.operators.gram import tree_sum_arrays
-from cadence.session import right_size
 
 
 @dataclass
@@ -36,7 +37,11 @@ class BoostParams:
     bins: int = 64
 
 
-BATCH_ROWS = 200_000  # Arrow batch size during boosting passes (narrow int columns)
+BLOCK_BYTES = 4_000_000  # bin ids of a block of rows
+SKETCHES = 120          # quantile sketches that a task holds at a time
+RUN_ROWS = 100_000      # rows that a task sorts at a time for them
+BLOCK_COLUMNS = ["n", "folds", "y", "bins", "preds"]
+BLOCK_SCHEMA = "n long, folds binary, y binary, bins binary, preds binary"
 
 # Profiles of the reference's two boosters (library defaults for the unlisted settings).
 PROFILES = {
@@ -59,20 +64,10 @@ class Tree:
     gain: list[float] = field(default_factory=lambda: [0.0])
 
     def leaf_of(self, Xb: np.ndarray, use_bins: bool = True) -> np.ndarray:
-        node = np.zeros(Xb.shape[0], dtype=np.int64)
-        for _ in range(64):
-            f = np.asarray(self.feature)[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            idx = np.flatnonzero(inner)
-            cut = (np.asarray(self.bin) if use_bins else np.asarray(self.threshold))[node[idx]]
-            go_left = Xb[idx, f[idx]] <= cut
-            node[idx] = np.where(go_left, np.asarray(self.left)[node[idx]], np.asarray(self.right)[node[idx]])
-        return node
+        return np.broadcast_to(_route(_splits(self, use_bins), Xb.T), Xb.shape[:1])
 
     def predict(self, X: np.ndarray, use_bins: bool) -> np.ndarray:
-        return np.asarray(self.value)[self.leaf_of(X, use_bins)]
+        return _route(_splits(self, use_bins), X.T, np.asarray(self.value))
 
     def split(self, node: int, f: int, b: int, thr: float, gain: float, left_stats, right_stats, lr: float, l2: float):
         ids = []
@@ -97,6 +92,7 @@ class BoostedModel:
 
     def predict(self, X: np.ndarray) -> np.ndarray:
         out = np.full(X.shape[0], self.base)
+        X = np.asfortranarray(X)                                         # trees compare whole columns
         for t in self.trees:
             out += t.predict(X, use_bins=False)
         return out
@@ -127,6 +123,118 @@ class BoostedModel:
         return out
 
 
+def _splits(t: Tree, use_bins: bool = True, node: int = 0):
+    """(feature, cut, left, right) nested; a leaf is its node number."""
+    if t.feature[node] < 0:
+        return _node_type(len(t.feature))(node)
+    return (t.feature[node], (t.bin if use_bins else t.threshold)[node], _splits(t, use_bins, t.left[node]), _splits(t, use_bins, t.right[node]))
+
+
+def _node_type(n: int) -> type:
+    return np.uint8 if n <= 256 else np.int32
+
+
+MOST_TESTS = 8  # splits of a tree whose outcomes fit one byte
+
+
+def _tests(tree, out: list | None = None) -> list[tuple]:
+    """(feature, cut) of every split, parents first."""
+    out = [] if out is None else out
+    if isinstance(tree, tuple):
+        out.append(tree[:2])
+        _tests(tree[2], out)
+        _tests(tree[3], out)
+    return out
+
+
+@lru_cache(maxsize=4096)
+def _outcomes(tree) -> np.ndarray:
+    """The leaf entry for every outcome of the splits (bit i: split i of ``_tests`` goes left)."""
+    n = len(_tests(tree))
+
+    def leaf(code: int):
+        node, at = tree, 0
+        while isinstance(node, tuple):
+            if code >> at & 1:
+                node, at = node[2], at + 1
+            else:
+                node, at = node[3], at + 1 + len(_tests(node[2]))
+        return node
+
+    return np.array([leaf(code) for code in range(1 << n)])
+
+
+def _route(tree, X: np.ndarray, values: np.ndarray | None = None):
+    """The leaf entry, or its entry of ``values``, that each column of ``X`` (features x rows) reaches; one number if the tree is a leaf."""
+    tests = _tests(tree)
+    if not tests or len(tests) > MOST_TESTS:
+        at = _where(tree, X)
+        return at if values is None else values[at]
+    code = (X[tests[0][0]] <= tests[0][1]).view(np.uint8)
+    for i, (f, cut) in enumerate(tests[1:], 1):
+        code |= (X[f] <= cut).view(np.uint8) << np.uint8(i)
+    leaves = _outcomes(tree)
+    return (leaves if values is None else values[leaves])[code]
+
+
+def _where(tree, X: np.ndarray):
+    if not isinstance(tree, tuple):
+        return tree
+    f, cut, left, right = tree
+    return np.where(X[f] <= cut, _where(left, X), _where(right, X))
+
+
+def _numbered(tree, marks: list):
+    """The tree with the place in ``marks`` at its marked leaves and the number of marks at the others."""
+    if isinstance(tree, tuple):
+        return (*tree[:2], _numbered(tree[2], marks), _numbered(tree[3], marks))
+    return _node_type(len(marks) + 1)(len(marks) if tree is None else marks.index(tree))
+
+
+def _bin_type(bins: int) -> str:
+    return "uint8" if bins < 256 else "int32"
+
+
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """folds (rows x repeats), y, w (rows x width) of a batch."""
+    return (b.column("folds").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1), b.column("y").to_numpy(zero_copy_only=False),
+            b.column("w").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1))
+
+
+def _joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ``_arrays`` of ``most`` rows at a time; what is left at the end may be fewer."""
+    held, n = [], 0
+    for b in batches:
+        at = 0
+        while at < len(b):
+            part = _arrays(b.slice(at, most - n))
+            held.append(part)
+            n, at = n + len(part[1]), at + len(part[1])
+            if n == most:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def _trains(folds: np.ndarray, rf: tuple) -> np.ndarray:
+    return np.ones(len(folds), bool) if rf[0] == FULL else folds[:, rf[0]] != rf[1]
+
+
+def _parts(row: tuple, keys: list[tuple], q: dict, base: dict, dtype: str):
+    """Per fold model of a block: its training rows, their labels, bin ids (features x rows) and a fresh array of predictions so far."""
+    n, folds, y, bins, preds = row
+    folds, y, at, done = np.frombuffer(folds, np.int32).reshape(n, -1), np.frombuffer(y), 0, 0
+    for rf in keys:
+        own = _trains(folds, rf)
+        m = int(np.count_nonzero(own))
+        X = np.frombuffer(bins, dtype, m * q[rf], at).reshape(q[rf], m)
+        at += X.nbytes
+        pred = np.full(m, base[rf]) if preds is None else np.frombuffer(preds, np.float64, m, done * 8).copy()
+        done += m
+        yield rf, own, y[own], X, pred
+
+
 def _best_split(hist_g: np.ndarray, hist_n: np.ndarray, p: BoostParams):
     """Best (feature, bin, gain, left, right) for one leaf from its (features x bins) sums."""
     G, N = hist_g[0].sum(), hist_n[0].sum()
@@ -143,120 +251,152 @@ def _best_split(hist_g: np.ndarray, hist_n: np.ndarray, p: BoostParams):
 
 
 class FoldBooster:
-    """Boost one model per (repeat, fold) of a :class:`~cadence.operators.crossval.CrossValidation`."""
+    """Boost one model per (repeat, fold) of a :class:`~cadence.operators.crossval.CrossValidation`.
+
+    The state is one row per block of rows: folds, labels, and for every fold model the bin ids of the block's training rows, one byte
+    each. A pass reads all blocks once and adds up the histograms of every pending leaf of every fold."""
 
     def __init__(self, cv, params: BoostParams, fold_keys: Sequence[tuple], checkpoint_every: int = 10):
         self.cv, self.p, self.keys = cv, params, list(fold_keys)
         self.q = {rf: cv.fit.transforms[rf].B.shape[0] for rf in self.keys}
         self.checkpoint_every = checkpoint_every
-        spark = cv.train.sparkSession
-        member = train_membership(cv.folds, cv.key, cv.k, include_full=any(r == FULL for r, _ in self.keys))
-        member = member.where(F.struct("repeat", "fold").isin(*[F.struct(F.lit(r), F.lit(f)) for r, f in self.keys]))
-        rows = cv.w_train.join(member, cv.key).select("repeat", "fold", "y", "w")
-        Bs = spark.sparkContext.broadcast({rf: cv.fit.transforms[rf].B for rf in self.keys})
-
-        def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                outs = []
-                for (r, f), part in b.groupby(["repeat", "fold"], sort=False):
-                    X = np.stack(part["w"].to_numpy()) @ Bs.value[(r, f)].T
-                    outs.append(pd.DataFrame({"repeat": r, "fold": f, "y": part["y"].to_numpy(), "x": list(X)}))
-                if outs:
-                    yield pd.concat(outs, ignore_index=True)
-
-        xrows = rows.mapInPandas(features, "repeat int, fold int, y double, x array<double>").persist()
-        xrows = right_size(xrows).persist()
-        # per-fold bin edges from quantile sketches of the fold's training rows
-        nbins = params.bins
-        probs = [i / nbins for i in range(1, nbins)]
-        long = xrows.select("repeat", "fold", F.posexplode("x").alias("j", "v"))
-        edges_rows = long.groupBy("repeat", "fold", "j").agg(F.percentile_approx("v", probs, 10000).alias("e")).collect()
-        self.edges = {}
-        for r in edges_rows:
-            self.edges.setdefault((r["repeat"], r["fold"]), {})[r["j"]] = np.unique(np.asarray(r["e"], dtype=float))
-        E = spark.sparkContext.broadcast(self.edges)
-
-        q = next(iter(self.q.values()))
-        self.bcols = [f"b_{j}" for j in range(q)]
-        bcols = self.bcols
-
-        def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                outs = []
-                for (r, f), part in b.groupby(["repeat", "fold"], sort=False):
-                    X = np.stack(part["x"].to_numpy())
-                    ed = E.value[(r, f)]
-                    out = pd.DataFrame({"repeat": r, "fold": f, "y": part["y"].to_numpy()})
-                    for j in range(X.shape[1]):
-                        out[bcols[j]] = np.searchsorted(ed[j], X[:, j], side="left").astype(np.int32)
-                    outs.append(out)
-                if outs:
-                    yield pd.concat(outs, ignore_index=True)
-
-        schema = "repeat int, fold int, y double, " + ", ".join(f"{c} int" for c in bcols)
-        base = {rf: cv.fit.transforms[rf].ybar for rf in self.keys}
-        # rows of one fold sit together inside each partition (a local sort, no shuffle), so an Arrow
-        # batch holds few folds
-        self.table = xrows.mapInPandas(binned, schema).withColumn("pred", self._base_col(base)) \
-            .sortWithinPartitions("repeat", "fold").persist()
+        self.spark = cv.train.sparkSession
+        self.rows = cv.w_rows.select("folds", "y", "w")
+        self.edges = self._edges()
+        self.base = {rf: float(cv.fit.transforms[rf].ybar) for rf in self.keys}
+        self.table = self._blocks().persist()
         self.table.count()
-        xrows.unpersist()
-        self.recent: dict = {rf: [] for rf in self.keys}   # trees not yet folded into ``pred``
-        self.models = {rf: BoostedModel(base[rf], [], self.q[rf]) for rf in self.keys}
-
-    @staticmethod
-    def _base_col(base: dict) -> F.Column:
-        e = F.lit(None).cast("double")
-        for (r, f), v in base.items():
-            e = F.when((F.col("repeat") == r) & (F.col("fold") == f), F.lit(float(v))).otherwise(e)
-        return e
-
-    def _histograms(self, trees: dict, pending: dict) -> dict:
-        """Sums of gradient and rows per (fold, leaf, feature, bin) for the pending leaves of each fold."""
-        bc = self.cv.train.sparkSession.sparkContext.broadcast((trees, pending, self.recent, self.p.bins + 1))
-        bcols = self.bcols
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tr, pend, recent, nb = bc.value
+        self.recent: dict = {rf: [] for rf in self.keys}   # trees not yet folded into ``preds``
+        self.models = {rf: BoostedModel(self.base[rf], [], self.q[rf]) for rf in self.keys}
+
+    def _edges(self) -> dict:
+        """Per fold model and feature the bin edges: quantiles of the fold's training rows, at most one in 10,000 ranks off.
+
+        Tasks sort their values in runs of ``RUN_ROWS`` rows and send on every ``stride``-th, half the error allowed; a Spark sketch of what
+        is sent takes the other half. Few rows are all sent on. A pass takes so many cells that a task can hold their sketches."""
+        probs = [i / self.p.bins for i in range(1, self.p.bins)]
+        cells = [(rf, j) for rf in self.keys for j in range(self.q[rf])]
+        runs = self.cv.fit.train_gram(FULL, FULL)[0, 0] / RUN_ROWS + self.rows.rdd.getNumPartitions()
+        stride = max(1, int(min(self.cv.fit.transforms[rf].n for rf in self.keys) / runs / 10000))
+        edges: dict = {rf: {} for rf in self.keys}
+        for lo in range(0, len(cells), SKETCHES):
+            own = cells[lo:lo + SKETCHES]
+            maps = {}
+            for i, (rf, j) in enumerate(own):
+                maps.setdefault(rf, []).append((i, self.cv.fit.transforms[rf].B[j]))
+            bc = self.spark.sparkContext.broadcast({rf: ([i for i, _ in m], np.stack([v for _, v in m])) for rf, m in maps.items()})
+
+            def values(batches: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
+                for folds, _, w in _joined(batches, RUN_ROWS):
+                    for rf, (ids, B) in bc.value.items():
+                        x = B @ w[_trains(folds, rf)].T
+                        for i, v in zip(ids, np.sort(x, axis=1)[:, stride // 2::stride] if stride > 1 else x):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(np.ascontiguousarray(v))], ["cell", "v"])
+
+            long = self.rows.mapInArrow(values, "cell int, v double")
+            for r in long.groupBy("cell").agg(F.percentile_approx("v", probs, 10000 if stride == 1 else 20000).alias("e")).collect():
+                rf, j = own[r["cell"]]
+                edges[rf][j] = np.unique(np.asarray(r["e"], dtype=float))
+            bc.unpersist()
+        return edges
+
+    def _blocks(self) -> DataFrame:
+        keys, dtype = self.keys, _bin_type(self.p.bins)
+        most = max(1024, BLOCK_BYTES // (np.dtype(dtype).itemsize * max(1, sum(self.q.values()))))
+        bc = self.spark.sparkContext.broadcast(({rf: self.cv.fit.transforms[rf].B for rf in keys}, self.edges))
+
+        def block(folds: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple:
+            Bs, edges = bc.value
+            bins = []
+            for rf in keys:
+                x = w[_trains(folds, rf)] @ Bs[rf].T
+                bins += [np.searchsorted(edges[rf][j], x[:, j], side="left").astype(dtype).tobytes() for j in range(x.shape[1]) if len(x)]
+            return len(y), folds.astype(np.int32).tobytes(), y.tobytes(), b"".join(bins), None
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in _joined(batches, most):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(block(*rows), (pa.int64(), *[pa.binary()] * 4))], BLOCK_COLUMNS)
+
+        return self.rows.mapInArrow(run, BLOCK_SCHEMA)
+
+    def _pass(self, asked: dict) -> dict:
+        """Sums of gradient and rows per (fold, asked node, feature, bin); ``asked`` has a fold's routing tree and how many nodes it marks."""
+        nb, keys, q, base, dtype = self.p.bins + 1, self.keys, self.q, self.base, _bin_type(self.p.bins)
+        bc = self.spark.sparkContext.broadcast((asked, {rf: [(_splits(t), np.asarray(t.value)) for t in ts] for rf, ts in self.recent.items()}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted, recent = bc.value
             acc: dict = {}
             for b in batches:
-                for (r, f), part in b.groupby(["repeat", "fold"], sort=False):
-                    leaves = pend.get((r, f))
-                    if not leaves:
-                        continue
-                    Xb = part[bcols].to_numpy()
-                    pred = part["pred"].to_numpy().copy()
-                    for t in recent[(r, f)]:
-                        pred += t.predict(Xb, use_bins=True)
-                    g = part["y"].to_numpy() - pred
-                    leaf = tr[(r, f)].leaf_of(Xb)
-                    q = Xb.shape[1]
-                    offs = (np.arange(q) * nb)[None, :]
-                    for lf in leaves:
-                        m = leaf == lf
-                        if not m.any():
+                for row in zip(*(b.column(c).to_pylist() for c in BLOCK_COLUMNS)):
+                    for rf, own, y, X, pred in _parts(row, keys, q, base, dtype):
+                        if rf not in wanted or not len(y):
                             continue
-                        idx = (Xb[m] + offs).ravel()
-                        hg = np.bincount(idx, weights=np.repeat(g[m], q), minlength=q * nb)
-                        hn = np.bincount(idx, minlength=q * nb).astype(np.float64)
-                        key = (r, f, lf)
-                        if key in acc:
-                            acc[key][0].__iadd__(hg)
-                            acc[key][1].__iadd__(hn)
-                        else:
-                            acc[key] = [hg, hn]
-            rows = [(k[0], k[1], k[2], v[0].tolist(), v[1].tolist()) for k, v in acc.items()]
-            yield pd.DataFrame(rows, columns=["repeat", "fold", "leaf", "g", "n"])
-
-        parts = self.table.mapInPandas(run, "repeat int, fold int, leaf long, g array<double>, n array<double>")
-        summed = tree_sum_arrays(parts, ["repeat", "fold", "leaf"], ["g", "n"])
+                        tree, nodes = wanted[rf]
+                        for splits, values in recent[rf]:
+                            pred += _route(splits, X, values)
+                        g = y - pred
+                        width = (nodes + 1) * nb                         # the last part takes the rows of no asked node
+                        slot = _route(tree, X)
+                        start = slot.astype(np.intp) * nb if isinstance(slot, np.ndarray) else np.full(len(y), int(slot) * nb, np.intp)
+                        if rf not in acc:
+                            acc[rf] = np.zeros((2, q[rf], width))
+                        for j in range(q[rf]):
+                            at = start + X[j]
+                            acc[rf][0, j] += np.bincount(at, weights=g, minlength=width)
+                            acc[rf][1, j] += np.bincount(at, minlength=width)
+            rows = [(*rf, *(v[i].reshape(-1) for i in (0, 1))) for rf, v in acc.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), *[pa.list_(pa.float64())] * 2))],
+                                             ["repeat", "fold", "g", "n"])
+
+        parts = self.table.mapInArrow(run, "repeat int, fold int, g array<double>, n array<double>")
         out = {}
-        for r in summed.collect():
-            q = self.q[(r["repeat"], r["fold"])]
-            out[(r["repeat"], r["fold"], r["leaf"])] = (np.asarray(r["g"]).reshape(q, -1), np.asarray(r["n"]).reshape(q, -1))
+        for r in tree_sum_arrays(parts, ["repeat", "fold"], ["g", "n"]).collect():
+            rf = (r["repeat"], r["fold"])
+            out[rf] = [np.asarray(r[c]).reshape(self.q[rf], -1, nb) for c in ("g", "n")]
         bc.unpersist()
         return out
 
+    def _histograms(self, trees: dict, pending: dict, candidates: dict, paths: dict, known: dict) -> dict:
+        """Sums of gradient and rows per (feature, bin) for the pending leaves of each fold.
+
+        A pass that a pending leaf needs also takes the children that the leaves with a known best split would have, so that a leaf-wise
+        tree, too, costs one pass a level; ``known`` keeps them by fold and path from the root."""
+        if any((rf, paths[rf][lf]) not in known for rf in self.keys for lf in pending[rf]):
+            asked, marks = {}, {}
+            for rf in self.keys:
+                own: list = []
+                tree = self._asked(trees[rf], 0, rf, set(pending[rf]), candidates, paths[rf], known, own)
+                if own:
+                    marks[rf] = own
+                    asked[rf] = (_numbered(tree, own), len(own))
+            for rf, (g, n) in self._pass(asked).items():
+                for i, path in enumerate(marks[rf]):
+                    known[rf, path] = (g[:, i], n[:, i])
+        out = {}
+        for rf in self.keys:
+            for lf in pending[rf]:
+                h = known.get((rf, paths[rf][lf]))
+                if h is not None and h[1][0].any():
+                    out[(*rf, lf)] = h
+        return out
+
+    def _asked(self, t: Tree, node: int, rf: tuple, pending: set, candidates: dict, paths: dict, known: dict, own: list):
+        """(feature, bin, left, right) nested, with a path at the leaves that are asked for and None at the others."""
+        if t.feature[node] >= 0:
+            return (t.feature[node], t.bin[node], *(self._asked(t, c, rf, pending, candidates, paths, known, own) for c in (t.left[node], t.right[node])))
+        path = paths[node]
+        if node in pending:
+            if (rf, path) in known:
+                return None
+            own.append(path)
+            return path
+        best = candidates.get((*rf, node))
+        if self.p.growth == "leaf" and best is not None and t.depth[node] + 1 < self.p.max_depth and (rf, path + "l") not in known:
+            own += [path + "l", path + "r"]
+            return best[0], best[1], path + "l", path + "r"
+        return None
+
     def _threshold(self, rf, f: int, b: int) -> float:
         ed = self.edges[rf][f]
         return float(ed[b]) if b < len(ed) else float("inf")
@@ -264,11 +404,13 @@ class FoldBooster:
     def _grow(self) -> dict:
         p = self.p
         trees = {rf: Tree() for rf in self.keys}
+        paths: dict = {rf: {0: ""} for rf in self.keys}
+        known: dict = {}
         pending = {rf: [0] for rf in self.keys}
         candidates: dict = {}
         first = True
         while any(pending.values()):
-            hist = self._histograms(trees, pending)
+            hist = self._histograms(trees, pending, candidates, paths, known)
             for (r, f, lf), (hg, hn) in hist.items():
                 t = trees[(r, f)]
                 if first:
@@ -290,6 +432,7 @@ class FoldBooster:
                     if p.growth == "depth" and len(t.leaves()) >= p.num_leaves:
                         break
                     t.split(lf, fi, bi, self._threshold(rf, fi, bi), gain, lstat, rstat, p.learning_rate, p.l2)
+                    paths[rf][t.left[lf]], paths[rf][t.right[lf]] = paths[rf][lf] + "l", paths[rf][lf] + "r"
                     # children at the depth limit can never split: no histogram pass for them
                     pending[rf] += [c for c in (t.left[lf], t.right[lf]) if t.depth[c] < p.max_depth]
                     candidates.pop((rf[0], rf[1], lf), None)
@@ -303,10 +446,10 @@ class FoldBooster:
         return trees
 
     def fit(self) -> dict:
-        conf = self.cv.train.sparkSession.conf
+        conf = self.spark.conf
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = conf.get(key)
-        conf.set(key, str(BATCH_ROWS))  # passes are numpy-bound: larger batches, fewer Python calls
+        conf.set(key, "1")  # a record is a block of rows
         try:
             return self._fit()
         finally:
@@ -324,53 +467,48 @@ class FoldBooster:
         return self.models
 
     def _materialize(self) -> None:
-        """Fold the recent trees into ``pred`` and cut the lineage (reliable checkpoint)."""
-        bc = self.cv.train.sparkSession.sparkContext.broadcast(self.recent)
-        bcols = self.bcols
+        """Fold the recent trees into ``preds`` and cut the lineage (reliable checkpoint)."""
+        keys, q, base, dtype = self.keys, self.q, self.base, _bin_type(self.p.bins)
+        bc = self.spark.sparkContext.broadcast({rf: [(_splits(t), np.asarray(t.value)) for t in ts] for rf, ts in self.recent.items()})
 
-        def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            recent = bc.value
+        def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                outs = []
-                for (r, f), part in b.groupby(["repeat", "fold"], sort=False):
-                    Xb = part[bcols].to_numpy()
-                    part = part.copy()
-                    pred = part["pred"].to_numpy().copy()
-                    for t in recent[(r, f)]:
-                        pred += t.predict(Xb, use_bins=True)
-                    part["pred"] = pred
-                    outs.append(part)
-                if outs:
-                    yield pd.concat(outs, ignore_index=True)
+                out = []
+                for row in zip(*(b.column(c).to_pylist() for c in BLOCK_COLUMNS)):
+                    preds = []
+                    for rf, _, _, X, pred in _parts(row, keys, q, base, dtype):
+                        for splits, values in bc.value[rf]:
+                            pred += _route(splits, X, values)
+                        preds.append(pred.tobytes())
+                    out.append(b"".join(preds))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], BLOCK_COLUMNS)
 
         old = self.table
-        self.table = old.mapInPandas(update, old.schema).checkpoint(eager=True)
+        self.table = old.mapInArrow(update, BLOCK_SCHEMA).checkpoint(eager=True)
         old.unpersist()
         self.recent = {rf: [] for rf in self.keys}
 
 
 def score_models(df: DataFrame, key: str, models: dict, transforms: dict, by_fold: bool, w_col: str = "w") -> DataFrame:
-    """Predictions of fold models: per row's own (repeat, fold) when ``by_fold`` (validation), else one
-    row per (key, fold model) for every model (test rows, averaged by the caller)."""
-    bc = df.sparkSession.sparkContext.broadcast({rf: (transforms[rf].B, m) for rf, m in models.items()})
+    """Per row the mean prediction of the models of its own folds (``folds``, one per repeat) when ``by_fold`` (validation), else of every
+    fold model (test rows)."""
+    bc = df.sparkSession.sparkContext.broadcast({rf: (transforms[rf].B, m) for rf, m in models.items() if rf[0] != FULL})
     ktype = dict(df.dtypes)[key]
+    repeats = len({r for r, _ in bc.value})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ms = bc.value
         for b in batches:
-            outs = []
-            groups = b.groupby(["repeat", "fold"], sort=False) if by_fold else [(rf, b) for rf in ms if rf[0] != FULL]
-            for rf, part in groups:
-                rf = tuple(rf)
-                if rf not in ms:
-                    continue
-                B, m = ms[rf]
-                X = np.stack(part[w_col].to_numpy()) @ B.T
-                outs.append(pd.DataFrame({key: part[key].to_numpy(), "pred": m.predict(X)}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    return df.mapInPandas(run, f"{key} {ktype}, pred double")
+            if b.empty:
+                continue
+            w = np.stack(b[w_col].to_numpy())
+            folds = np.stack(b["folds"].to_numpy()) if by_fold else None
+            pred = np.zeros(len(b))
+            for (r, f), (B, m) in bc.value.items():
+                own = folds[:, r] == f if by_fold else slice(None)
+                pred[own] += m.predict(w[own] @ B.T)
+            yield pd.DataFrame({key: b[key].to_numpy(), "pred": pred / (repeats if by_fold else len(bc.value))})
+
+    return df.select(key, *(["folds"] if by_fold else []), w_col).mapInPandas(run, f"{key} {ktype}, pred double")
 
 
 def predict_model(df: DataFrame, key: str, model: BoostedModel, B: np.ndarray, w_col: str = "w") -> DataFrame:

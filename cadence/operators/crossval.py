@@ -117,7 +117,7 @@ class CrossValidation:
         models = FoldBooster(self, params, keys).fit()
         name = "gbt_" + profile
         cvm = {rf: m for rf, m in models.items() if rf[0] != FULL}
-        oof = score_models(self.frame.select(self.key, "repeat", "fold", "w"), self.key, cvm, self.fit.transforms, True) \
+        oof = score_models(self.w_rows, self.key, cvm, self.fit.transforms, True) \
             .groupBy(self.key).agg(F.avg("pred").alias("pred")).withColumn("model", F.lit(name))
         test = None
         if self.w_test is not None:

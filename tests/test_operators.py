@@ -315,6 +315,53 @@ def test_histogram_booster_rules_and_attributions(spark):
         assert full.split_counts()[2] <= full.split_counts()[0]
 
 
+def test_histogram_booster_reads_rows_once_a_level(spark, monkeypatch):
+    """Rows are not copied per fold, a leaf-wise tree takes a pass a level, and edges keep their ranks when runs are thinned."""
+    from dataclasses import replace
+
+    from cadence.operators import boosting
+    from cadence.operators.crossval import CrossValidation
+
+    rng = np.random.default_rng(3)
+    n = 6000
+    pdf = pd.DataFrame({"id": np.arange(n), "a": rng.normal(size=n), "b": rng.integers(0, 9, n).astype(float)})
+    pdf["y"] = np.sin(3 * pdf["a"]) + pdf["b"] + 0.1 * rng.normal(size=n)
+    cv = CrossValidation(spark.createDataFrame(pdf), "id", Layout(["a", "b"], label="y"), 5, 2, 3)
+    params = replace(boosting.PROFILES["a"], rounds=2)
+    plain = boosting.FoldBooster(cv, params, cv.fit.fold_keys())
+    assert sum(r.n for r in plain.table.select("n").collect()) == n          # one place per row
+    passes = []
+    real = boosting.FoldBooster._pass
+    monkeypatch.setattr(boosting.FoldBooster, "_pass", lambda self, asked: passes.append(1) or real(self, asked))
+    models = plain.fit()
+    assert len(passes) <= 2 * params.max_depth
+    # two trees from the definition: gradients and counts of every leaf
+    rows = cv.w_rows.toPandas()
+    for rf, m in models.items():
+        t = cv.fit.transforms[rf]
+        own = np.stack(rows["folds"])[:, rf[0]] != rf[1]
+        X, y = np.stack(rows["w"])[own] @ t.B.T, rows["y"].to_numpy()[own]
+        pred = np.full(len(y), y.mean())
+        for tree in m.trees:
+            leaf = tree.leaf_of(X, use_bins=False)
+            for at in tree.leaves():
+                assert tree.count[at] == (leaf == at).sum() >= params.min_leaf
+                assert np.isclose(tree.value[at], params.learning_rate * (y - pred)[leaf == at].mean(), atol=1e-9)
+            pred += np.asarray(tree.value)[leaf]
+    # with runs of a few rows a stride of 2 or more: every edge within its share of ranks
+    monkeypatch.setattr(boosting, "RUN_ROWS", 1 << 40)
+    big = pd.concat([pdf.assign(id=pdf["id"] + i * n) for i in range(40)])
+    wide = CrossValidation(spark.createDataFrame(big).coalesce(2), "id", Layout(["a", "b"], label="y"), 5, 1, 3)
+    booster = boosting.FoldBooster(wide, params, [(0, 0)])
+    rows = wide.w_rows.toPandas()
+    x = np.sort(np.stack(rows["w"])[np.stack(rows["folds"])[:, 0] != 0] @ wide.fit.transforms[0, 0].B[0])
+    edges = booster.edges[0, 0][0]
+    assert len(edges) == params.bins - 1
+    ranks = (np.searchsorted(x, edges, "left") + 1, np.searchsorted(x, edges, "right"))
+    want = np.arange(1, params.bins) / params.bins * len(x)
+    assert (ranks[0] - want <= 2e-4 * len(x)).all() and (want - ranks[1] <= 2e-4 * len(x)).all()
+
+
 def test_every_base_model_beats_baseline_out_of_fold(spark):
     from cadence.operators.crossval import CrossValidation
 
