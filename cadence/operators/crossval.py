@@ -46,7 +46,7 @@ class CrossValidation:
         test = (train if test is train else right_size(test.persist()).persist()) if test is not None else None
         self.train, self.key, self.layout, self.k, self.repeats, self.seed = train, key, layout, k, repeats, seed
         self.test = test
-        self.folds = assign_folds(train, key, layout.label, k, repeats, seed).checkpoint(eager=True)
+        self.folds = assign_folds(train, key, layout.label, k, repeats, seed)      # on a checkpoint of its own
         self.rows = train.join(fold_vectors(self.folds, key, repeats), key).persist()
         shifts = global_shifts(train, layout, None if test is train else test)
         self.fit: FoldFit = fit_folds(train, self.folds, key, layout, k, repeats, n_components, rows=self.rows, shifts=shifts)

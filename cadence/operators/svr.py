@@ -14,6 +14,7 @@ Rows are read as they are: a row counts in the folds that it trains, without a c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,10 +29,36 @@ FIRST_WIDTH, SHRINK = 1.0, 4.0
 LEAST_DAMPING, MOST_DAMPING = 1e-6, 10.0   # added to the Hessian, times C and the rows
 
 
+ROWS = 1024  # rows whose features are made at a time: they stay in a core's cache
+_SINE = [(-1) ** k * (2 * math.pi) ** (2 * k + 1) / math.factorial(2 * k + 1) for k in range(10)]   # of 2 pi s, for |s| <= 1/4
+
+
+def cosine_of_turns(t: np.ndarray) -> np.ndarray:
+    """cos(2 pi t) to double precision, in whole-array steps (many times faster than numpy's cosine of doubles); overwrites ``t``."""
+    t -= np.rint(t)
+    np.abs(t, out=t)
+    np.subtract(0.25, t, out=t)
+    u = t * t
+    out = u * _SINE[-1]
+    for c in _SINE[-2:0:-1]:
+        out += c
+        out *= u
+    out += _SINE[0]
+    out *= t
+    return out
+
+
 def fourier_features(x: np.ndarray, omega: np.ndarray, phase: np.ndarray) -> np.ndarray:
     """sqrt(2 / D) cos(omega x + phase) and a constant."""
-    z = np.sqrt(2.0 / omega.shape[0]) * np.cos(x @ omega.T + phase)
-    return np.hstack([z, np.ones((z.shape[0], 1))])
+    width = omega.shape[0]
+    turns, shift, scale = omega.T / (2 * math.pi), phase / (2 * math.pi), np.sqrt(2.0 / width)
+    z = np.empty((x.shape[0], width + 1))
+    for lo in range(0, x.shape[0], ROWS):
+        t = x[lo:lo + ROWS] @ turns
+        t += shift
+        np.multiply(cosine_of_turns(t), scale, out=z[lo:lo + ROWS, :-1])
+    z[:, -1] = 1.0
+    return z
 
 
 def _pass(rows: DataFrame, projections: dict, active: list[tuple], part: Callable, width: int) -> dict[tuple, np.ndarray]:
@@ -47,10 +74,11 @@ def _pass(rows: DataFrame, projections: dict, active: list[tuple], part: Callabl
             folds = b.column("folds").flatten().to_numpy().reshape(len(b), -1)
             y = b.column("y").to_numpy()
             for rf in active:
-                own = np.ones(len(b), bool) if rf[0] == FULL else folds[:, rf[0]] != rf[1]
-                if own.any():
-                    B, omega, phase = projections[rf][:3]
-                    acc[rf] += part(rf, fourier_features(w[own] @ B.T, omega, phase), y[own])
+                own = np.arange(len(b)) if rf[0] == FULL else np.flatnonzero(folds[:, rf[0]] != rf[1])
+                B, omega, phase = projections[rf][:3]
+                for lo in range(0, len(own), ROWS):
+                    at = own[lo:lo + ROWS]
+                    acc[rf] += part(rf, fourier_features(w[at] @ B.T, omega, phase), y[at])
         out = [(*rf, i, v[i * BLOCK:(i + 1) * BLOCK]) for rf, v in acc.items() for i in range(blocks)]
         yield pa.RecordBatch.from_arrays([*[pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], pa.array([o[2] for o in out], pa.int32()),
                                           pa.array([o[3] for o in out], pa.list_(pa.float64()))], ["repeat", "fold", "_block", "_v"])

@@ -362,6 +362,18 @@ def test_histogram_booster_reads_rows_once_a_level(spark, monkeypatch):
     assert (ranks[0] - want <= 2e-4 * len(x)).all() and (want - ranks[1] <= 2e-4 * len(x)).all()
 
 
+def test_fourier_features_are_exact_cosines():
+    from cadence.operators.svr import ROWS, cosine_of_turns, fourier_features
+
+    t = np.concatenate([np.linspace(-3, 3, 4001), [0.25, -0.25, 0.5, 0.75, 1e6 + 0.125]])
+    assert np.abs(cosine_of_turns(t.copy()) - np.cos(2 * np.pi * (t - np.rint(t)))).max() < 1e-14
+    rng = np.random.default_rng(1)
+    x, omega, phase = rng.normal(size=(2 * ROWS + 7, 3)), rng.normal(size=(16, 3)), rng.uniform(0, 6, 16)
+    want = np.hstack([np.sqrt(2 / 16) * np.cos(x @ omega.T + phase), np.ones((len(x), 1))])
+    assert np.abs(fourier_features(x, omega, phase) - want).max() < 1e-13
+    assert fourier_features(x[:0], omega, phase).shape == (0, 17)
+
+
 def test_every_base_model_beats_baseline_out_of_fold(spark):
     from cadence.operators.crossval import CrossValidation
 
