@@ -5,15 +5,17 @@
 2. Pages are ranged by (host, path, id); neighbours of equal content (all lines but boilerplate) are one run. A run's
    pair is the neighbour run within its host that shares the longer path prefix. Runs are numbered over range
    partitions, so a host with a third of all pages spans many tasks, and pairs meet by an equi-join on the number.
-3. The lines of a page and of its pair are aligned by longest common subsequence (of line hashes: only these travel to
-   the pair, so page texts are never shuffled). Shared open lines are template and go. Lines inside an article
-   element stay even if shared (the same story under two URLs is still its text), so the alignment is run where it can
-   decide: for pages without one. If all open lines are shared the page is a copy within its pair, and the nearest run
-   of the host that lacks some of them is its pair instead; nothing goes only where the host has no such run.
-4. A page's text is its article lines; where it has no article (or main) element, the open lines that are left.
+3. The lines of every page and of its pair are aligned by longest common subsequence (of line hashes: only these travel
+   to the pair, so article texts are never shuffled). Without an article, shared open lines are template and go. If all
+   open lines are shared the page is a copy within its pair, and the nearest run of the host that lacks some of them is
+   its pair instead; nothing goes only where the host has no such run.
+4. A line inside an article element is template only if the pair and all other runs near it (four on either side, all with
+   an article) share it and each tells another story, that is, shares less than half of the page's article lines. One pair
+   is no proof there: a story under two URLs and a sentence that several stories quote are text.
+5. A page's text is its article lines that are left; where it has no article (or main) element, its open lines that are left.
 
 Differencing alone cannot give the contract's text (menus and adverts that differ from page to page are not shared, and
-copies of an article are), hence the element rules beside it.
+copies of an article are), hence the element rules beside it. Of a page with an article, what lies outside is never text.
 
 Edge cases: NULL html is empty and gives empty text; a NULL or odd url has the empty host or path and pairs with its like;
 tags cut off at the end of a page are dropped; unclosed elements end with their parent; repeated pages pair with each other;
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.llm.common import written
+from cadence.operators.joins import broadcast_if_small
 from cadence.session import shuffle_partitions
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</?\Z", re.S)
@@ -46,6 +49,7 @@ CONTAINER = {"article", "main"}
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|"
                    r"sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|site-header|page-header|comments?|comment-list|disqus|related|share|sharing|social|"
                    r"popup|modal|paywall|skip-link)(?:$|[\s_-])", re.I)
+AROUND = 4  # runs on either side that must share a line of an article
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 
 
@@ -150,16 +154,16 @@ def kept_lines(marks: str, hashes: list[bytes], pair: list[bytes]) -> bytes | No
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: its article text, or its lines and their marks where it has no article; the hashes of all its lines;
+    """Per page: its article lines, or all its lines where it has no article; the marks and hashes of all its lines;
     and a digest of those that are not boilerplate."""
     for batch in batches:
         texts, lines, marks, hashes, contents = [], [], [], [], []
         for page in batch.column("html").to_pylist():
             own = page_lines(page)
             article = [x[1:] for x in own if x[0] == "a"]
-            texts.append(" ".join(article) if article else None)
+            texts.append("\n".join(article) if article else None)
             lines.append(None if article else "\n".join(own))
-            marks.append(None if article else "".join(x[0] for x in own))
+            marks.append("".join(x[0] for x in own))
             each = [line_hash(x) for x in own]
             hashes.append(b"".join(each))
             contents.append(hashlib.blake2b(b"".join(h for h, x in zip(each, own) if x[0] != "x"), digest_size=16).digest())
@@ -175,6 +179,47 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("run"), batch.column("rank"), pa.array(out, pa.binary())], ["run", "rank", "keep"])
 
 
+def shared_article_lines(marks: str, hashes: list[bytes], other: list[bytes]) -> bytes | None:
+    """One byte per article line of a page: 1 if it is aligned with a line of ``other``. None if ``other`` tells the same story."""
+    shared = common_lines(hashes, other)
+    own = bytes(i in shared for i, mark in enumerate(marks) if mark == "a")
+    return own if 2 * sum(own) < len(own) else None
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for marks, own, pair in zip(*(batch.column(c).to_pylist() for c in ("marks", "hashes", "pair_hashes"))):
+            out.append(shared_article_lines(marks, [own[i:i + 8] for i in range(0, len(own), 8)], [pair[i:i + 8] for i in range(0, len(pair), 8)]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("run", "host", "marks", "hashes", "back")), pa.array(out, pa.binary())], ["run", "host", "marks", "hashes", "back", "shared"])
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Article lines but those that every run around shares."""
+    for batch in batches:
+        out = []
+        for lines, shared in zip(batch.column("text").to_pylist(), batch.column("shared").to_pylist()):
+            out.append(" ".join(x for x, *gone in zip(lines.split("\n"), *shared) if not all(gone)))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+
+def template_in_articles(near: DataFrame, pairs: DataFrame) -> DataFrame:
+    """run, shared (a mask of its article lines for each of the ``2 * AROUND`` runs around it) of runs that share article lines with their pair
+    and whose neighbours all tell another story."""
+    kinds = "run long, host string, marks string, hashes binary, back int, shared binary"
+    arts, pairs = near.where(F.col("marks").contains("a")), pairs.where("pair_article")
+
+    def compared(asked: DataFrame) -> DataFrame:
+        return asked.join(pairs, "pair").where("host = pair_host").select("run", "host", "marks", "hashes", "back", "pair_hashes").mapInArrow(_compare, kinds)
+
+    first = compared(arts.withColumn("pair", F.col("run") + F.when(F.col("back") == 1, -1).otherwise(1))).where(F.col("shared").isNotNull() & F.hex("shared").contains("01"))
+    first = written(first, "op10-suspect")
+    beyond = F.array(F.when(F.col("back") == 1, 1).otherwise(-1), *[F.lit(side * n) for n in range(2, AROUND + 1) for side in (-1, 1)])
+    others = compared(first.drop("shared").withColumn("step", F.explode(beyond)).select("*", (F.col("run") + F.col("step")).alias("pair")))
+    rest = others.groupBy("run").agg(F.collect_list("shared").alias("others")).where(F.size("others") == 2 * AROUND - 1)  # of runs that tell the same story nothing is collected
+    return first.select("run", "shared").join(rest, "run").select("run", F.concat(F.array("shared"), "others").alias("shared"))
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Open lines that stay; all of them where no page tells them from the template."""
     for batch in batches:
@@ -232,23 +277,24 @@ def main_texts(pages: DataFrame) -> DataFrame:
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     keys = f"page_id {kinds['page_id']}, url {kinds['url']}"
     parsed = written(pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).mapInArrow(
-        _parse, f"{keys}, text string, lines string, marks string, hashes binary, content binary"), "op10-parsed", "zstd")
+        _parse, f"{keys}, text string, lines string, marks string, hashes binary, content binary").withColumn("row", F.monotonically_increasing_id()), "op10-parsed", "zstd")
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    keyed = parsed.select("page_id", "url", "lines", "marks", "hashes", "content",
+    keyed = parsed.select("row", "page_id", "url", "lines", "marks", "hashes", "content",
                           F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
                           F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"))
     order = ["host", "path", "page_id", "url"]
     ranged = keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(
-        _steps, f"{keys}, lines string, marks string, hashes binary, content binary, host string, path string, k long, new boolean, host_b string, path_b string")
+        _steps, f"row long, {keys}, lines string, marks string, hashes binary, content binary, host string, path string, k long, new boolean, host_b string, path_b string")
     rows = numbered_runs(written(ranged.withColumn("pid", F.spark_partition_id()).withColumn("mid", F.monotonically_increasing_id()), "op10-ranged"))
 
-    # a run without an article is aligned with the nearer of its two neighbour runs, whichever kind that is; where all
+    # a run is aligned with the nearer of its two neighbour runs, whichever kind that is; where it has no article and all
     # its open lines are shared, with the runs at distance 2 to 3, 4 to 7, ... until one lacks some or the host ends
     runs = rows.where("new").select("run", "host", "marks", "hashes", F.when(F.col("host") == F.col("host_b"), shared_prefix("path", "path_b")).otherwise(-1).alias("prefix"))
     after = runs.select((F.col("run") - 1).alias("run"), F.col("prefix").alias("prefix_a"))
-    todo = written(runs.where(F.col("marks").contains("o")).join(after, "run", "left").select(
-        "run", "host", "marks", "hashes", (F.col("prefix") >= F.coalesce("prefix_a", F.lit(-1))).cast("int").alias("back")), "op10-open")
-    pairs = runs.select(F.col("run").alias("pair"), F.col("host").alias("pair_host"), F.col("hashes").alias("pair_hashes"))
+    near = runs.join(after, "run", "left").select("run", "host", "marks", "hashes", (F.col("prefix") >= F.coalesce("prefix_a", F.lit(-1))).cast("int").alias("back"))
+    todo = written(near.where(F.col("marks").contains("o") & ~F.col("marks").contains("a")), "op10-open")
+    pairs = runs.select(F.col("run").alias("pair"), F.col("host").alias("pair_host"), F.col("hashes").alias("pair_hashes"), F.col("marks").contains("a").alias("pair_article"))
+    template = template_in_articles(near, pairs)
     kept = spark.createDataFrame([], "run long, keep binary")
     far = 1
     while not todo.isEmpty():
@@ -262,5 +308,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
         todo = written(todo.join(met.where("best is null").select("run"), "run"), "op10-open")
         far *= 2
     plain = rows.where("lines is not null").select("run", "page_id", "url", "lines").join(kept, "run", "left").select("page_id", "url", "lines", "keep").mapInArrow(_texts, f"{keys}, text string")
-    out = parsed.where("lines is null").select("page_id", "url", "text").union(plain)
+    cut = broadcast_if_small(written(rows.where("lines is null").select("run", "row").join(template, "run").select("row", "shared"), "op10-cut"))
+    articles = parsed.where("lines is null")
+    whole = articles.join(cut, "row", "left_anti").select("page_id", "url", F.translate("text", "\n", " ").alias("text"))
+    rest = articles.join(cut, "row").select("page_id", "url", "text", "shared").mapInArrow(_without, f"{keys}, text string")
+    out = whole.union(rest).union(plain)
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

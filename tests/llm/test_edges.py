@@ -376,6 +376,28 @@ def test_html_heavy_template_and_copies(spark):
                    12: "Copied story told twice", 13: "More 3", 14: "More 4", 15: "More 6", 16: "More 7", 17: "End"}
 
 
+def test_html_template_inside_articles(spark):
+    """A line that a page's article shares with the four runs on either side goes; a quote, a copied story and a small host keep theirs."""
+    page = lambda *own: "<body><div>Chrome</div><article>" + "".join(f"<p>{x}</p>" for x in own) + "</article></body>"
+    share = "Share this story"
+    pages = [(i, f"http://h.example/a/{i}", page(f"Title {i}", share, f"first {i}", f"last {i}")) for i in range(10)]
+    pages[3] = (3, "http://h.example/a/3", page("Title 3", "A quote", share, "first 3", "last 3"))
+    pages[4] = (4, "http://h.example/a/4", page("Title 4", "A quote", share, "first 4", "last 4"))
+    pages += [(30 + i, f"http://copy.example/{i}", page("One story", "told often")) for i in range(10)]
+    pages += [(20 + i, f"http://few.example/{i}", page(f"Title {i}", share, f"end {i}")) for i in range(3)]
+    pages += [(None, None, page("Alone")), (4, "http://h.example/a/4", pages[4][2])]
+    got = html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()
+    text = {r.page_id: r.text for r in got}
+    assert len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got)
+    # the first and last four runs of the host have fewer than four on one side
+    for i in range(10):
+        own = [f"Title {i}", *(["A quote"] if i in (3, 4) else []), *([] if i in (4, 5) else [share]), f"first {i}", f"last {i}"]
+        assert text[i] == " ".join(own)
+    assert [r.text for r in got if r.page_id == 4] == ["Title 4 A quote first 4 last 4"] * 2
+    assert {text[30 + i] for i in range(10)} == {"One story told often"} and text[None] == "Alone"
+    assert [text[20 + i] for i in range(3)] == [f"Title {i} {share} end {i}" for i in range(3)]
+
+
 def test_common_lines():
     assert html_extract.common_lines(list("abcbdab"), list("bdcaba")).__len__() == 4
     assert html_extract.common_lines([], ["a"]) == set() and html_extract.common_lines(["a"], []) == set()
