@@ -441,6 +441,23 @@ def test_token_depths_absent_head_sparse_numbers_and_cycle(spark):
         token_depths(cycle).collect()
 
 
+def test_syntax_features_shuffle_tokens_once_for_counts_and_depths(spark):
+    """No join of two aggregates of the tokens; the depths are those of ``token_depths``; sentences without a key have none."""
+    from cadence.operators.syntax import syntax_features, token_depths
+
+    rows = [(1, 0, 0, 0), (1, 0, 1, 0), (1, 0, 2, 1), (1, 1, 5, None), (2, 0, 3, 3), (2, 0, 9, 3), (2, 0, 11, 9), (2, 0, 12, 11), (None, 0, 0, 0), (None, 0, 1, 0)]
+    toks = spark.createDataFrame([(*r, "Word", "VERB", "nsubj", False, True) for r in rows],
+                                 "doc_id long, sent_no long, tok_no long, head_tok long, text string, pos string, dep string, is_punct boolean, is_alpha boolean")
+    out = syntax_features(toks, vocabulary=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+    got = {r.doc_id: (r.spacy_mean_dep_depth, r.spacy_max_dep_depth) for r in out.collect()}
+    each = {}
+    for r in token_depths(toks).collect():
+        each.setdefault(r.doc_id, []).append(r.depth)
+    assert got == {**{d: (sum(x) / len(x), float(max(x))) for d, x in each.items() if d is not None}, None: (1.0, 1.0)}
+
+
 def test_missing_labels_are_an_error(spark):
     from cadence.operators.crossval import CrossValidation
     from cadence.operators.models import Layout
