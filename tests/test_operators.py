@@ -458,6 +458,29 @@ def test_syntax_features_shuffle_tokens_once_for_counts_and_depths(spark):
     assert got == {**{d: (sum(x) / len(x), float(max(x))) for d, x in each.items() if d is not None}, None: (1.0, 1.0)}
 
 
+def test_cv_stack_scores_every_model_once(spark, monkeypatch):
+    """The stacker and the metrics read the base models' predictions from one scoring."""
+    from types import SimpleNamespace
+
+    from cadence.plans import q_models
+
+    scored = spark.sparkContext.accumulator(0)
+    rows = spark.range(0, 60, 1, 3).selectExpr("id", "id % 5 + 0.5D as y")
+
+    def model(name, k):
+        def run(batches):
+            for b in batches:
+                scored.add(len(b))
+                yield b.assign(pred=b["y"] * k, model=name)[["id", "pred", "model"]]
+        return rows.mapInPandas(run, "id long, pred double, model string")
+
+    cv = SimpleNamespace(ridge=lambda: None, linear_predictions=lambda b, n: (model("ridge", 0.9), None), w_train=rows,
+                         boost=lambda p, rounds: (model("gbt_" + p, 0.8 if p == "a" else 0.7), None, None), rff_svr=lambda: (model("svr", 0.6), None, None))
+    monkeypatch.setattr(q_models, "_cv", lambda spark, d: cv)
+    got = {r.metric: r.value for r in q_models.cv_stack_metrics(spark, "").collect()}
+    assert got["n"] == 60.0 and scored.value == 4 * 60
+
+
 def test_missing_labels_are_an_error(spark):
     from cadence.operators.crossval import CrossValidation
     from cadence.operators.models import Layout
