@@ -9,7 +9,7 @@ from cadence.functions.text import num_words
 from cadence.plans import fixtures as fx
 from cadence.plans.common import big
 from cadence.plans.oracle_fixtures import with_fixtures
-from cadence.session import scratch_path
+from cadence.session import scratch_path, shuffle_partitions
 from cadence.streaming.ingest import ingest_increment, read_store
 
 KEYS = ["split", "filename"]
@@ -22,12 +22,13 @@ def _features(df):
 def r1_incremental_ingest(spark, d):
     f1 = fx.f1_transcripts(spark, d).select(*KEYS, "doc_id", "clean_transcript")
     src = scratch_path(spark, "ingest_src")
-    parts = f1.repartition(4, "doc_id")
+    files = max(4, shuffle_partitions(spark))  # a file is written, and read, by one task
+    parts = f1.repartition(files, "doc_id")
     parts.write.mode("overwrite").parquet(src)
     parts.where(F.col("split") == "train").write.mode("append").parquet(src)  # a re-delivered slice
     store, ckpt = scratch_path(spark, "ingest_store"), scratch_path(spark, "ingest_ckpt")
     schema = spark.read.parquet(src).schema
-    ingest_increment(spark, src, schema, store, ckpt, KEYS, ["doc_id"], _features, files_per_batch=2, buckets=16)
+    ingest_increment(spark, src, schema, store, ckpt, KEYS, ["doc_id"], _features, files_per_batch=files // 2, buckets=16)
     out = read_store(spark, store)
     return out.select(*KEYS, big("doc_id"), big("num_words"))
 

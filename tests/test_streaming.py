@@ -79,3 +79,25 @@ def test_rows_without_a_key_become_error_rows(spark):
     assert sorted(r["x"] for r in bad.collect()) == [2, 3] and "NULL in the key" in bad.first()["error"]
     ingest_batch(store, batch.limit(0), 1, ["x"], lambda df: df)
     assert store.rows().count() == 1
+
+
+def test_delivered_files_follow_the_shuffle_partitions(spark, sf_small, monkeypatch):
+    """R1's source: no file, and so no task, takes a fixed share of the input; the batches stay four."""
+    from cadence.plans import q_stream
+
+    seen = {}
+
+    def ingest(spark, source, schema, store, checkpoint, *rest, **named):
+        files = len(spark.read.parquet(source).inputFiles())
+        seen.update(files=files, batches=ingest_increment(spark, source, schema, store, checkpoint, *rest, **named), per=named["files_per_batch"])
+        return seen["batches"]
+
+    monkeypatch.setattr(q_stream, "ingest_increment", ingest)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = q_stream.r1_incremental_ingest(spark, sf_small)
+        assert got.count() == got.select("doc_id").distinct().count() == fx.f1_transcripts(spark, sf_small).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen["files"] > 8 and seen["per"] == 6 and 3 <= seen["batches"] <= 4
