@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 
 from cadence.operators.folds import FULL, assign_folds, fold_vectors
 from cadence.session import right_size
-from cadence.operators.models import (RIDGE_ALPHA, FoldFit, FoldTransform, Layout, design_features, design_vector, dot, fit_all_rows,
-                                      fit_folds, global_shifts, ridge_weights)
+from cadence.operators.models import (RIDGE_ALPHA, FoldFit, Layout, design_features, design_vector, dot, fit_folds,
+                                      global_shifts, ridge_weights)
 from cadence.operators.svr import fourier_features
 from cadence.operators.trees import fit_grouped_trees
 
@@ -47,47 +46,16 @@ class CrossValidation:
         train = right_size(train.persist()).persist()
         test = (train if test is train else right_size(test.persist()).persist()) if test is not None else None
         self.train, self.key, self.layout, self.k, self.repeats, self.seed = train, key, layout, k, repeats, seed
-        self.test, self.n_components = test, n_components
-        self.shifts = global_shifts(train, layout, None if test is train else test)
+        self.test = test
+        self.folds = assign_folds(train, key, layout.label, k, repeats, seed)      # on a checkpoint of its own
+        self.rows = train.join(fold_vectors(self.folds, key, repeats), key).persist()
+        shifts = global_shifts(train, layout, None if test is train else test)
+        self.fit: FoldFit = fit_folds(train, self.folds, key, layout, k, repeats, n_components, rows=self.rows, shifts=shifts)
+        self.w_rows = self.rows.select(key, "folds", F.col(layout.label).cast("double").alias("y"), design_vector(layout, shifts).alias("w"))
+        self.w_train = self.w_rows.drop("folds")
         self.w_test = None
         if test is not None:
-            self.w_test = test.select(key, design_vector(layout, self.shifts, with_label=False).alias("w"))
-
-    # Folds and what is fitted on them are worked out when first asked for; a refit on all rows needs none.
-    @cached_property
-    def folds(self) -> DataFrame:
-        return assign_folds(self.train, self.key, self.layout.label, self.k, self.repeats, self.seed)      # on a checkpoint of its own
-
-    @cached_property
-    def rows(self) -> DataFrame:
-        return self.train.join(fold_vectors(self.folds, self.key, self.repeats), self.key).persist()
-
-    @cached_property
-    def fit(self) -> FoldFit:
-        return fit_folds(self.train, self.folds, self.key, self.layout, self.k, self.repeats, self.n_components, rows=self.rows, shifts=self.shifts)
-
-    @cached_property
-    def w_rows(self) -> DataFrame:
-        return self._design(self.rows, "folds")
-
-    @cached_property
-    def w_train(self) -> DataFrame:
-        return self.w_rows.drop("folds")
-
-    @cached_property
-    def w_full(self) -> DataFrame:
-        """The rows of ``w_train`` (those with a key) without their folds having been assigned."""
-        return self._design(self.train.where(F.col(self.key).isNotNull()))
-
-    @cached_property
-    def full(self) -> FoldTransform:
-        """Preprocessing of all training rows, from the folds' sums if there are any."""
-        if "fit" in self.__dict__:
-            return self.fit.transforms[(FULL, FULL)]
-        return fit_all_rows(self.train.where(F.col(self.key).isNotNull()), self.layout, self.shifts, self.n_components)
-
-    def _design(self, df: DataFrame, *more: str) -> DataFrame:
-        return df.select(self.key, *more, F.col(self.layout.label).cast("double").alias("y"), design_vector(self.layout, self.shifts).alias("w"))
+            self.w_test = test.select(key, design_vector(layout, shifts, with_label=False).alias("w"))
 
     @property
     def frame(self) -> DataFrame:
@@ -96,7 +64,7 @@ class CrossValidation:
 
     def release(self) -> None:
         """Drop the kept copies; frames made from this object are computed anew if read later."""
-        for df in (self.__dict__.get("rows"), self.train, self.test):
+        for df in (self.rows, self.train, self.test):
             if df is not None:
                 df.unpersist()
 
@@ -161,7 +129,7 @@ class CrossValidation:
     def _features(self, df: DataFrame, rf: tuple) -> DataFrame:
         from pyspark.ml.functions import array_to_vector
 
-        t = self.full if rf[0] == FULL else self.fit.transforms[rf]
+        t = self.fit.transforms[rf]
         return design_features(df, "w", t.B, "_d").withColumn("features", array_to_vector("_d")).drop("_d")
 
     def _split(self, rf: tuple) -> tuple[DataFrame, DataFrame | None]:
@@ -173,7 +141,9 @@ class CrossValidation:
         return tr, va
 
     def gbt(self, profile: str = "a", rounds: int | None = None, threads: int = 4, include_full: bool = False):
-        """Boosted regression trees per fold (Spark ML, level-wise, on groups of rows); returns (oof, test, full_model)."""
+        """Boosted regression trees per fold (Spark ML, level-wise); returns (oof, test, full_model)."""
+        from pyspark.ml.regression import GBTRegressor
+
         params = dict(GBT_PROFILES[profile])
         if rounds is not None:
             params["maxIter"] = rounds
@@ -181,9 +151,9 @@ class CrossValidation:
 
         def fit_one(rf):
             tr, va = self._split(rf)
-            own = self._features(tr, rf).select("features", "y").persist()
+            own = self._features(tr, rf).select("features", "y").persist()     # a fit reads its rows several times before it keeps them
             try:
-                model = fit_grouped_trees(own, params)
+                model = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="pred", **params).fit(own)
             finally:
                 own.unpersist()
             val = model.transform(self._features(va, rf)).select(self.key, "pred") if va is not None else None
@@ -199,7 +169,7 @@ class CrossValidation:
     def gbt_refit(self, profile: str = "a", rounds: int | None = None):
         """V15 of the boosted trees alone: the Spark ML model of all training rows, fitted on groups of them."""
         params = dict(GBT_PROFILES[profile]) | ({} if rounds is None else {"maxIter": rounds})
-        rows = self._features(self.w_full, (FULL, FULL)).select("features", "y").persist()      # read for thresholds and groups
+        rows = self._features(self.w_train, (FULL, FULL)).select("features", "y").persist()      # read for thresholds and groups
         try:
             return fit_grouped_trees(rows, params)
         finally:

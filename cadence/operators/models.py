@@ -270,15 +270,6 @@ def fit_folds(df: DataFrame, folds: DataFrame, key: str, layout: Layout, k: int,
     return fit
 
 
-def fit_all_rows(rows: DataFrame, layout: Layout, shifts: Shifts, n_components: int = PCA_COMPONENTS) -> FoldTransform:
-    """The preprocessing of all rows alone, as ``fit_folds`` has it under (FULL, FULL): one Gram pass and the medians, no folds."""
-    rows = rows.withColumn("folds", F.array(F.lit(0)))
-    need = [c for c in layout.features if shifts.has_missing.get(c)]
-    G = fold_grams(rows.select("folds", design_vector(layout, shifts).alias("w")), 1, 1, layout.d)[0, 0]
-    medians = {c: v for (r, _, c), v in training_medians(rows, need, 1, 1).items() if r == FULL}
-    return fit_transform(G, layout, shifts, medians, FULL, FULL, n_components)
-
-
 def design_features(df: DataFrame, w_col: str, B: np.ndarray, out: str = "features") -> DataFrame:
     """``B @ w`` per row on Arrow batches (used by the tree and kernel models, which need the columns)."""
     Bt = B.T.copy()

@@ -1,4 +1,4 @@
-"""Spark ML's boosted trees fitted on groups of rows that no split can tell apart.
+"""Spark ML's boosted trees fitted on groups of rows that no split can tell apart.
 
 A tree of Spark ML splits a feature at one of at most 31 thresholds, so rows whose features fall between the same thresholds go to
 the same leaf of every tree. Squared loss needs of such a group its number of rows and its mean label only: the spread of the labels inside is
@@ -25,25 +25,20 @@ MOST_DEPTH = 30  # of Spark ML's trees
 
 
 def feature_thresholds(rows: DataFrame, n_features: int, seed: int) -> list[list[float]]:
-    """Every feature's thresholds as Spark ML picks them: the splits of a tree that is fitted to the feature itself, on its distinct
-    values weighted by their rows. Spark ML looks at all values up to 10,000 and at a sample of so many beyond, as it does of rows."""
-    values = rows.select(F.posexplode(vector_to_array("features")).alias("j", "x")).groupBy("j", "x").agg(F.count(F.lit(1)).cast("double").alias("n")).persist()
-    try:
-        found = dict(values.groupBy("j").count().collect())
-        out = []
-        for j in range(n_features):
-            one = values.where(F.col("j") == j).select(array_to_vector(F.array("x")).alias("features"), "x", "n")
-            tree = DecisionTreeRegressor(maxDepth=MOST_DEPTH, seed=seed, labelCol="x", weightCol="n").fit(right_size(one, found[j]))
-            nodes, cuts = [tree._java_obj.rootNode()], []
-            while nodes:
-                node = nodes.pop()
-                if node.getClass().getSimpleName() == "InternalNode":
-                    cuts.append(float(node.split().threshold()))
-                    nodes += [node.leftChild(), node.rightChild()]
-            out.append(sorted(cuts))
-        return out
-    finally:
-        values.unpersist()
+    """Every feature's thresholds as Spark ML picks them from these rows with this seed: the splits of a tree of the feature alone
+    that is fitted to the feature itself, which parts the rows wherever it may. One feature at a time, as a fit keeps its rows."""
+    out = []
+    for j in range(n_features):
+        x = vector_to_array("features")[j]
+        tree = DecisionTreeRegressor(maxDepth=MOST_DEPTH, seed=seed).fit(rows.select(array_to_vector(F.array(x)).alias("features"), x.alias("label")))
+        nodes, cuts = [tree._java_obj.rootNode()], []
+        while nodes:
+            node = nodes.pop()
+            if node.getClass().getSimpleName() == "InternalNode":
+                cuts.append(float(node.split().threshold()))
+                nodes += [node.leftChild(), node.rightChild()]
+        out.append(sorted(cuts))
+    return out
 
 
 class GroupedTrees:
@@ -79,7 +74,7 @@ def with_bins(df: DataFrame, thresholds: Sequence[Sequence[float]]) -> DataFrame
 
 
 def fit_grouped_trees(rows: DataFrame, params: dict) -> GroupedTrees:
-    """``GBTRegressor`` with ``params`` on rows (features, y), which are read three times (keep them)."""
+    """``GBTRegressor`` with ``params`` on rows (features, y), which are read some times per feature (keep them)."""
     n_features = len(rows.first()["features"])
     thresholds = feature_thresholds(rows, n_features, params["seed"])
     groups = with_bins(rows, thresholds).groupBy("_bins").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("y").alias("y")).persist()
