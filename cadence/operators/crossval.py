@@ -53,6 +53,7 @@ class CrossValidation:
         self.fit: FoldFit = fit_folds(train, self.folds, key, layout, k, repeats, n_components, rows=self.rows, shifts=shifts)
         self.w_rows = self.rows.select(key, "folds", F.col(layout.label).cast("double").alias("y"), design_vector(layout, shifts).alias("w"))
         self.w_train = self.w_rows.drop("folds")
+        self.binned, self.boosted = {}, {}      # see boost
         self.w_test = None
         if test is not None:
             self.w_test = test.select(key, design_vector(layout, shifts, with_label=False).alias("w"))
@@ -67,6 +68,12 @@ class CrossValidation:
         for df in (self.rows, self.train, self.test):
             if df is not None:
                 df.unpersist()
+        self.release_bins()
+
+    def release_bins(self) -> None:
+        """Drop the groups of rows that boosting keeps until every profile is fitted; another profile makes them anew."""
+        for own in self.binned.values():
+            own.release()
 
     # -- linear ---------------------------------------------------------------------------------------
     def linear_predictions(self, betas: dict[tuple, np.ndarray], name: str) -> tuple[DataFrame, DataFrame | None]:
@@ -107,7 +114,7 @@ class CrossValidation:
     def boost(self, profile: str = "a", rounds: int | None = None, include_full: bool = False, bins: int | None = None):
         """Histogram boosting of every fold model at once (see :mod:`cadence.operators.boosting`);
         returns (oof, test, full_model)."""
-        from cadence.operators.boosting import PROFILES, FoldBooster, score_models
+        from cadence.operators.boosting import PROFILES, FoldBins, FoldBooster, score_models
 
         params = PROFILES[profile]
         if rounds is not None:
@@ -115,7 +122,13 @@ class CrossValidation:
         if bins is not None:
             params = replace(params, bins=bins)
         keys = self.fit.fold_keys(include_full=include_full)
-        models = FoldBooster(self, params, keys).fit()
+        at = (params.bins, *keys)
+        if at not in self.binned:           # kept for the other profile
+            self.binned[at] = FoldBins(self, params.bins, keys)
+        models = FoldBooster(self, params, keys, binned=self.binned[at]).fit()
+        self.boosted.setdefault(at, set()).add(profile)
+        if self.boosted[at] == set(PROFILES):
+            self.release_bins()
         name = "gbt_" + profile
         cvm = {rf: m for rf, m in models.items() if rf[0] != FULL}
         oof = score_models(self.w_rows, self.key, cvm, self.fit.transforms, True) \

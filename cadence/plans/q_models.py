@@ -129,13 +129,15 @@ def v12_ridge_test_average(spark, d):
 
 def v8_gbt_profile_a(spark, d):
     cv = _cv(spark, d)
-    oof, _, _ = cv.boost("a", rounds=DRIVER_GBT_ROUNDS)
+    oof, _, _ = cv.boost("a")
+    cv.release_bins()
     return oof.select(big("id"), r6("pred"))
 
 
 def v9_gbt_profile_b(spark, d):
     cv = _cv(spark, d)
     oof, _, _ = cv.boost("b", rounds=DRIVER_GBT_ROUNDS)
+    cv.release_bins()
     return oof.select(big("id"), r6("pred"))
 
 

@@ -892,3 +892,40 @@ def test_acceptability_hashes_its_rows_once(spark):
     rows = spark.range(40).repartition(4).select(text("id").alias("t"), (F.col("id") % 2).cast("double").alias("ok"))
     SC.acceptability_fit(rows.where("ok >= 0"), "t", "ok", num_features=1 << 8)
     assert seen.value <= 80       # once for the null check, once for the text
+
+
+def _boosted_rows(spark, n=4000):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"id": np.arange(n), "a": rng.integers(0, 40, n) / 3, "b": rng.integers(0, 9, n).astype(float), "c": rng.normal(size=n).round(1)})
+    pdf["y"] = np.sin(pdf["a"]) + 0.3 * pdf["b"] * (pdf["c"] > 0) + 0.1 * rng.normal(size=n)
+    return spark.createDataFrame(pdf)
+
+
+def test_boosting_in_tasks_equals_boosting_in_passes(spark, monkeypatch):
+    """Groups that fit a task are boosted there, in one job for all rounds, with the trees of the passes; a fold's trees don't depend on the others."""
+    from dataclasses import replace
+
+    from cadence.operators import boosting
+    from cadence.operators.crossval import CrossValidation
+
+    cv = CrossValidation(_boosted_rows(spark), "id", Layout(["a", "b", "c"], label="y"), 3, 1, 3)
+    passes = []
+    real = boosting.FoldBooster._pass
+    monkeypatch.setattr(boosting.FoldBooster, "_pass", lambda self, asked: passes.append(1) or real(self, asked))
+    for profile in ("a", "b"):
+        params, keys = replace(boosting.PROFILES[profile], rounds=12), cv.fit.fold_keys(include_full=True)
+        binned = boosting.FoldBins(cv, params.bins, keys)
+        here = boosting.FoldBooster(cv, params, keys, binned=binned).fit()
+        assert not passes
+        monkeypatch.setattr(boosting, "FIT_BYTES", 0)
+        there = boosting.FoldBooster(cv, params, keys, binned=binned, checkpoint_every=5).fit()
+        alone = boosting.FoldBooster(cv, params, keys[:1]).fit()
+        monkeypatch.setattr(boosting, "FIT_BYTES", 1 << 30)
+        assert passes
+        passes.clear()
+        for a, b in [(here[rf].trees, there[rf].trees) for rf in keys] + [(here[keys[0]].trees, alone[keys[0]].trees)]:
+            for s, t in zip(a, b, strict=True):
+                assert (s.feature, s.bin, s.left, s.count) == (t.feature, t.bin, t.left, t.count) and np.allclose(s.value, t.value, atol=1e-12)
+        groups, _ = binned.groups
+        m, n = groups.select("slot", "m", "n").toPandas().assign(n=lambda x: x["n"].map(lambda v: np.frombuffer(v).sum())).groupby("slot")[["m", "n"]].sum().to_numpy().T
+        assert (n == [cv.fit.transforms[rf].n for rf in keys]).all() and (m < n).all()
