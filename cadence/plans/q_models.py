@@ -136,7 +136,7 @@ def v8_gbt_profile_a(spark, d):
 
 def v9_gbt_profile_b(spark, d):
     cv = _cv(spark, d)
-    oof, _, _ = cv.boost("b", rounds=DRIVER_GBT_ROUNDS)
+    oof, _, _ = cv.boost("b")
     cv.release_bins()
     return oof.select(big("id"), r6("pred"))
 
