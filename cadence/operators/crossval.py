@@ -23,7 +23,7 @@ from cadence.session import right_size
 from cadence.operators.models import (RIDGE_ALPHA, FoldFit, Layout, design_features, design_vector, dot, fit_folds,
                                       global_shifts, ridge_weights)
 from cadence.operators.svr import fourier_features
-from cadence.operators.trees import fit_grouped_trees
+from cadence.operators.trees import fit_grouped_trees, fit_groups, group_rows
 
 # Boosted-tree profiles of the reference (rounds, learning rate, depth, min rows per leaf).
 GBT_PROFILES = {
@@ -154,9 +154,8 @@ class CrossValidation:
         return tr, va
 
     def gbt(self, profile: str = "a", rounds: int | None = None, threads: int = 4, include_full: bool = False):
-        """Boosted regression trees per fold (Spark ML, level-wise); returns (oof, test, full_model)."""
-        from pyspark.ml.regression import GBTRegressor
-
+        """Boosted regression trees per fold (Spark ML, level-wise), each fitted on groups of its rows (see
+        :mod:`cadence.operators.trees`); returns (oof, test, full_model)."""
         params = dict(GBT_PROFILES[profile])
         if rounds is not None:
             params["maxIter"] = rounds
@@ -164,11 +163,12 @@ class CrossValidation:
 
         def fit_one(rf):
             tr, va = self._split(rf)
-            own = self._features(tr, rf).select("features", "y").persist()     # a fit reads its rows several times before it keeps them
+            own = self._features(tr, rf).select("features", "y").persist()     # read for thresholds and groups
             try:
-                model = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="pred", **params).fit(own)
+                grouped = group_rows(own, params)
             finally:
                 own.unpersist()
+            model = fit_groups(*grouped, params)
             val = model.transform(self._features(va, rf)).select(self.key, "pred") if va is not None else None
             tst = (model.transform(self._features(self.w_test, rf)).select(self.key, "pred")
                    if self.w_test is not None and rf[0] != FULL else None)

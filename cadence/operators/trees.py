@@ -3,7 +3,7 @@
 A tree of Spark ML splits a feature at one of at most 31 thresholds, so rows whose features fall between the same thresholds go to
 the same leaf of every tree. Squared loss needs of such a group its number of rows and its mean label only: the spread of the labels inside is
 the same on both sides of every split and leaves the gains as they are. The many passes of a fit then read the groups; the rows are read for
-the thresholds and the grouping. Where few rows fall together there are as many groups as rows, and the fit is the plain one.
+the thresholds (twice for all features) and the grouping. Where few rows fall together there are as many groups as rows, and the fit is the plain one.
 """
 
 from __future__ import annotations
@@ -14,31 +14,27 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.explain import tree_tables
-from cadence.session import right_size
 
-MOST_DEPTH = 30  # of Spark ML's trees
+GROUPS_PER_TASK = 50_000  # of a fit, whose passes are many
 
 
-def feature_thresholds(rows: DataFrame, n_features: int, seed: int) -> list[list[float]]:
-    """Every feature's thresholds as Spark ML picks them from these rows with this seed: the splits of a tree of the feature alone
-    that is fitted to the feature itself, which parts the rows wherever it may. One feature at a time, as a fit keeps its rows."""
-    out = []
-    for j in range(n_features):
-        x = vector_to_array("features")[j]
-        tree = DecisionTreeRegressor(maxDepth=MOST_DEPTH, seed=seed).fit(rows.select(array_to_vector(F.array(x)).alias("features"), x.alias("label")))
-        nodes, cuts = [tree._java_obj.rootNode()], []
-        while nodes:
-            node = nodes.pop()
-            if node.getClass().getSimpleName() == "InternalNode":
-                cuts.append(float(node.split().threshold()))
-                nodes += [node.leftChild(), node.rightChild()]
-        out.append(sorted(cuts))
-    return out
+def feature_thresholds(rows: DataFrame, params: dict) -> list[list[float]]:
+    """Every feature's thresholds as Spark ML picks them from these rows with this seed: what its trees' own search for splits returns."""
+    jvm = rows.sparkSession.sparkContext._jvm
+    ml, tree = jvm.org.apache.spark.ml, jvm.org.apache.spark.ml.tree.impl
+    own = lambda package, name: getattr(getattr(package, name + "$"), "MODULE$")  # noqa: E731  a Scala object
+    gbt = GBTRegressor(featuresCol="features", labelCol="y", **params)
+    gbt._transfer_params_to_java()
+    instances = own(ml.util, "DatasetUtils").extractInstances(gbt._java_obj, rows._jdf, jvm.scala.Option.empty())
+    strategy = jvm.org.apache.spark.mllib.tree.configuration.Strategy.defaultStrategy("Regression")
+    metadata = own(tree, "DecisionTreeMetadata").buildMetadata(instances, strategy, 1, "all")
+    found = own(tree, "RandomForest").findSplits(instances, metadata, params["seed"])
+    return [[float(split.threshold()) for split in feature] for feature in found]
 
 
 class GroupedTrees:
@@ -75,18 +71,25 @@ def with_bins(df: DataFrame, thresholds: Sequence[Sequence[float]]) -> DataFrame
 
 def fit_grouped_trees(rows: DataFrame, params: dict) -> GroupedTrees:
     """``GBTRegressor`` with ``params`` on rows (features, y), which are read some times per feature (keep them)."""
-    n_features = len(rows.first()["features"])
-    thresholds = feature_thresholds(rows, n_features, params["seed"])
+    return fit_groups(*group_rows(rows, params), params)
+
+
+def group_rows(rows: DataFrame, params: dict) -> tuple[DataFrame, int, float, list[list[float]]]:
+    """(groups, kept and counted; how many; rows in them; thresholds)"""
+    thresholds = feature_thresholds(rows, params)
     groups = with_bins(rows, thresholds).groupBy("_bins").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("y").alias("y")).persist()
+    return groups, *groups.agg(F.count(F.lit(1)), F.sum("n")).first(), thresholds
+
+
+def fit_groups(groups: DataFrame, n_groups: int, n: float, thresholds: list[list[float]], params: dict) -> GroupedTrees:
     try:
-        n_groups, n = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
         few = params["minInstancesPerNode"]                  # counts rows; a fit on groups sees them as weight
         fitted = dict(params) | {"minInstancesPerNode": 1}
         if few > 1:
             fitted |= {"minWeightFractionPerNode": (few - 0.5) / n} if n >= 2 * few else {"maxDepth": 0}
         # every group is looked at for the splits between bins (Spark ML samples more rows than the square of this)
         fitted["maxBins"] = max(32, math.isqrt(n_groups) + 1)
-        data = right_size(groups.select(array_to_vector("_bins").alias("features"), "n", "y"), n_groups).persist()
+        data = groups.select(array_to_vector("_bins").alias("features"), "n", "y").coalesce(max(1, math.ceil(n_groups / GROUPS_PER_TASK))).persist()
         try:
             model = GBTRegressor(featuresCol="features", labelCol="y", weightCol="n", predictionCol="pred", **fitted).fit(data)
         finally:

@@ -929,3 +929,41 @@ def test_boosting_in_tasks_equals_boosting_in_passes(spark, monkeypatch):
         groups, _ = binned.groups
         m, n = groups.select("slot", "m", "n").toPandas().assign(n=lambda x: x["n"].map(lambda v: np.frombuffer(v).sum())).groupby("slot")[["m", "n"]].sum().to_numpy().T
         assert (n == [cv.fit.transforms[rf].n for rf in keys]).all() and (m < n).all()
+
+
+def test_queries_boost_all_rounds(spark, monkeypatch):
+    """The registered boosting queries run the reference's rounds (120 and 100)."""
+    from cadence.operators import crossval
+    from cadence.operators.boosting import BoostedModel, FoldBooster
+    from cadence.operators.crossval import CrossValidation
+    from cadence.plans import q_models
+
+    cv = CrossValidation(_boosted_rows(spark, 400), "id", Layout(["a", "b", "c"], label="y"), 2, 1, 3)
+    monkeypatch.setattr(q_models, "_cv", lambda spark, d: cv)
+    rounds = []
+    monkeypatch.setattr(FoldBooster, "fit", lambda self: rounds.append(self.p.rounds) or {rf: BoostedModel(0.0, [], 3) for rf in self.keys})
+    q_models.v8_gbt_profile_a(spark, "")
+    q_models.v9_gbt_profile_b(spark, "")
+    q_models.cv_stack_metrics(spark, "")
+    assert rounds == [120, 100, 120, 100]
+    fitted = []
+    real = crossval.fit_groups
+    monkeypatch.setattr(crossval, "fit_groups", lambda *a: fitted.append(real(*a)) or fitted[-1])
+    assert q_models.v8_spark_ml_gbt(spark, "").count() == 400
+    assert [len(m.trees) for m in fitted] == [120, 120]
+
+
+def test_spark_ml_folds_are_the_plain_fits(spark):
+    """Spark ML's trees per fold, fitted on groups of its rows, predict what a plain fit of the fold's rows does."""
+    from pyspark.ml.regression import GBTRegressor
+
+    from cadence.operators.crossval import GBT_PROFILES, CrossValidation
+
+    cv = CrossValidation(_boosted_rows(spark, 1500), "id", Layout(["a", "b", "c"], label="y"), 2, 1, 3)
+    got = {r.id: r.pred for r in cv.gbt("a", rounds=4)[0].collect()}
+    for rf in cv.fit.fold_keys():
+        tr, va = cv._split(rf)
+        own = cv._features(tr, rf).select("features", "y").persist()
+        plain = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="pred", **(GBT_PROFILES["a"] | {"maxIter": 4})).fit(own)
+        for r in plain.transform(cv._features(va, rf)).select("id", "pred").collect():
+            assert abs(got[r.id] - r.pred) < 1e-9
