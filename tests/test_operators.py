@@ -953,6 +953,24 @@ def test_queries_boost_all_rounds(spark, monkeypatch):
     assert [len(m.trees) for m in fitted] == [120, 120]
 
 
+def test_scoring_run_takes_all_rounds_and_dimensions(spark, monkeypatch):
+    from cadence.plans import q_models, scoring_run
+
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def seen(table, key, label, features, views, emb_col, emb_dim, **more):
+        asked.append((emb_dim, len(table.first()[emb_col]), more.get("gbt_rounds")))
+        raise Stop
+
+    monkeypatch.setattr(scoring_run, "run_scoring", seen)
+    with pytest.raises(Stop):
+        q_models.scoring_run_documents(spark, "/root/testdata/sf0.001")
+    assert asked == [(384, 384, None)]
+
+
 def test_spark_ml_folds_are_the_plain_fits(spark):
     """Spark ML's trees per fold, fitted on groups of its rows, predict what a plain fit of the fold's rows does."""
     from pyspark.ml.regression import GBTRegressor
