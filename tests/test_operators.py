@@ -985,3 +985,20 @@ def test_spark_ml_folds_are_the_plain_fits(spark):
         plain = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="pred", **(GBT_PROFILES["a"] | {"maxIter": 4})).fit(own)
         for r in plain.transform(cv._features(va, rf)).select("id", "pred").collect():
             assert abs(got[r.id] - r.pred) < 1e-9
+
+
+def test_bigram_occurrences_of_frequent_bigrams_stay(spark, monkeypatch):
+    """Whatever number of bigrams every task holds, sentences score the same; occurrences of those are not shuffled."""
+    from cadence.operators import scores as SC
+
+    words = ["the", "of", "a", "cat", "dog", "sat"]
+    sents = spark.createDataFrame([(i, j, " ".join(words[(i * k + j) % 6] for k in range(8))) for i in range(40) for j in range(3)],
+                                  "doc_id long, sent_no long, sent string")
+    lm = SC.ngram_lm_fit(sents, ["doc_id", "sent_no"])
+    assert lm["bigrams"].count() > 10
+    scored = []
+    for held in (0, 10, 1000):
+        monkeypatch.setattr(SC, "FREQUENT_BIGRAMS", held)
+        for fitted in (False, True):
+            scored.append(sorted((r[0], r[1], round(r[2], 9), r[3]) for r in SC.ngram_lm_score(sents, lm, ["doc_id", "sent_no"], fitted=fitted).collect()))
+    assert len(scored[0]) == 120 and all(s == scored[0] for s in scored)
